@@ -12,6 +12,7 @@ REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
 def strip_tags(fragment: Column) -> Column:
+    """The fragment without tags and comments. White space is kept as it is."""
     return F.regexp_replace(fragment, TAG, "")
 
 
@@ -47,11 +48,6 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
-def inner_text(fragment: Column) -> Column:
-    """What a reader sees of a fragment. White space is kept as it is."""
-    return decode_entities(strip_tags(fragment))
-
-
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag, entities decoded; empty if absent."""
     quoted = F.regexp_extract(tag, rf"""(?is)^[^>]*?\s{name}\s*=\s*("([^"]*)"|'([^']*)')""", 1)

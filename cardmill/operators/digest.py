@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..schema import CACHE_SCHEMA, DIGEST_SIZE, ENTRY_COLUMNS, feed_order
-from ..session import shared_folder
+from ..schema import CACHE_SCHEMA, DIGEST_SIZE
 from .feed import check_bounds, feed_latest
+from .newest import latest_per_group
 
 # The prompt text, which must be the same to give the same completions.
 PREAMBLE = "You are an amazing assistant that specializes in summarizing news articles. You are engaging, detailed, and capable of making mini stories with whatever information you have. When presenting, you use easy to understand language, occassional jokes, and always sound informed. However, you always, ALWAYS, only use the information you are given when giving your summaries. Ensure your summaries are no more than 10 sentences, and are easily digestible for older folks as well."
 INSTRUCTION = "Summarize the following news articles in a few sentences:"
 CLOSING = "Summary:"
 
-# Winners of a top-n per group are broadcast up to this many rows, about 100 bytes each.
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
-
-def latest_per_group(entries: DataFrame, by: str, limit: int = DIGEST_SIZE, salts: int = SALTS) -> DataFrame:
-    """The newest ``limit`` entries of each group.
-
-    Ranks the order columns only, first within a salted part of each group and
-    then among the survivors, so neither a group that holds much of the table
-    nor the wide text columns go through a big sort. The winners then select
-    their rows. They are broadcast if there are few, which also prunes the
-    dates to scan; else both sides are shuffled on the unique id.
-    """
-    check_bounds(limit=limit)
-    shared_folder(entries.sparkSession)
-    narrow = entries.select(by, "date_scraped", "created_at", "id").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.lit(salts))
-    )
-    in_part = Window.partitionBy(by, "salt").orderBy(*feed_order())
-    in_group = Window.partitionBy(by).orderBy(*feed_order())
-    winners = (
-        narrow.withColumn("n", F.row_number().over(in_part))
-        .filter(F.col("n") <= limit)
-        .withColumn("n", F.row_number().over(in_group))
-        .filter(F.col("n") <= limit)
-        .select("date_scraped", "id", "n")
-        .checkpoint()
-    )
-    small = winners.count() <= BROADCAST_ROWS
-    wanted = winners.filter(F.col("n") <= limit).select("date_scraped", "id")
-    return entries.join(F.broadcast(wanted) if small else wanted, ["date_scraped", "id"], "left_semi").select(
-        ENTRY_COLUMNS
-    )
-
 
 def digests(entries: DataFrame, by: str | None = None, limit: int = DIGEST_SIZE) -> DataFrame:
     """``(by, n_entries, title_hash, prompt)`` over the newest entries, in feed order.
@@ -55,6 +20,7 @@ def digests(entries: DataFrame, by: str | None = None, limit: int = DIGEST_SIZE)
     The hash covers titles alone, joined by a space: other content under equal
     titles gives the same digest. An empty feed has no digest.
     """
+    check_bounds(limit=limit)
     latest = latest_per_group(entries, by, limit) if by else feed_latest(entries, limit)
     # Descending order of this struct is the feed order, missing values last.
     item = F.struct("date_scraped", "created_at", "id", "title", "content")

@@ -20,21 +20,30 @@ from .ingest import dedup_batch
 OK = "ok"
 
 
+Expression = Callable[[], Column]
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """How to read one layout.
 
     ``card`` is a pattern with one match per card, searched after the first
-    occurrence of ``root``; without it the whole page is one card. ``fields`` are computed in order from ``url``,
-    ``card`` and the fields before them. ``checks`` name the condition under
-    which a card is rejected; the first that holds is its status.
+    occurrence of ``root``; without it the whole page is one card. ``parts``
+    and then ``values`` are computed in order from ``url``, ``card`` and what
+    stands before them. ``fragments`` are pieces of HTML whose text is the
+    field, or the field's default if the piece is empty; a check can see the
+    piece as ``<field>_html``. ``checks`` name the condition under which a card
+    is rejected; the first that holds is its status.
     """
 
     name: str
-    fields: dict[str, Callable[[], Column]] = field(default_factory=dict)
-    checks: list[tuple[str, Callable[[], Column]]] = field(default_factory=list)
     card: str | None = None
     root: str | None = None
+    parts: dict[str, Expression] = field(default_factory=dict)
+    fragments: dict[str, Expression] = field(default_factory=dict)
+    defaults: dict[str, str] = field(default_factory=dict)
+    values: dict[str, Expression] = field(default_factory=dict)
+    checks: list[tuple[str, Expression]] = field(default_factory=list)
 
 
 def page_cards(pages: DataFrame, rules: RuleSet, max_per_page: int | None = None) -> DataFrame:
@@ -53,7 +62,15 @@ def page_cards(pages: DataFrame, rules: RuleSet, max_per_page: int | None = None
 def card_fields(cards: DataFrame, rules: RuleSet) -> DataFrame:
     """The cards with ``title content source link status`` next to them."""
     out = cards
-    for name, expression in rules.fields.items():
+    for name, expression in rules.parts.items():
+        out = out.withColumn(name, expression())
+    # One step at a time, so that Spark computes each piece once.
+    out = out.withColumns({f"{name}_html": expression() for name, expression in rules.fragments.items()})
+    out = out.withColumns({f"{name}_text": html.strip_tags(F.col(f"{name}_html")) for name in rules.fragments})
+    for name in rules.fragments:
+        default = F.when(F.col(f"{name}_html") == "", rules.defaults.get(name, ""))
+        out = out.withColumn(name, default.otherwise(html.decode_entities(F.col(f"{name}_text"))))
+    for name, expression in rules.values.items():
         out = out.withColumn(name, expression())
     status = F.lit(OK)
     for name, failed in reversed(rules.checks):
@@ -104,8 +121,8 @@ def extract_stats(rows: DataFrame) -> DataFrame:
 UNKNOWN_TITLE = "Unknown Title"
 ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*["\'][^>]*>.*?</a\s*>'
 BODY_MARKER = r'(?i)(?=<div[^>]*class\s*=\s*"[^"]*\bcard-body\b)'
-TITLE = r"(?is)<h3\b[^>]*>.*?<div\b[^>]*>(.*?)</div"
-LAST_BLOCK = r"(?is)^.*<div\b[^>]*>(.*?)</div"
+TITLE = r"(?is)<h3\b[^>]*>.*?<div\b[^>]*>.*?</div\s*>"
+LAST_BLOCK = r"(?is)^.*(<div\b[^>]*>.*?</div\s*>)"
 SPAN_OPEN = r"(?i)<span\b"
 SPAN_CLOSE = r"(?i)</span\s*>"
 
@@ -128,30 +145,30 @@ def _result_content() -> Column:
     """Text around the first span, within the block that holds the span."""
     before = F.regexp_replace(_first_piece(F.col("body"), SPAN_OPEN), r"(?is)^.*<div\b[^>]*>", "")
     after = _first_piece(_second_piece(_second_piece(F.col("body"), SPAN_OPEN), SPAN_CLOSE), r"(?i)</div")
-    return html.inner_text(F.concat(before, after))
+    return F.concat(before, after)
 
 
 RESULTS_CARDS = RuleSet(
     name="results_cards",
     root='id="main"',
     card=ANCHOR,
-    fields={
+    parts={
         "href": lambda: html.attribute(F.col("card"), "href"),
         "inner": lambda: F.regexp_replace("card", r"(?is)^<a\b[^>]*>|</a\s*>$", ""),
         "header": lambda: _first_piece(F.col("inner"), BODY_MARKER),
         "body": lambda: _second_piece(F.col("inner"), BODY_MARKER),
-        "title": lambda: F.when(
-            F.col("header").rlike(TITLE), html.inner_text(F.regexp_extract("header", TITLE, 1))
-        ).otherwise(UNKNOWN_TITLE),
-        "source_block": _result_source,
-        "source": lambda: html.inner_text(F.col("source_block")),
+    },
+    fragments={
+        "title": lambda: F.regexp_extract("header", TITLE, 0),
+        "source": _result_source,
         "content": _result_content,
-        "link": lambda: links.redirect_target(F.col("href")),
     },
+    defaults={"title": UNKNOWN_TITLE},
+    values={"link": lambda: links.redirect_target(F.col("href"))},
     checks=[
         ("href_without_query", lambda: ~links.has_query(F.col("href"))),
         ("no_children", lambda: ~F.col("inner").rlike("<[A-Za-z]")),
-        ("no_source", lambda: F.col("source_block") == ""),
+        ("no_source", lambda: F.col("source_html") == ""),
         ("no_body", lambda: F.col("body") == ""),
         ("no_snippet", lambda: ~F.col("body").rlike(SPAN_OPEN)),
     ],
@@ -159,16 +176,17 @@ RESULTS_CARDS = RuleSet(
 
 # Article pages: the page itself is the card, from its first heading on.
 
-HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
+HEADING = r"(?is)<h1\b[^>]*>.*?</h1\s*>"
 FIRST_PARAGRAPH = r"(?is)<article\b[^>]*>.*?<p\b[^>]*>(.*?)</p\s*>"
 
 ARTICLE_PAGE = RuleSet(
     name="article_page",
-    fields={
-        "title": lambda: F.when(
-            F.col("card").rlike(HEADING), html.inner_text(F.regexp_extract("card", HEADING, 1))
-        ).otherwise(UNKNOWN_TITLE),
-        "content": lambda: html.inner_text(F.regexp_extract("card", FIRST_PARAGRAPH, 1)),
+    fragments={
+        "title": lambda: F.regexp_extract("card", HEADING, 0),
+        "content": lambda: F.regexp_extract("card", FIRST_PARAGRAPH, 1),
+    },
+    defaults={"title": UNKNOWN_TITLE},
+    values={
         "source": lambda: links.host(F.col("url")),
         "link": lambda: F.col("url"),
     },

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
 from ..schema import API_LIMIT, DIGEST_SIZE, ENTRY_COLUMNS, FEED_CAP, PAGE_SIZE, feed_order
-from ..session import shared_folder
-
-# A top-k keeps this many rows in each task; deeper slices go by rank.
-TOP_K_ROWS = 20_000
+from . import newest
 
 
 def check_bounds(**values: int) -> None:
@@ -38,39 +35,18 @@ def entries_by_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi").select(ENTRY_COLUMNS)
 
 
-def newest_dates(entries: DataFrame, rows: int) -> DataFrame:
-    """The entries of the newest dates that together hold at least ``rows`` rows.
-
-    Meant for a table partitioned by date. The counts per date come from file footers
-    and the cut is a scalar subquery, so Spark prunes the partitions when the
-    query runs, before it opens a data file.
-    """
-    newest_first = Window.orderBy(F.col("date_scraped").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    cut = (
-        entries.groupBy("date_scraped")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("date_scraped", F.sum("n").over(newest_first).alias("n_so_far"))
-        .filter(F.col("n_so_far") >= rows)
-        .agg(F.coalesce(F.max("date_scraped"), F.lit("")).alias("cut"))
-    )
-    return entries.filter(F.col("date_scraped") >= cut.scalar())
-
-
 def feed_slice(entries: DataFrame, start: int = 0, limit: int = API_LIMIT) -> DataFrame:
     """Rows ``start`` to ``start + limit`` of the feed.
 
-    Near the top this is a top-k, where no task keeps more than ``start +
-    limit`` rows. Further down the rows are found by their rank in the feed.
+    A top-k near the top. Further down it would keep too many rows in each
+    task, so the rows are found by their rank in the feed.
     """
     check_bounds(start=start, limit=limit)
-    if start + limit <= TOP_K_ROWS:
-        return entries.orderBy(*feed_order()).offset(start).limit(limit)
-    wanted = feed_rank(entries).filter((F.col("feed_rank") > start) & (F.col("feed_rank") <= start + limit))
-    return entries.join(wanted.select("date_scraped", "id"), ["date_scraped", "id"], "left_semi").select(
-        entries.columns
-    )
+    if start + limit <= newest.TOP_K_ROWS:
+        return newest.newest(entries, start, limit)
+    rank = F.col("feed_rank")
+    wanted = newest.feed_rank(entries).filter((rank > start) & (rank <= start + limit))
+    return newest.pick(entries, wanted.checkpoint()).orderBy(*feed_order())
 
 
 def feed_page(entries: DataFrame, page: int = 1) -> DataFrame:
@@ -118,40 +94,7 @@ def entry_json(entries: DataFrame, start: int = 0, limit: int = API_LIMIT) -> Da
     return feed_slice(entries, start, limit).select("id", entry_record().alias("json"))
 
 
-def feed_rank(entries: DataFrame) -> DataFrame:
-    """``(id, date_scraped, feed_rank)`` of every entry, ranks from 1.
-
-    A range sort spreads the feed evenly whatever date or instant holds most of
-    it, because ``id`` is part of the order. Each row then needs only its place
-    in its partition plus the sizes of the partitions before it, one number per
-    partition. The sorted rows are checkpointed, so that sizes and places are
-    read from the same partitions, also after a lost executor.
-    """
-    shared_folder(entries.sparkSession)
-    place = F.monotonically_increasing_id()  # partition number in the upper bits, row number in the lower 33
-    placed = (
-        entries.select("date_scraped", "created_at", "id")
-        .orderBy(*feed_order())
-        .select(
-            "id",
-            "date_scraped",
-            F.shiftright(place, 33).alias("part"),
-            place.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
-        )
-        .checkpoint()
-    )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
-    # One row per sort partition, at most spark.sql.shuffle.partitions of them.
-    ranked = placed.join(F.broadcast(starts), "part")
-    return ranked.select("id", "date_scraped", (F.col("start") + F.col("row") + 1).alias("feed_rank"))
-
-
 def feed_page_index(entries: DataFrame) -> DataFrame:
     """The rank and the page number of every entry."""
     page = F.expr(f"(feed_rank - 1) div {PAGE_SIZE} + 1")
-    return feed_rank(entries).withColumn("page", page)
+    return newest.feed_rank(entries).withColumn("page", page)

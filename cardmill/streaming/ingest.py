@@ -15,24 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import RuleSet, card_fields, page_cards, page_entries
 from ..operators.ingest import absent_entries, dedup_batch
+from ..operators.newest import distinct_dates
 from ..schema import ENTRY_COLUMNS
 from ..sources.entries import append_entries, read_entries
 
-# A batch with more dates than this is checked against the whole table.
-MAX_DATES = 1000
-
-
-def batch_dates(batch: DataFrame) -> list[str] | None:
-    rows = batch.select("date_scraped").distinct().limit(MAX_DATES + 1).collect()
-    return None if len(rows) > MAX_DATES else [row[0] for row in rows]
-
-
 def append_absent(entries: DataFrame, target: str, order: Sequence[str] = ("created_at", "id")) -> None:
     """Append to the table at ``target`` the entries it does not hold."""
     # Used twice, for its dates and for its rows.
     fresh = dedup_batch(entries, order).select(ENTRY_COLUMNS).persist()
     try:
-        stored = read_entries(entries.sparkSession, target, batch_dates(fresh))
+        stored = read_entries(entries.sparkSession, target, distinct_dates(fresh))
         append_entries(absent_entries(fresh, stored), target)
     finally:
         fresh.unpersist()

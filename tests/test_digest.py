@@ -1,0 +1,112 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardmill.operators import digest, feed, freshness
+from cardmill.schema import CACHE_SCHEMA
+from cardmill.sources.cache import append_completions, read_cache
+
+
+def expected(rows):
+    """Hash and prompt of entries in feed order, in plain Python."""
+    titles = " ".join(r.title for r in rows)
+    articles = "\n\n".join(f"Title: {r.title}\n Content: {r.content}" for r in rows)
+    prompt = "\n\n".join([digest.PREAMBLE, digest.INSTRUCTION, articles, digest.CLOSING])
+    return hashlib.sha256(titles.encode()).hexdigest(), prompt
+
+
+@pytest.mark.parametrize("limit", [1, 10])
+def test_digest_of_the_feed(snippets, limit):
+    row = digest.digest_prompt(snippets, limit).first()
+    assert (row.title_hash, row.prompt) == expected(feed.feed_latest(snippets, limit).collect())
+    assert digest.digest_key(snippets, limit).first().title_hash == row.title_hash
+
+
+def test_digest_of_each_source(snippets):
+    got = {r.source: r for r in digest.digest_by_source(snippets).collect()}
+    assert len(got) == 20
+    for source in ("src0", "src7", "src19"):
+        rows = feed.feed_latest(snippets.filter(F.col("source") == source)).collect()
+        assert (got[source].title_hash, got[source].prompt) == expected(rows)
+        assert got[source].n_entries == 10
+
+
+def test_digest_does_not_depend_on_partitions(snippets):
+    def hashes(df):
+        return {(r.source, r.title_hash) for r in digest.digest_by_source(df).collect()}
+
+    assert hashes(snippets.repartition(13)) == hashes(snippets.coalesce(1))
+    assert digest.digest_key(snippets.repartition(13)).first() == digest.digest_key(snippets.coalesce(1)).first()
+
+
+def test_a_source_that_holds_most_rows(make_entries):
+    rows = [{"source": "hot" if i % 3 else f"s{i % 4}", "title": f"t{i}"} for i in range(3000)]
+    table = make_entries(rows).repartition(20)
+    got = {r.source: r.title_hash for r in digest.digest_by_source(table).collect()}
+    newest = feed.feed_latest(table.filter("source = 'hot'")).collect()
+    assert got["hot"] == expected(newest)[0]
+
+
+def test_missing_instants_come_last(make_entries):
+    table = make_entries([{"title": "old", "created_at": None}, {"title": "new"}])
+    row = digest.digest_prompt(table).first()
+    assert row.prompt.index("Title: new") < row.prompt.index("Title: old")
+
+
+def test_content_does_not_change_the_key(snippets):
+    other = snippets.withColumn("content", F.lit("changed"))
+    assert digest.digest_key(snippets).first() == digest.digest_key(other).first()
+
+
+def test_cache(spark, snippets, tmp_path):
+    current = digest.digest_by_source(snippets).select("source", "title_hash").cache()
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    cache = current.filter(number % 2 == 0).select(
+        "title_hash", F.concat(F.lit("cached "), F.col("source")).alias("ai_summary")
+    )
+    looked_up = digest.digest_lookup(current, cache)
+    assert dict(looked_up.groupBy("status").count().collect()) == {"cached": 10, "to_generate": 10}
+
+    text = F.when(F.col("source") == "src1", "").when(F.col("source") == "src3", F.lit(None))
+    completions = current.select(
+        "title_hash", text.otherwise(F.concat(F.lit("new "), F.col("source"))).alias("ai_summary")
+    )
+    after = digest.digest_cache_add(completions, cache)
+    assert after.count() == 18
+    assert after.filter("ai_summary like 'cached %'").count() == 10
+    assert digest.digest_cache_add(completions, after).count() == 18
+
+    path = str(tmp_path / "cache")
+    append_completions(cache, path)
+    append_completions(completions, path)
+    append_completions(completions, path)
+    assert sorted(read_cache(spark, path).collect()) == sorted(after.collect())
+
+
+def test_one_of_several_completions(spark):
+    rows = [("k", "b"), ("k", "a"), ("k", ""), ("k", None), ("m", "")]
+    completions = spark.createDataFrame(rows, CACHE_SCHEMA)
+    cache = spark.createDataFrame([], CACHE_SCHEMA)
+    assert [tuple(r) for r in digest.digest_cache_add(completions, cache).collect()] == [("k", "a")]
+
+
+def test_requests(spark, snippets, make_entries):
+    cache = spark.createDataFrame([], CACHE_SCHEMA)
+    assert digest.digest_requests(snippets, cache).first().status == "to_generate"
+    key = digest.digest_key(snippets).first().title_hash
+    cached = spark.createDataFrame([(key, "text")], CACHE_SCHEMA)
+    row = digest.digest_requests(snippets, cached).first()
+    assert (row.status, row.ai_summary) == ("cached", "text")
+    empty = digest.digest_requests(make_entries([]), cache).collect()
+    assert [r.status for r in empty] == ["empty"]
+    assert digest.digest_key(make_entries([])).count() == 0
+
+
+def test_freshness(make_entries, snippets):
+    got = {r.source: (r.last_updated, r.due) for r in freshness.freshness(snippets, "2024-01-30").collect()}
+    assert got["src9"] == ("2024-01-30", False)
+    assert got["src8"][1] is True
+    whole = freshness.freshness(snippets, "2024-01-31", by=None).first()
+    assert tuple(whole) == ("2024-01-30", True)
+    assert tuple(freshness.freshness(make_entries([]), "2024-01-31", by=None).first()) == (None, True)

@@ -1,0 +1,78 @@
+"""Incremental ingest against batch ingest."""
+
+import pytest
+
+from cardmill.operators import extract, ingest
+from cardmill.plans import registry
+from cardmill.schema import ENTRY_COLUMNS, ENTRY_KEY, ENTRY_SCHEMA
+from cardmill.sources.entries import read_entries
+from cardmill.sources.pages import stream_pages
+from cardmill.streaming import ingest as streaming
+from conftest import SF
+
+
+@pytest.fixture(scope="module")
+def files(snippets, tmp_path_factory):
+    """The entries as several files, out of date order."""
+    path = str(tmp_path_factory.mktemp("incoming") / "files")
+    snippets.repartition(6, "id").write.parquet(path)
+    return path
+
+
+def run(spark, files, target, checkpoint):
+    source = spark.readStream.schema(ENTRY_SCHEMA).option("maxFilesPerTrigger", 1).parquet(files)
+    query = streaming.ingest_stream(source, lambda batch: batch, target, checkpoint)
+    query.awaitTermination()
+    return query
+
+
+def test_runs_and_reruns(spark, snippets, files, tmp_path):
+    target = str(tmp_path / "entries")
+    query = run(spark, files, target, str(tmp_path / "one"))
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) > 1
+    table = read_entries(spark, target)
+    assert table.count() == 969
+    batch = ingest.dedup_batch(snippets).select(ENTRY_KEY).collect()
+    assert {tuple(r) for r in table.select(ENTRY_KEY).collect()} == {tuple(r) for r in batch}
+
+    run(spark, files, target, str(tmp_path / "one"))  # nothing new
+    run(spark, files, target, str(tmp_path / "two"))  # progress lost, everything again
+    assert read_entries(spark, target).count() == 969
+
+
+def test_a_batch_applied_twice(spark, snippets, tmp_path):
+    target = str(tmp_path / "entries")
+    streaming.append_absent(snippets, target)
+    streaming.append_absent(snippets, target)
+    assert read_entries(spark, target).count() == 969
+
+
+def test_batches_with_too_many_dates_to_list(spark, snippets, tmp_path, monkeypatch):
+    from cardmill.operators import newest
+
+    monkeypatch.setattr(newest, "MAX_DATES", 3)
+    target = str(tmp_path / "entries")
+    streaming.append_absent(snippets, target)
+    streaming.append_absent(snippets, target)
+    assert read_entries(spark, target).count() == 969
+
+
+def test_late_pages_are_taken(spark, tmp_path):
+    """A file of pages that arrives later, for an earlier day, and its copy."""
+    pages = registry.pages(spark, SF)
+    source, target, checkpoint = (str(tmp_path / name) for name in ("pages", "entries", "progress"))
+
+    def refresh(day):
+        streaming.ingest_pages(
+            stream_pages(spark, source), extract.ARTICLE_PAGE, day, f"{day} 05:00:00", target, checkpoint
+        ).awaitTermination()
+        return read_entries(spark, target).count()
+
+    pages.filter("page_id < 150").write.parquet(source)
+    first = refresh("2024-03-05")
+    pages.filter("page_id >= 100").write.mode("append").parquet(source)
+    second = refresh("2024-03-04")
+    assert refresh("2024-03-04") == second  # no new files
+    days = dict(read_entries(spark, target).groupBy("date_scraped").count().collect())
+    assert days == {"2024-03-05": first, "2024-03-04": second - first}
+    assert read_entries(spark, target).columns == ENTRY_COLUMNS
