@@ -36,7 +36,8 @@ def test_lookup_is_pushed_to_the_scan(table, plan_of):
 def test_ingest_is_an_anti_join_on_pruned_dates(spark, stored_table, snippets, plan_of):
     stored = read_entries(spark, stored_table, ["2024-01-03"])
     plan = plan_of(ingest.ingest_new(snippets, stored))
-    assert "LeftAnti" in plan and "(date_scraped" in plan.split("PartitionFilters:", 1)[1].split("PushedFilters", 1)[0]
+    filters = plan.rsplit("PartitionFilters:", 1)[1].split("PushedFilters", 1)[0]
+    assert "LeftAnti" in plan and "= 2024-01-03" in filters
     assert "row_number(), 1, Partial" in plan
     assert "entries/date_scraped=2024-01-03" in plan  # the only folder that is listed
 
