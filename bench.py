@@ -25,7 +25,7 @@ def run(query, spark) -> float:
 
 
 def main() -> None:
-    spark = build_session(f"local[{CPUS}]", shuffle_partitions=int(CPUS))
+    spark = build_session(f"local[{CPUS}]", shuffle_partitions=int(CPUS), driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name, query in QUERIES.items():

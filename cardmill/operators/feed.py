@@ -35,23 +35,27 @@ def entries_by_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi").select(ENTRY_COLUMNS)
 
 
-def feed_slice(entries: DataFrame, start: int = 0, limit: int = API_LIMIT) -> DataFrame:
+def feed_slice(entries: DataFrame, start: int = 0, limit: int = API_LIMIT, by_date: bool = True) -> DataFrame:
     """Rows ``start`` to ``start + limit`` of the feed.
 
-    A top-k near the top. Further down it would keep too many rows in each
-    task, so the rows are found by their rank in the feed.
+    Looks at the newest dates only, as many as it needs. To count rows per date
+    reads ``entries`` twice; say ``by_date=False`` where that costs more than
+    it saves. Near the top the slice is a top-k. Further down that would keep
+    too many rows in each task, so the rows are found by their rank.
     """
     check_bounds(start=start, limit=limit)
-    if start + limit <= newest.TOP_K_ROWS:
-        return newest.newest(entries, start, limit)
+    end = start + limit
+    rows = newest.newest_dates(entries, end) if by_date else entries
+    if end <= newest.TOP_K_ROWS:
+        return newest.newest(rows, start, limit)
     rank = F.col("feed_rank")
-    wanted = newest.feed_rank(entries).filter((rank > start) & (rank <= start + limit))
+    wanted = newest.feed_rank(rows).filter((rank > start) & (rank <= end))
     return newest.pick(entries, wanted.checkpoint()).orderBy(*feed_order())
 
 
-def feed_page(entries: DataFrame, page: int = 1) -> DataFrame:
+def feed_page(entries: DataFrame, page: int = 1, by_date: bool = True) -> DataFrame:
     check_bounds(page=page)
-    return feed_slice(entries, (page - 1) * PAGE_SIZE, PAGE_SIZE)
+    return feed_slice(entries, (page - 1) * PAGE_SIZE, PAGE_SIZE, by_date)
 
 
 def feed_all(entries: DataFrame, cap: int = FEED_CAP) -> DataFrame:

@@ -22,10 +22,12 @@ def search(entries: DataFrame, pattern: str) -> DataFrame:
 def search_page(entries: DataFrame, pattern: str, page: int = 1, cap: int | None = SEARCH_CAP) -> DataFrame:
     """A page of the newest ``cap`` matches."""
     check_bounds(page=page)
-    if not pattern or cap is None:
-        return feed_page(search(entries, pattern), page)
+    if not pattern:
+        return feed_page(entries, page)
     start = (page - 1) * PAGE_SIZE
-    return feed_slice(search(entries, pattern), start, max(0, min(PAGE_SIZE, cap - start)))
+    limit = PAGE_SIZE if cap is None else max(0, min(PAGE_SIZE, cap - start))
+    # The pattern would be tried twice to count the matches of each date.
+    return feed_slice(search(entries, pattern), start, limit, by_date=False)
 
 
 def search_meta(entries: DataFrame, pattern: str, page: int = 1, cap: int | None = SEARCH_CAP) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 
 from ..operators.extract import RuleSet, card_fields, page_cards, page_entries
 from ..operators.feed import feed_page
-from ..operators.ingest import ingest_merged
+from ..operators.ingest import ingest_new
+from ..operators.newest import newest_dates
+from ..schema import PAGE_SIZE
 
 
 def refreshed_feed(
@@ -17,6 +19,11 @@ def refreshed_feed(
     created_at: Column | str,
     page: int = 1,
 ) -> DataFrame:
-    """A feed page over the stored entries and the new ones of ``pages``."""
+    """A feed page over the stored entries and the new ones of ``pages``.
+
+    The page can only hold the newest stored rows, so only their dates are read
+    for it; the check for known keys reads the key columns.
+    """
     incoming = page_entries(card_fields(page_cards(pages, rules), rules), date_scraped, created_at)
-    return feed_page(ingest_merged(incoming, stored, order=("page_id", "pos")), page)
+    new = ingest_new(incoming, stored, order=("page_id", "pos"))
+    return feed_page(newest_dates(stored, page * PAGE_SIZE).unionByName(new), page, by_date=False)

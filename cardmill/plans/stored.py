@@ -1,22 +1,16 @@
-"""Feed and search over the stored table, reading the newest dates only."""
+"""Search over the stored table, reading the newest dates first."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.feed import check_bounds, feed_page
-from ..operators.newest import MAX_DATES, newest_dates
+from ..operators.newest import MAX_DATES
 from ..operators.search import search, search_page
 from ..schema import PAGE_SIZE, SEARCH_CAP
 from ..sources.entries import read_entries
 
 
-def stored_feed_page(spark: SparkSession, path: str, page: int = 1) -> DataFrame:
-    """A feed page; the partitions below it are not scanned."""
-    check_bounds(page=page)
-    return feed_page(newest_dates(read_entries(spark, path), page * PAGE_SIZE), page)
-
-
 def dates_with_matches(entries: DataFrame, pattern: str, rows: int) -> DataFrame:
     """The entries of the newest dates that together hold at least ``rows`` matches.
 
@@ -42,6 +36,6 @@ def stored_search_page(spark: SparkSession, path: str, pattern: str, page: int =
     """A page of the newest matches; dates older than these matches are not scanned."""
     check_bounds(page=page)
     if not pattern:
-        return stored_feed_page(spark, path, page)
+        return feed_page(read_entries(spark, path), page)
     rows = min(page * PAGE_SIZE, SEARCH_CAP)
     return search_page(dates_with_matches(read_entries(spark, path), pattern, rows), pattern, page)

@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the operators assume. On a cluster pass neither argument."""
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
+    """A session with the settings the operators assume. On a cluster pass no argument."""
     builder = (
         SparkSession.builder.appName("cardmill")
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,6 +22,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
 
 
