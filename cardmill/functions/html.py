@@ -32,19 +32,21 @@ def decode_entities(text: Column) -> Column:
     number and a semicolon is replaced, any other piece keeps its ``&``.
     """
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    pieces = F.transform(
+        F.split(text, "&"), lambda part: F.struct(part.alias("part"), F.regexp_extract(part, REFERENCE, 1).alias("name"))
+    )
 
-    def piece(part: Column, index: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
-        known = F.try_element_at(names, name)
+    def decode(piece: Column, index: Column) -> Column:
+        part, name = piece["part"], piece["name"]
         rest = F.substring(part, F.length(name) + 2, F.length(part))
         return (
             F.when(index == 0, part)
+            .when(name == "", F.concat(F.lit("&"), part))
             .when(name.startswith("#"), F.concat(_code_point(name), rest))
-            .when(known.isNotNull(), F.concat(known, rest))
-            .otherwise(F.concat(F.lit("&"), part))
+            .otherwise(F.coalesce(F.concat(F.try_element_at(names, name), rest), F.concat(F.lit("&"), part)))
         )
 
-    decoded = F.array_join(F.transform(F.split(text, "&"), piece), "")
+    decoded = F.array_join(F.transform(pieces, decode), "")
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

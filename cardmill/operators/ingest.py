@@ -31,11 +31,31 @@ def absent_entries(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.join(known, ENTRY_KEY, "left_anti").select(ENTRY_COLUMNS)
 
 
-def ingest_new(incoming: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
-    """The incoming entries to append: one per key, keys already stored left out."""
-    return absent_entries(dedup_batch(incoming, order), stored)
+def within_dates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The stored entries between the first and the last date of ``incoming``.
+
+    The bounds are scalar subqueries over the date column alone, so the
+    partitions outside of them are pruned when the query runs.
+    """
+    bounds = incoming.agg(F.min("date_scraped").alias("first"), F.max("date_scraped").alias("last"))
+    first, last = bounds.select("first").scalar(), bounds.select("last").scalar()
+    return stored.filter(F.col("date_scraped").between(first, last))
+
+
+def ingest_new(
+    incoming: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id"), by_date: bool = True
+) -> DataFrame:
+    """The incoming entries to append: one per key, keys already stored left out.
+
+    Reads the dates of ``incoming`` first, to prune ``stored``; say
+    ``by_date=False`` where these are known or costly to get.
+    """
+    known = within_dates(stored, incoming) if by_date else stored
+    return absent_entries(dedup_batch(incoming, order), known)
 
 
-def ingest_merged(incoming: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
+def ingest_merged(
+    incoming: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id"), by_date: bool = True
+) -> DataFrame:
     """The table after the append."""
-    return stored.select(ENTRY_COLUMNS).unionByName(ingest_new(incoming, stored, order))
+    return stored.select(ENTRY_COLUMNS).unionByName(ingest_new(incoming, stored, order, by_date))

@@ -59,13 +59,12 @@ def pick(entries: DataFrame, keys: DataFrame) -> DataFrame:
     else both sides are shuffled, on an id that is unique.
     """
     keys = keys.select("date_scraped", "id")
-    dates = distinct_dates(keys)
-    if dates is not None:
-        entries = entries.filter(F.col("date_scraped").isin(dates))
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    columns = entries.columns
-    return entries.join(keys, ["date_scraped", "id"], "left_semi").select(columns)
+    per_date = keys.groupBy("date_scraped").count().limit(MAX_DATES + 1).collect()
+    if len(per_date) <= MAX_DATES:
+        entries = entries.filter(F.col("date_scraped").isin([row[0] for row in per_date]))
+        if sum(row[1] for row in per_date) <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+    return entries.join(keys, ["date_scraped", "id"], "left_semi").select(entries.columns)
 
 
 def latest_per_group(entries: DataFrame, by: str, limit: int) -> DataFrame:

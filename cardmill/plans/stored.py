@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.feed import check_bounds, feed_page
 from ..operators.newest import MAX_DATES
-from ..operators.search import search, search_page
+from ..operators.search import search, search_meta, search_page
 from ..schema import PAGE_SIZE, SEARCH_CAP
 from ..sources.entries import read_entries
 
@@ -39,3 +39,9 @@ def stored_search_page(spark: SparkSession, path: str, pattern: str, page: int =
         return feed_page(read_entries(spark, path), page)
     rows = min(page * PAGE_SIZE, SEARCH_CAP)
     return search_page(dates_with_matches(read_entries(spark, path), pattern, rows), pattern, page)
+
+
+def stored_search_meta(spark: SparkSession, path: str, pattern: str, page: int = 1) -> DataFrame:
+    """Page counts over the newest matches; stops looking at dates once the cap is reached."""
+    entries = read_entries(spark, path)
+    return search_meta(dates_with_matches(entries, pattern, SEARCH_CAP) if pattern else entries, pattern, page)

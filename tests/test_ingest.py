@@ -1,11 +1,12 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from cardmill.operators import ingest
-from cardmill.schema import ENTRY_KEY
-from cardmill.sources.entries import append_entries, read_entries
+from cardmill.operators import feed, ingest
+from cardmill.schema import ENTRY_KEY, ENTRY_SCHEMA
+from cardmill.sources.entries import append_entries, read_entries, write_json
 from cardmill.streaming.ingest import append_absent
 
 
@@ -49,7 +50,7 @@ def test_a_key_that_holds_most_rows(spark, snippets, make_entries):
     assert ingest.ingest_new(snippets, copies.unionByName(copies)).count() == 969
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(cuts=st.lists(st.integers(0, 60), max_size=3))
 def test_any_split_into_batches_gives_the_same_keys(make_entries, tmp_path_factory, cuts):
     rows = [
@@ -74,6 +75,28 @@ def test_table_round_trip(spark, stored_table, snippets):
     assert sorted(r[0] for r in some.select("date_scraped").distinct().collect()) == ["2024-01-03", "2024-01-05"]
 
 
+def test_ids_have_bloom_filters(stored_table):
+    found = duckdb.sql(
+        f"select path_in_schema, count(bloom_filter_offset) from parquet_metadata('{stored_table}/*/*.parquet') group by 1"
+    ).fetchall()
+    assert {name for name, n in found if n} == {"id"}
+
+
+def test_dates_of_the_batch_prune_exactly(snippets):
+    batch = snippets.filter("date_scraped between '2024-01-05' and '2024-01-07'")
+    stored = snippets.filter("hour(created_at) < 12")
+    with_dates = ingest.ingest_new(batch, stored)
+    without = ingest.ingest_new(batch, stored, by_date=False)
+    assert sorted(with_dates.collect()) == sorted(without.collect())
+    assert ingest.ingest_new(batch.limit(0), stored).count() == 0
+
+
+def test_json_lines(spark, snippets, tmp_path):
+    write_json(feed.entry_json(snippets, 0, 7), str(tmp_path / "json"))
+    back = spark.read.schema(ENTRY_SCHEMA).json(str(tmp_path / "json"))
+    assert sorted(back.collect()) == sorted(feed.feed_slice(snippets, 0, 7).collect())
+
+
 def test_reading_what_is_not_there(spark, tmp_path, stored_table):
     assert read_entries(spark, str(tmp_path / "none")).count() == 0
     assert read_entries(spark, stored_table, ["1999-01-01"]).count() == 0

@@ -1,17 +1,18 @@
-"""Every registered query against its SQL, at two scales."""
+"""Every registered query against its SQL."""
 
 import compare
 import pytest
 
 import __spark_entry__ as contract
+from conftest import SF
 
 QUERIES = contract.queries()
 ORACLE = contract.oracle_sql()
 
 
-@pytest.fixture(scope="module", params=["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def data(request):
-    return request.param, compare.duck(request.param)
+@pytest.fixture(scope="module")
+def oracle():
+    return compare.duck(SF)
 
 
 def test_every_query_has_its_sql():
@@ -19,10 +20,9 @@ def test_every_query_has_its_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_rows_agree(spark, data, name):
-    folder, connection = data
-    df = QUERIES[name](spark, folder)
-    columns, expected = compare.duck_rows(connection, ORACLE[name])
+def test_rows_agree(spark, oracle, name):
+    df = QUERIES[name](spark, SF)
+    columns, expected = compare.duck_rows(oracle, ORACLE[name])
     assert sorted(df.columns) == sorted(columns)
     assert compare.spark_rows(df) == expected
 

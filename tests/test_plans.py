@@ -35,13 +35,19 @@ def test_lookup_is_pushed_to_the_scan(table, plan_of):
 
 def test_ingest_is_an_anti_join_on_pruned_dates(spark, stored_table, snippets, plan_of):
     stored = read_entries(spark, stored_table, ["2024-01-03"])
-    plan = plan_of(ingest.ingest_new(snippets, stored))
+    plan = plan_of(ingest.ingest_new(snippets, stored, by_date=False))
     filters = plan.rsplit("PartitionFilters:", 1)[1].split("PushedFilters", 1)[0]
     assert "LeftAnti" in plan and "= 2024-01-03" in filters
     assert "row_number(), 1, Partial" in plan
     assert "entries/date_scraped=2024-01-03" in plan  # the only folder that is listed
 
 
+def test_ingest_prunes_by_the_dates_of_the_batch(table, snippets, plan_of):
+    plan = plan_of(ingest.ingest_new(snippets.filter("date_scraped < '2024-01-03'"), table))
+    scan = [line for line in plan.splitlines() if "FileScan parquet [title" in line]
+    assert len(scan) == 1 and "date_scraped" in scan[0].split("PartitionFilters:", 1)[1] and "Subquery" in scan[0]
+
+
 def test_digest_reads_text_of_the_winning_dates_only(table, plan_of):
     plan = plan_of(digest.digest_by_source(table))
     assert "PartitionFilters: [date_scraped" in plan and "LeftSemi" in plan
@@ -50,7 +56,7 @@ def test_digest_reads_text_of_the_winning_dates_only(table, plan_of):
 def test_a_large_anti_join_keeps_one_shuffle_per_side(spark, table, plan_of):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(ingest.ingest_new(table, table))
+        plan = plan_of(ingest.ingest_new(table, table, by_date=False))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 2

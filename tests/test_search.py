@@ -1,7 +1,7 @@
 import pytest
 
 from cardmill.operators import feed, search
-from cardmill.plans.stored import dates_with_matches, stored_search_page
+from cardmill.plans.stored import dates_with_matches, stored_search_meta, stored_search_page
 from cardmill.sources.entries import read_entries
 
 
@@ -53,6 +53,8 @@ def test_bad_page(snippets):
 def test_stored_search_equals_search(spark, stored_table, snippets, pattern, page):
     expected = search.search_page(snippets, pattern, page).collect()
     assert stored_search_page(spark, stored_table, pattern, page).collect() == expected
+    counts = search.search_meta(snippets, pattern, page).collect()
+    assert stored_search_meta(spark, stored_table, pattern, page).collect() == counts
 
 
 def test_frequent_words_need_few_dates(spark, stored_table):
