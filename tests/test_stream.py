@@ -57,6 +57,24 @@ def test_batches_with_too_many_dates_to_list(spark, snippets, tmp_path, monkeypa
     assert read_entries(spark, target).count() == 969
 
 
+def test_a_backlog_is_cut_into_batches(spark, tmp_path):
+    source, target = str(tmp_path / "pages"), str(tmp_path / "entries")
+    registry.pages(spark, SF).repartition(4).write.parquet(source)
+    for bound in (dict(max_files=1), dict(max_bytes=100_000)):
+        query = streaming.ingest_pages(
+            stream_pages(spark, source, **bound),
+            extract.ARTICLE_PAGE,
+            "2024-03-05",
+            "2024-03-05 05:00:00",
+            target,
+            str(tmp_path / next(iter(bound))),
+        )
+        query.awaitTermination()
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    expected = registry.extracted(spark, SF).select("title", "source").distinct().count()
+    assert read_entries(spark, target).count() == expected
+
+
 def test_late_pages_are_taken(spark, tmp_path):
     """A file of pages that arrives later, for an earlier day, and its copy."""
     pages = registry.pages(spark, SF)
