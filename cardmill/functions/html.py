@@ -6,7 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-TAG = r"(?s)<!--.*?-->|<[^>]*>"
+TAG = r"(?s)<(?:!--.*?--|[^>]*)>"  # a comment or a tag; starts with "<", so other text is skipped fast
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 

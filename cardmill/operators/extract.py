@@ -8,6 +8,7 @@ selectors are not supported.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -48,7 +49,7 @@ class RuleSet:
 
 def page_cards(pages: DataFrame, rules: RuleSet, max_per_page: int | None = None) -> DataFrame:
     """``(page_id, url, pos, card)``, ``pos`` counting from 0 in page order."""
-    body = F.col("html")
+    pages, body = pages.filter(F.col("html").isNotNull()), F.col("html")
     if rules.root:
         at = F.locate(rules.root, body)
         body = F.when(at > 0, F.substring(body, at, F.length(body))).otherwise("")
@@ -115,13 +116,13 @@ def extract_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("host", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Result pages: a card is a link around a header and a body block. The body
-# carries a marker class, since a pattern cannot balance nested blocks.
+# Result pages: a card is a link around a header and a body block. The body is
+# told by its class, since a pattern cannot balance nested blocks.
 
 UNKNOWN_TITLE = "Unknown Title"
 ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*["\'][^>]*>.*?</a\s*>'
-BODY_MARKER = r'(?i)(?=<div[^>]*class\s*=\s*"[^"]*\bcard-body\b)'
-TITLE = r"(?is)<h3\b[^>]*>.*?<div\b[^>]*>.*?</div\s*>"
+HEADLINE = r"(?is)<h3\b[^>]*>(.*?)</h3\s*>"
+BLOCK = r"(?is)<div\b[^>]*>.*?</div\s*>"
 LAST_BLOCK = r"(?is)^.*(<div\b[^>]*>.*?</div\s*>)"
 SPAN_OPEN = r"(?i)<span\b"
 SPAN_CLOSE = r"(?i)</span\s*>"
@@ -148,31 +149,37 @@ def _result_content() -> Column:
     return F.concat(before, after)
 
 
-RESULTS_CARDS = RuleSet(
-    name="results_cards",
-    root='id="main"',
-    card=ANCHOR,
-    parts={
-        "href": lambda: html.attribute(F.col("card"), "href"),
-        "inner": lambda: F.regexp_replace("card", r"(?is)^<a\b[^>]*>|</a\s*>$", ""),
-        "header": lambda: _first_piece(F.col("inner"), BODY_MARKER),
-        "body": lambda: _second_piece(F.col("inner"), BODY_MARKER),
-    },
-    fragments={
-        "title": lambda: F.regexp_extract("header", TITLE, 0),
-        "source": _result_source,
-        "content": _result_content,
-    },
-    defaults={"title": UNKNOWN_TITLE},
-    values={"link": lambda: links.redirect_target(F.col("href"))},
-    checks=[
-        ("href_without_query", lambda: ~links.has_query(F.col("href"))),
-        ("no_children", lambda: ~F.col("inner").rlike("<[A-Za-z]")),
-        ("no_source", lambda: F.col("source_html") == ""),
-        ("no_body", lambda: F.col("body") == ""),
-        ("no_snippet", lambda: ~F.col("body").rlike(SPAN_OPEN)),
-    ],
-)
+def results_cards(body_class: str) -> RuleSet:
+    """Rules for result pages whose body blocks have the given class."""
+    marker = rf'(?i)(?=<div\b[^>]*\bclass\s*=\s*"[^"]*(?<![\w-]){re.escape(body_class)}(?![\w-]))'
+    return RuleSet(
+        name="results_cards",
+        root='id="main"',
+        card=ANCHOR,
+        parts={
+            "href": lambda: html.attribute(F.col("card"), "href"),
+            "inner": lambda: F.regexp_replace("card", r"(?is)^<a\b[^>]*>|</a\s*>$", ""),
+            "header": lambda: _first_piece(F.col("inner"), marker),
+            "body": lambda: _second_piece(F.col("inner"), marker),
+        },
+        fragments={
+            "title": lambda: F.regexp_extract(F.regexp_extract("header", HEADLINE, 1), BLOCK, 0),
+            "source": _result_source,
+            "content": _result_content,
+        },
+        defaults={"title": UNKNOWN_TITLE},
+        values={"link": lambda: links.redirect_target(F.col("href"))},
+        checks=[
+            ("href_without_query", lambda: ~links.has_query(F.col("href"))),
+            ("no_children", lambda: ~F.col("inner").rlike("<[A-Za-z]")),
+            ("no_source", lambda: F.col("source_html") == ""),
+            ("no_body", lambda: F.col("body") == ""),
+            ("no_snippet", lambda: ~F.col("body").rlike(SPAN_OPEN)),
+        ],
+    )
+
+
+RESULTS_CARDS = results_cards("card-body")
 
 # Article pages: the page itself is the card, from its first heading on.
 
@@ -187,8 +194,8 @@ ARTICLE_PAGE = RuleSet(
     },
     defaults={"title": UNKNOWN_TITLE},
     values={
-        "source": lambda: links.host(F.col("url")),
-        "link": lambda: F.col("url"),
+        "link": lambda: F.coalesce("url", F.lit("")),
+        "source": lambda: links.host(F.col("link")),
     },
     checks=[("no_source", lambda: F.col("source") == "")],
 )
