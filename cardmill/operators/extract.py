@@ -82,8 +82,8 @@ def card_fields(cards: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def rejected_cards(fields: DataFrame) -> DataFrame:
-    """The cards left out of the entries, with the reason."""
-    return fields.filter(F.col("status") != OK).select("page_id", "url", "pos", "status", "card")
+    """Where the cards left out of the entries stand, and the reason."""
+    return fields.filter(F.col("status") != OK).select("page_id", "url", "pos", "status")
 
 
 def page_entries(fields: DataFrame, date_scraped: Column | str, created_at: Column | str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import RuleSet, card_fields, page_cards, page_entries
+from ..operators.extract import RuleSet, card_fields, page_cards, page_entries, rejected_cards
 from ..operators.ingest import absent_entries, dedup_batch
 from ..operators.newest import distinct_dates
 from ..schema import ENTRY_COLUMNS
@@ -30,21 +30,8 @@ def append_absent(entries: DataFrame, target: str, order: Sequence[str] = ("crea
         fresh.unpersist()
 
 
-def ingest_stream(
-    rows: DataFrame,
-    to_entries: Callable[[DataFrame], DataFrame],
-    target: str,
-    checkpoint: str,
-    order: Sequence[str] = ("created_at", "id"),
-) -> StreamingQuery:
-    """Take what is new in the source of ``rows``, append it, and stop.
-
-    ``to_entries`` turns a micro-batch into entries, plus the columns of ``order``.
-    """
-
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        append_absent(to_entries(batch), target, order)
-
+def run_batches(rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Give ``apply`` what is new in the source of ``rows``, in micro-batches, and stop."""
     return (
         rows.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
@@ -53,6 +40,13 @@ def ingest_stream(
     )
 
 
+def ingest_entries(
+    entries: DataFrame, target: str, checkpoint: str, order: Sequence[str] = ("created_at", "id")
+) -> StreamingQuery:
+    """Append what is new in a stream of entries."""
+    return run_batches(entries, lambda batch, _: append_absent(batch, target, order), checkpoint)
+
+
 def ingest_pages(
     pages: DataFrame,
     rules: RuleSet,
@@ -60,10 +54,22 @@ def ingest_pages(
     created_at: Column | str,
     target: str,
     checkpoint: str,
+    rejects: str | None = None,
 ) -> StreamingQuery:
-    """``ingest_stream`` for page files: extract, reduce, join, append."""
+    """Append the new entries of a stream of pages: extract, reduce, join, append.
+
+    With ``rejects`` the rejected cards of each micro-batch are written to a
+    folder of its own, which a replay overwrites.
+    """
 
-    def to_entries(batch: DataFrame) -> DataFrame:
-        return page_entries(card_fields(page_cards(batch, rules), rules), date_scraped, created_at)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        fields = card_fields(page_cards(batch, rules), rules).drop("card")
+        if rejects:
+            fields = fields.persist()
+            rejected_cards(fields).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        try:
+            append_absent(page_entries(fields, date_scraped, created_at), target, order=("page_id", "pos"))
+        finally:
+            fields.unpersist()
 
-    return ingest_stream(pages, to_entries, target, checkpoint, order=("page_id", "pos"))
+    return run_batches(pages, apply, checkpoint)

@@ -82,6 +82,7 @@ def test_golden_entries(fields):
 
 def test_golden_rejects(fields):
     rejects = extract.rejected_cards(fields)
+    assert rejects.columns == ["page_id", "url", "pos", "status"]
     assert sorted(r.pos for r in rejects.collect()) == [2, 3, 4, 7, 8]
     stats = extract.extract_stats(fields.select(links.host(F.col("url")).alias("host"), "status"))
     assert {(r.status, r.n) for r in stats.collect()} >= {("ok", 4), ("no_body", 1)}
@@ -108,9 +109,8 @@ def test_article_defaults(spark):
     assert out[3].source == "b.example"
 
 
-@pytest.mark.parametrize(
-    "text",
-    [
+def test_entities_are_decoded_once(spark):
+    texts = [
         "plain",
         "",
         "a &amp; b &lt;c&gt; &quot;d&quot; &#39;e&#39;",
@@ -119,11 +119,9 @@ def test_article_defaults(spark):
         "&#233;&#xE9;&#x1F600;&#8364;",
         "AT&T; R&D &unknown; &; && &#; &#x; 100%&",
         "&#0;&#xD800;&#x110000;",
-    ],
-)
-def test_entities_are_decoded_once(spark, text):
-    got = spark.createDataFrame([(text,)], "t string").select(html.decode_entities(F.col("t"))).first()[0]
-    assert got == python_html.unescape(text)
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html.decode_entities(F.col("t")))
+    assert {r[0]: r[1] for r in df.collect()} == {t: python_html.unescape(t) for t in texts}
 
 
 def test_pages_with_missing_parts_give_no_null_fields(spark):
@@ -136,41 +134,48 @@ def test_pages_with_missing_parts_give_no_null_fields(spark):
     assert extract.page_links(pages).count() == 0
 
 
-@pytest.mark.parametrize(
-    "head,title,source",
-    [
+def read_cards(spark, cards):
+    pages = [(i, "u", f'<div id="main">{c}</div>') for i, c in enumerate(cards)]
+    rules = extract.RESULTS_CARDS
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return extract.card_fields(extract.page_cards(df, rules), rules).orderBy("page_id").collect()
+
+
+def test_header_layouts(spark):
+    layouts = [
         ("<div><h3>bare</h3><div>S</div></div>", "Unknown Title", "S"),
         ("<div><h3><div></div></h3><div>S</div></div>", "", "S"),
         ("<div><h3><div>T</div></h3><div>S1</div><div>S2</div></div>", "T", "S2"),
         ("<div class='x'><div><h3 class='y'><div><b>T</b> &gt; u</div></h3></div><div>S</div></div>", "T > u", "S"),
         ("<DIV><H3><DIV>T</DIV></H3><DIV><DIV>in</DIV></DIV></DIV>", "T", "in"),
         ("<div><h3><div>T</div></h3><div></div></div>", "T", ""),
-    ],
-)
-def test_header_layouts(spark, head, title, source):
-    page = f'<div id="main">{card("/url?q=https://a.example/", head, BODY)}</div>'
-    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
-    rules = extract.RESULTS_CARDS
-    row = extract.card_fields(extract.page_cards(pages, rules), rules).first()
-    assert (row.title, row.source, row.status) == (title, source, "ok")
+    ]
+    rows = read_cards(spark, [card("/url?q=https://a.example/", head, BODY) for head, _, _ in layouts])
+    assert [(r.title, r.source, r.status) for r in rows] == [(t, s, "ok") for _, t, s in layouts]
 
 
-@pytest.mark.parametrize(
-    "body,content",
-    [
+def test_body_layouts(spark):
+    layouts = [
         ("<div>a<span>x</span>b</div>", "ab"),
         ("<div>out<div>in <span>x</span></div>after</div>", "in "),
         ("<div><img src='i.png'><div>t <b>bold</b> u <span class='d'>x</span> v<br>w</div></div>", "t bold u  vw"),
         ("<div>a<span>x</span>b<span>kept</span>c</div>", "abkeptc"),
         ("<div><span>x</span></div>", ""),
-    ],
-)
-def test_body_layouts(spark, body, content):
-    page = f'<div id="main">{card("/url?q=https://a.example/", header("T", "S"), body)}</div>'
-    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
-    rules = extract.RESULTS_CARDS
-    row = extract.card_fields(extract.page_cards(pages, rules), rules).first()
-    assert (row.content, row.status) == (content, "ok")
+    ]
+    rows = read_cards(spark, [card("/url?q=https://a.example/", header("T", "S"), body) for body, _ in layouts])
+    assert [(r.content, r.status) for r in rows] == [(content, "ok") for _, content in layouts]
+
+
+def test_body_class_is_a_whole_name(spark):
+    rules = extract.results_cards("snippet")
+    bodies = ['<div class="a snippet b">', '<div id="x" class="snippet">', '<div class="snippets">', '<div class="my-snippet">']
+    pages = [
+        (i, "u", f'<div id="main"><a href="/u?q=x">{header("T", "S")}{body}<span>1</span>c</div></a></div>')
+        for i, body in enumerate(bodies)
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = extract.card_fields(extract.page_cards(df, rules), rules).orderBy("page_id").collect()
+    assert [r.status for r in rows] == ["ok", "ok", "no_body", "no_body"]
 
 
 def test_long_text_does_not_overflow(spark):

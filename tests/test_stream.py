@@ -21,7 +21,7 @@ def files(snippets, tmp_path_factory):
 
 def run(spark, files, target, checkpoint):
     source = spark.readStream.schema(ENTRY_SCHEMA).option("maxFilesPerTrigger", 1).parquet(files)
-    query = streaming.ingest_stream(source, lambda batch: batch, target, checkpoint)
+    query = streaming.ingest_entries(source, target, checkpoint)
     query.awaitTermination()
     return query
 
@@ -75,6 +75,26 @@ def test_a_backlog_is_cut_into_batches(spark, tmp_path):
     assert read_entries(spark, target).count() == expected
 
 
+def test_rejects_are_kept_once(spark, tmp_path):
+    pages = registry.pages(spark, SF).selectExpr("page_id", "if(page_id % 5 = 0, 'nowhere', url) as url", "html")
+    source, target, rejects = (str(tmp_path / name) for name in ("pages", "entries", "rejects"))
+    pages.write.parquet(source)
+    for progress in ("one", "two"):
+        streaming.ingest_pages(
+            stream_pages(spark, source),
+            extract.ARTICLE_PAGE,
+            "2024-03-05",
+            "2024-03-05 05:00:00",
+            target,
+            str(tmp_path / progress),
+            rejects,
+        ).awaitTermination()
+    found = spark.read.parquet(rejects)
+    assert found.count() == pages.filter("url = 'nowhere'").count()
+    assert {r.status for r in found.collect()} == {"no_source"}
+    assert read_entries(spark, target).filter("source = ''").count() == 0
+
+
 def test_late_pages_are_taken(spark, tmp_path):
     """A file of pages that arrives later, for an earlier day, and its copy."""
     pages = registry.pages(spark, SF)
