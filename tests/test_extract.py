@@ -1,8 +1,11 @@
 """The golden results page, entities, links and the rule sets."""
 
 import html as python_html
+import re
+from html.entities import name2codepoint
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cardmill.functions import html, keys, links
@@ -187,6 +190,37 @@ def test_long_text_does_not_overflow(spark):
     assert out.content == "x & y " * 50_000
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    texts=st.lists(
+        st.lists(
+            st.sampled_from(["&amp;", "&lt;", "&eacute;", "&#65;", "&#x1F600;", "&", ";", "#", "x", "4", "é", "&nope;", "\n", " "]),
+            max_size=12,
+        ).map("".join),
+        min_size=1,
+        max_size=300,
+    )
+)
+def test_entities_in_any_text(spark, texts):
+    def decode(match):
+        name = match.group(1)
+        if name.startswith("#"):
+            return python_html.unescape(match.group())
+        return chr(name2codepoint[name]) if name in name2codepoint else match.group()
+
+    pattern = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html.decode_entities(F.col("t")))
+    assert {r[0]: r[1] for r in df.collect()} == {t: re.sub(pattern, decode, t) for t in texts}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hrefs=st.lists(st.text("q=?&/ax%é", max_size=15), min_size=1, max_size=300))
+def test_redirect_target_of_any_href(spark, hrefs):
+    expected = {h: h.split("?")[1].lstrip("q=").split("&")[0] if "?" in h else "" for h in hrefs}
+    df = spark.createDataFrame([(h,) for h in hrefs], "h string").select("h", links.redirect_target(F.col("h")))
+    assert {r[0]: r[1] for r in df.collect()} == expected
+
+
 def test_tags_and_comments_go(spark):
     texts = {
         "a<b>b</b>c<br>": "abc",
