@@ -1,47 +1,77 @@
-"""Search over the stored table, reading the newest dates first."""
+"""Feed and search over the stored table, reading its newest folders only.
+
+One page needs few rows, and a table of many years has many files. These plans
+go by the calendar: they look into the folder of one date, then of the two
+before it, then of four, until what they found suffices. Older folders are
+neither listed nor opened. ``until`` is a date that no stored entry is later
+than, such as the date of the last run.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.feed import check_bounds, feed_page
-from ..operators.newest import MAX_DATES
+from ..operators.feed import check_bounds, feed_page, page_meta
 from ..operators.search import search, search_meta, search_page
-from ..schema import PAGE_SIZE, SEARCH_CAP
+from ..schema import FEED_CAP, PAGE_SIZE, SEARCH_CAP
 from ..sources.entries import read_entries
 
+# Six steps: 1, 2, 4, 8, 16 and 32 days.
+WALK_DAYS = 63
 
-def dates_with_matches(entries: DataFrame, pattern: str, rows: int) -> DataFrame:
-    """The entries of the newest dates that together hold at least ``rows`` matches.
 
-    Counts the matches of the newest date, then of the two before it, and so
-    on, each time in a window twice as wide and in a job of its own, until they
-    suffice. A frequent word is found in the first windows; for a rare one this
-    ends with the whole table, each date counted once.
+def newest_folders(
+    spark: SparkSession, path: str, until: str, rows: int, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The entries of the newest dates that hold at least ``rows`` rows, or that many ``keep`` keeps.
+
+    Each step counts in a window of its own, so no date is counted twice. If
+    ``WALK_DAYS`` do not suffice this gives the whole table: what is so rare or
+    so old is better looked for once, everywhere.
     """
-    date = F.col("date_scraped")
-    newest_first = entries.select(date).distinct().orderBy(date.desc()).limit(MAX_DATES).collect()
-    dates = [row[0] for row in newest_first]
-    found, first, width = 0, 0, 1
-    while first < len(dates):
-        window = dates[first : first + width]
-        found += search(entries.filter(date.between(window[-1], window[0])), pattern).count()
+    last = date.fromisoformat(until)
+    dates: list[str] = []
+    found = 0
+    while len(dates) < WALK_DAYS:
+        window = [(last - timedelta(days)).isoformat() for days in range(len(dates), 2 * len(dates) + 1)]
+        entries = read_entries(spark, path, window)
+        found += (keep(entries) if keep else entries).count()
+        dates += window
         if found >= rows:
-            return entries.filter(date >= window[-1])
-        first, width = first + width, width * 2
-    return entries
+            return read_entries(spark, path, dates)
+    return read_entries(spark, path)
 
 
-def stored_search_page(spark: SparkSession, path: str, pattern: str, page: int = 1) -> DataFrame:
-    """A page of the newest matches; dates older than these matches are not scanned."""
+def stored_feed_page(spark: SparkSession, path: str, until: str, page: int = 1) -> DataFrame:
+    check_bounds(page=page)
+    return feed_page(newest_folders(spark, path, until, page * PAGE_SIZE), page)
+
+
+def stored_page_meta(spark: SparkSession, path: str, until: str, page: int = 1) -> DataFrame:
+    """Page counts, which end at the cap and so need the newest rows up to it."""
+    check_bounds(page=page)
+    return page_meta(newest_folders(spark, path, until, FEED_CAP), page)
+
+
+def _matching_folders(spark: SparkSession, path: str, until: str, pattern: str, rows: int) -> DataFrame:
+    return newest_folders(spark, path, until, rows, keep=lambda entries: search(entries, pattern))
+
+
+def stored_search_page(spark: SparkSession, path: str, until: str, pattern: str, page: int = 1) -> DataFrame:
+    """A page of the newest matches. A frequent word is found in the newest folders; a rare one takes all."""
     check_bounds(page=page)
     if not pattern:
-        return feed_page(read_entries(spark, path), page)
+        return stored_feed_page(spark, path, until, page)
     rows = min(page * PAGE_SIZE, SEARCH_CAP)
-    return search_page(dates_with_matches(read_entries(spark, path), pattern, rows), pattern, page)
+    return search_page(_matching_folders(spark, path, until, pattern, rows), pattern, page)
 
 
-def stored_search_meta(spark: SparkSession, path: str, pattern: str, page: int = 1) -> DataFrame:
-    """Page counts over the newest matches; stops looking at dates once the cap is reached."""
-    entries = read_entries(spark, path)
-    return search_meta(dates_with_matches(entries, pattern, SEARCH_CAP) if pattern else entries, pattern, page)
+def stored_search_meta(spark: SparkSession, path: str, until: str, pattern: str, page: int = 1) -> DataFrame:
+    """Page counts over the newest matches, which end at the cap."""
+    check_bounds(page=page)
+    if not pattern:
+        return stored_page_meta(spark, path, until, page)
+    return search_meta(_matching_folders(spark, path, until, pattern, SEARCH_CAP), pattern, page)

@@ -39,7 +39,7 @@ def test_ingest_is_an_anti_join_on_pruned_dates(spark, stored_table, snippets, p
     filters = plan.rsplit("PartitionFilters:", 1)[1].split("PushedFilters", 1)[0]
     assert "LeftAnti" in plan and "= 2024-01-03" in filters
     assert "row_number(), 1, Partial" in plan
-    assert "entries/date_scraped=2024-01-03" in plan  # the only folder that is listed
+    assert all("/date_scraped=2024-01-03/" in name for name in stored.inputFiles())
 
 
 def test_ingest_prunes_by_the_dates_of_the_batch(table, snippets, plan_of):

@@ -1,8 +1,6 @@
 import pytest
 
 from cardmill.operators import feed, search
-from cardmill.plans.stored import dates_with_matches, stored_search_meta, stored_search_page
-from cardmill.sources.entries import read_entries
 
 
 def test_title_or_content_in_any_case(make_entries):
@@ -46,18 +44,3 @@ def test_no_cap(snippets):
 def test_bad_page(snippets):
     with pytest.raises(ValueError):
         search.search_page(snippets, "the", 0)
-
-
-@pytest.mark.parametrize("pattern", ["the", "ÉLE", "no such words", ""])
-@pytest.mark.parametrize("page", [1, 3])
-def test_stored_search_equals_search(spark, stored_table, snippets, pattern, page):
-    expected = search.search_page(snippets, pattern, page).collect()
-    assert stored_search_page(spark, stored_table, pattern, page).collect() == expected
-    counts = search.search_meta(snippets, pattern, page).collect()
-    assert stored_search_meta(spark, stored_table, pattern, page).collect() == counts
-
-
-def test_frequent_words_need_few_dates(spark, stored_table):
-    table = read_entries(spark, stored_table)
-    assert dates_with_matches(table, "e", 30).select("date_scraped").distinct().count() <= 3
-    assert dates_with_matches(table, "no such words", 30).select("date_scraped").distinct().count() == 30

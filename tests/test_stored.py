@@ -1,0 +1,73 @@
+"""Plans over the stored table against the operators over the same rows."""
+
+import pytest
+
+from cardmill.operators import feed, search
+from cardmill.plans import stored
+from cardmill.sources.entries import append_entries
+
+LAST = "2024-01-30"
+
+
+def dates_of(df):
+    return df.select("date_scraped").distinct().count()
+
+
+@pytest.mark.parametrize("until", [LAST, "2024-03-15", "2031-01-01"])
+def test_feed(spark, stored_table, snippets, until):
+    for page in (1, 3):
+        expected = feed.feed_page(snippets, page).collect()
+        assert stored.stored_feed_page(spark, stored_table, until, page).collect() == expected
+    assert stored.stored_page_meta(spark, stored_table, until).collect() == feed.page_meta(snippets).collect()
+
+
+def test_pages_near_and_past_the_end(spark, stored_table, snippets):
+    for page in (34, 40):
+        expected = feed.feed_page(snippets, page).collect()
+        assert stored.stored_feed_page(spark, stored_table, LAST, page).collect() == expected
+
+
+@pytest.mark.parametrize("pattern", ["the", "ÉLE", "no such words", ""])
+def test_search(spark, stored_table, snippets, pattern):
+    expected = search.search_page(snippets, pattern, 2).collect()
+    assert stored.stored_search_page(spark, stored_table, LAST, pattern, 2).collect() == expected
+    counts = search.search_meta(snippets, pattern, 2).collect()
+    assert stored.stored_search_meta(spark, stored_table, LAST, pattern, 2).collect() == counts
+
+
+def test_few_folders_are_read(spark, stored_table):
+    def folders(*args, **more):
+        return dates_of(stored.newest_folders(spark, stored_table, *args, **more))
+
+    assert folders(LAST, 30) == 1
+    assert folders(LAST, 60) == 3
+    assert folders("2024-02-02", 30) == 4  # windows of 1, 2 and 4 days, three of them empty
+    assert folders(LAST, 30, keep=lambda df: search.search(df, "e")) <= 3
+    assert folders(LAST, 30, keep=lambda df: search.search(df, "no such words")) == 30
+
+
+def test_only_the_needed_folders_are_listed(spark, stored_table):
+    files = stored.newest_folders(spark, stored_table, LAST, 30).inputFiles()
+    assert files and all(f"/date_scraped={LAST}/" in name for name in files)
+
+
+def test_gaps_between_dates(spark, tmp_path, make_entries):
+    path = str(tmp_path / "entries")
+    days = ["2020-02-29", "2021-12-31", "2022-01-01", "2024-01-30"]
+    table = make_entries([{"date_scraped": day, "title": f"{day} {i}"} for day in days for i in range(20)])
+    append_entries(table, path)
+    for page in (1, 2, 3):
+        expected = feed.feed_page(table, page).collect()
+        assert stored.stored_feed_page(spark, path, LAST, page).collect() == expected
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert stored.stored_feed_page(spark, path, LAST).count() == 0
+    assert stored.stored_page_meta(spark, path, LAST).first().total == 0
+
+
+@pytest.mark.parametrize("plan", [stored.stored_feed_page, stored.stored_page_meta])
+def test_bad_page(spark, stored_table, plan):
+    with pytest.raises(ValueError):
+        plan(spark, stored_table, LAST, 0)
