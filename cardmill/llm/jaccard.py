@@ -6,8 +6,8 @@ shingles is at least 3/4. Sets of sizes a and b that link differ in at most
 set takes part in the instance of its own band and in that of the next, where
 it meets larger partners. An instance deals the domain of shingles into
 partitions by hash; a set has a signature for each partition that is not
-empty: the partition and all it holds. Partners differ in at most k
-partitions, so a set with k + 1 partitions in use agrees with each partner in
+empty: the partition and all it holds. Partners differ in at most k of the
+partitions, k being the most that the set's own size allows, so a set with k + 1 partitions in use agrees with each partner in
 one of them at least. Where too few are in use, the set also takes part in a
 further level with more partitions, until enough are.
 
@@ -86,13 +86,14 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(shingles)
     band = int(np.searchsorted(_ENDS, n))
     end = int(_ENDS[band])
-    instances = [(band, 2 * end // 7)]
+    instances = [(band, (n + min(end, 4 * n // 3)) // 7)]
     if 4 * n >= 3 * (end + 1):
-        instances.append((band + 1, end // 3))
+        instances.append((band + 1, n // 3))
     sigs, tags = [], []
     for instance, k in instances:
+        most = 2 * int(_ENDS[instance]) // 7  # as many partitions for all sets of the instance
         for level in range(32):
-            n_parts = 1 if k == 0 else int((k + 1) * MORE_PARTITIONS * LEVEL_GROWTH**level) + 1
+            n_parts = 1 if most == 0 else int((most + 1) * MORE_PARTITIONS * LEVEL_GROWTH**level) + 1
             part = _mix(shingles + np.uint64((level + 1) * 0x51ED2701)) % np.uint64(n_parts)
             order = np.argsort(part, kind="stable")
             part = part[order]
