@@ -4,19 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard
+from . import bpe, jaccard, mixing, pii, quality
 from .tables import read_documents
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes documents: counts and digests of the ids and of the decoded bytes."""
+    ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
+    ids = F.col("ids")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(ids, ranks), 256).alias("decoded_sha256"),
+    )
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_components(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(mixing.sized_documents(read_documents(spark, sf_dir)))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return quality.quality_rules(docs).select("doc_id", "quality.*")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find_pii(read_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.KINDS[:4]))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+    return docs.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {}
