@@ -12,9 +12,10 @@ one of them at least. Where too few are in use, the set also takes part in a
 further level with more partitions, until enough are.
 
 Signatures of up to ``PAIRED`` sets give pairs, at most (PAIRED - 1) / 2 a row. A signature
-with more sets is not used by a set that still has k + 1 others. Sets that lack these,
-mostly members of large groups of copies, are compared with some centres of
-each such signature, and then only with sets of other components.
+with more sets, such as that of a common line, is not used by a set that still has k + 1 others. Sets that lack these
+take part once more with several times the partitions, of which more can be spared. Those
+that still lack them are mostly members of large groups of copies. They are compared with some centres of
+each such signature, in rounds, and then with all its sets of other components.
 
 Pairs are compared on counts of shingles in hash buckets, whose distance is never
 above that of the sets, and those that may link on the sets themselves.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,17 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .tables import free_name, semi_join, stored
+from .tables import BROADCAST_KEYS, stored
 
 SHINGLE_WORDS = 5
 PAIRED = 16  # sets of a signature that are all paired
+ROUNDS = 2
 CENTRES = 4  # sets of a larger signature that all others are compared with
-MORE_PARTITIONS = 1.2  # partitions for each one that is needed
+MORE_PARTITIONS = 1.1  # partitions for each one that is needed
 LEVEL_GROWTH = 1.25
+FINE_PARTITIONS = 3  # times as many at the fine level
+FINE_LEVEL = 32  # number of the first fine level
 EMIT_ROWS = 100_000
+NO_ID = -(2**63)  # stands for a missing id in joins
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMITTED = "sig long, node long, tag int, payload binary"
+_EMITTED_NAMES = ["sig", "node", "tag", "payload"]
 _GROUPED = "a long, b long, tag int, payload binary, kind string"
 
 
@@ -78,10 +85,21 @@ def _band_ends() -> np.ndarray:
 _ENDS = _band_ends()
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _level_signatures(shingles: np.ndarray, instance: int, n_parts: int, level: int) -> np.ndarray:
+    part = _mix(shingles + np.uint64((level + 1) * 0x51ED2701)) % np.uint64(n_parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    content = np.add.reduceat(_mix(shingles[order] ^ _STEP), starts)
+    place = part[starts] * np.uint64(1 << 20) + np.uint64(instance * 64 + level)
+    return _mix(content + _mix(place))
+
+
+def signatures(shingles: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set that is not empty, and for each its tag: spare * 64 + level * 2 + upper.
 
     ``spare``: how many of the signatures of this instance and level the set can do without.
+    ``fine``: at a level of its own with several times the partitions, so that much can be spared.
     """
     n = len(shingles)
     band = int(np.searchsorted(_ENDS, n))
@@ -92,17 +110,12 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sigs, tags = [], []
     for instance, k in instances:
         most = 2 * int(_ENDS[instance]) // 7  # as many partitions for all sets of the instance
-        for level in range(32):
-            n_parts = 1 if most == 0 else int((most + 1) * MORE_PARTITIONS * LEVEL_GROWTH**level) + 1
-            part = _mix(shingles + np.uint64((level + 1) * 0x51ED2701)) % np.uint64(n_parts)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            content = np.add.reduceat(_mix(shingles[order] ^ _STEP), starts)
-            place = part[starts] * np.uint64(1 << 20) + np.uint64(instance * 64 + level)
-            sigs.append(_mix(content + _mix(place)))
-            spare = len(starts) - (k + 1)
-            tags.append(np.full(len(starts), max(0, spare) * 64 + level * 2 + (instance != band), np.int32))
+        for level in range(FINE_LEVEL if fine else 0, FINE_LEVEL * (1 + fine)):
+            growth = MORE_PARTITIONS * LEVEL_GROWTH ** (level % FINE_LEVEL) * (FINE_PARTITIONS if fine else 1)
+            own = _level_signatures(shingles, instance, 1 if most == 0 else int((most + 1) * growth) + 1, level)
+            sigs.append(own)
+            spare = len(own) - (k + 1)
+            tags.append(np.full(len(own), max(0, spare) * 64 + (level % FINE_LEVEL) * 2 + (instance != band), np.int32))
             if spare >= 0:
                 break
     return np.concatenate(sigs), np.concatenate(tags)
@@ -149,7 +162,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array([p for run in payloads for p in run], pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(arrays[0].view(np.int64)), pa.array(arrays[1]), pa.array(arrays[2]), values],
-            ["sig", "node", "tag", "payload"],
+            _EMITTED_NAMES,
         )
 
     for batch in batches:
@@ -226,11 +239,19 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, tag = (np.r_[h, x[~documents]] for h, x in zip(held, (sig, node, tag)))
         if not len(sig):
             continue
+        last = batch.column(0)[-1].as_py()
+        same = sig[1:] == sig[:-1]  # a signature of one row is done, but for the last
+        several = np.r_[False, same] | np.r_[same, False] | (sig == last)
+        if last_large is not None:
+            several |= sig == last_large
+        sig, node, tag = sig[several], node[several], tag[several]
+        if not len(sig):
+            held = (sig, node, tag)
+            continue
         order = np.lexsort((tag, node, sig))
         sig, node, tag = sig[order], node[order], tag[order]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
         sig, node, tag = sig[fresh], node[fresh], tag[fresh]
-        last = batch.column(0)[-1].as_py()
         end = sig == last  # may go on in the next batch
         yield from grouped(sig[~end], node[~end], tag[~end])
         if end.sum() > PAIRED or last == last_large:
@@ -244,12 +265,10 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
-    """A row for each distinct set: its size, its sketch and a document that has it."""
-    has = F.col("n") > 0
-    return documents.filter(has).groupBy("node").agg(
-        F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"),
-        F.max(F.col("doc_id").isNull()).alias("unnamed"),
-    )
+    """A row for each distinct set: its size, its sketch, and the id and mark of a document that has it."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("one")
+    sets = documents.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), one)
+    return sets.select("node", "n", "sketch", "one.doc_id", "one.mark")
 
 
 def _documents(grouped: DataFrame) -> DataFrame:
@@ -288,24 +307,29 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return close.join(side("a"), "a").join(side("b"), "b").mapInPandas(keep, "a long, b long")
 
 
+def _documents_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of the documents that wanted nodes name, more than once where rows repeat."""
+    of = F.coalesce("doc_id", F.lit(NO_ID)).alias("of")
+    named = stored(wanted.join(nodes, "node").select("node", of, "mark"), "named")
+    if 3 * named.count() <= BROADCAST_KEYS:
+        named = F.broadcast(named)
+    return docs.select(of, "mark", "text").join(named, ["of", "mark"]).select("node", "text")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that link, by their sets, which only the documents of these pairs are read again for."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = stored(wanted.join(nodes.select("node", "doc_id", "unnamed"), "node"), "chosen")
-    ids = stored(chosen.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")
-    again = semi_join(docs, ids, "doc_id").unionByName(docs.filter("doc_id IS NULL"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    again = _documents_of(docs, wanted, nodes)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                shingles = shingle_set(text.as_py())
-                if len(shingles):
-                    short = np.unique(shingles & np.uint64((1 << 48) - 1))
-                    packed = short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    yield pa.RecordBatch.from_pydict({"node": [_node(shingles)], "packed": [packed]})
+            packed = []
+            for text in batch.column(1):
+                short = np.unique(shingle_set(text.as_py()) & np.uint64((1 << 48) - 1))
+                packed.append(short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    found = again.select("text").mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"])
-    found = stored(found.join(chosen.select("node"), "node", "left_semi"), "sets")
+    found = stored(again.mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"]), "sets")
 
     def unpacked(packed: bytes) -> np.ndarray:
         rows = np.frombuffer(packed, np.uint8).reshape(-1, 6)
@@ -338,14 +362,46 @@ def _needed(large: DataFrame) -> DataFrame:
     return lost.filter(F.col("n_lost") > F.shiftright("tag", 6)).select("sig", "node")
 
 
-def _centred(needed: DataFrame) -> DataFrame:
-    """Each set with some centres of each of its signatures. The same sets tend to be centres everywhere."""
+def _centred(needed: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """The sets of each signature with some centres of it, those of one component left out.
+
+    The same sets tend to be centres everywhere, so there are few distinct pairs.
+    """
+    if roots is None:
+        placed = needed.withColumn("root", F.col("node"))
+    else:
+        placed = _mixed(needed, roots)
     centres = None
-    for turn in range(CENTRES):
-        by = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node")
-        one = needed.groupBy("sig").agg(F.min(by)["node"].alias("a"))
+    for k in range(CENTRES):
+        by = F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("by"), "node", "root")
+        one = placed.groupBy("sig").agg(F.min(by).alias("c")).select("sig", "c.node", "c.root")
         centres = one if centres is None else centres.unionByName(one)
-    return _ordered(needed.join(centres.distinct(), "sig").select("a", F.col("node").alias("b")))
+    centres = centres.distinct().select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    pairs = placed.join(centres, "sig").filter("root <> root_a")
+    return _ordered(pairs.select("a", F.col("node").alias("b")))
+
+
+def _mixed(needed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(sig, node, root)`` of the signatures whose sets are of several components."""
+    placed = needed.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    return placed.join(mixed.select("sig"), "sig")
+
+
+def _fine(docs: DataFrame, needed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs and members of large signatures, as from ``_group``, of the needed sets at the fine level."""
+    wanted = stored(needed.select("node").distinct(), "wanted")
+    again = _documents_of(docs, wanted, nodes)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sigs, tags = signatures(shingle_set(text.as_py()), fine=True)
+                columns = [pa.array(sigs.view(np.int64)), pa.array(np.full(len(sigs), node)), pa.array(tags)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sigs), pa.binary())], _EMITTED_NAMES)
+
+    emitted = again.mapInArrow(emit, _EMITTED).repartition("sig").sortWithinPartitions("sig")
+    return stored(emitted.mapInArrow(_group, _GROUPED), "grouped", by="kind")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -363,9 +419,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _cross(needed: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of sets that need a signature in common and are of different components."""
-    placed = needed.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    placed = placed.join(mixed.select("sig"), "sig")
+    placed = _mixed(needed, roots)
     other = placed.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = placed.withColumnRenamed("node", "a").join(other, "sig").filter("root <> root_b AND a < b")
     return pairs.select("a", "b").distinct()
@@ -389,15 +443,23 @@ def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     grouped = stored(emitted.mapInArrow(_group, _GROUPED), "grouped", by="kind")
     documents = stored(_documents(grouped), "documents")
     nodes = stored(_nodes(documents), "nodes")
-    pairs_of = lambda kind: grouped.filter(F.col("kind") == kind).select("a", "b")
-
     needed = stored(_needed(grouped.filter("kind = 'large'")), "needed")
-    first = _ordered(pairs_of("star").unionByName(_centred(needed)))
-    links = stored(_verified(docs, stored(_likely(first, nodes), "likely"), nodes), "links")
-    roots = stored(components(links), "roots")
-    rest = _ordered(_apart(_ordered(pairs_of("rest")), roots).unionByName(_cross(needed, roots)))
-    more = stored(_verified(docs, stored(_likely(rest, nodes), "likely"), nodes), "links")
-    roots = stored(components(links.unionByName(more)), "roots")
+    fine = _fine(docs, needed, nodes)
+    needed = stored(_needed(fine.filter("kind = 'large'")), "needed")
+    pairs_of = lambda kind: _ordered(
+        grouped.unionByName(fine).filter(F.col("kind") == kind).select("a", "b")
+    )
+    links = []
+
+    def follow(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs, adds what links, and gives the components so far."""
+        links.append(stored(_verified(docs, stored(_likely(pairs, nodes), "likely"), nodes), "links"))
+        return stored(components(reduce(DataFrame.unionByName, links)), "roots")
+
+    roots = follow(_ordered(pairs_of("star").unionByName(_centred(needed, None, 0))))
+    for turn in range(1, ROUNDS):
+        roots = follow(_centred(needed, roots, turn))
+    roots = follow(_ordered(_apart(pairs_of("rest"), roots).unionByName(_cross(needed, roots))))
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
     least = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
