@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .tables import BROADCAST_KEYS, stored
+from .tables import BROADCAST_KEYS, free_name, stored
 
 SHINGLE_WORDS = 5
 PAIRED = 16  # sets of a signature that are all paired
@@ -467,3 +467,27 @@ def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     labelled = documents.join(labels, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return labelled.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that with its smallest ``doc_id``.
+
+    Documents without shingles stay, and so do those of components in which no document has an id. Of rows that
+    repeat the document that stays, one stays.
+    """
+    mark = free_name(docs, "mark")
+    labelled = shingle_components(docs).withColumn("of", F.coalesce("doc_id", F.lit(NO_ID)))
+    labelled = stored(labelled.filter("n_shingles > 0 AND component_id IS NOT NULL"), "labelled")
+    winners = labelled.filter("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("best"))
+    rows = labelled.groupBy("component_id", "of", "mark").agg(F.count(F.lit(1)).alias("n")).join(winners, "component_id")
+    stays = (F.col("of") == F.col("component_id")) & (F.col("mark") == F.col("best"))
+    decided = stored(rows.select("of", "mark", "n", stays.alias("stays")), "decided")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("of__"), F.col(mark) == F.col("mark__")]
+    named = lambda rows: rows.select(F.col("of").alias("of__"), F.col("mark").alias("mark__"))
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    kept = marked.join(named(decided.filter("NOT stays")), key, "left_anti")
+    repeated = stored(decided.filter("stays AND n > 1").select("of", "mark"), "repeated")
+    if not repeated.isEmpty():
+        again = kept.join(named(repeated), key, "left_semi").dropDuplicates(["doc_id", mark])
+        kept = kept.join(named(repeated), key, "left_anti").unionByName(again)
+    return kept.drop(mark)

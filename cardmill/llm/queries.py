@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, pii, quality
-from .tables import read_documents
+from . import bpe, chat, jaccard, licenses, mixing, nn_descent, pii, quality, token_rollup, warc
+from ..session import shared_folder
+from .tables import WORD, read_documents, stored
 
+LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SYMBOL_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>][^\x20\x09-\x0D]*+"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,15 +35,68 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_documents(spark, sf_dir))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: words of all documents, words of letters and digits too, repeated texts taken
+    out again, and the first counts revised to leave out words with symbols. The last two are committed twice."""
+    path = f"{shared_folder(spark)}/rollup-{uuid.uuid4()}"
+    text = F.col("text")
+    docs = read_documents(spark, sf_dir).select(
+        "doc_id",
+        "source",
+        "lang",
+        F.md5(text).alias("mark"),
+        token_rollup.token_count(text, WORD).alias("words"),
+        token_rollup.token_count(text, LETTERS).alias("letters"),
+        token_rollup.token_count(text, SYMBOL_WORD).alias("symbols"),
+    )
+    docs = stored(docs, "counted")
+    words, letters, plain = F.col("words"), F.col("letters"), F.col("words") - F.col("symbols")
+    firsts = docs.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    again = docs.join(stored(firsts.filter("first < last"), "firsts"), "mark").filter("doc_id > first")
+    of = lambda version, rows, old, new: token_rollup.changes(rows, version, old, new)
+    batches = {
+        "0": of("words", docs, None, words),
+        "1": of("letters", docs, None, letters),
+        "2": of("words", again, words, None).unionByName(of("letters", again, letters, None)),
+        "3": of("words", docs.filter("symbols > 0"), words, plain),
+        "4": of("words", again.filter("symbols > 0"), plain, words),  # these were gone before
+    }
+    for batch in ("0", "1", "2", "2", "3", "4", "3"):
+        token_rollup.commit(path, batch, batches[batch])
+    return token_rollup.totals(spark, path)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read_documents(spark, sf_dir))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score"
+    )
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_components(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
+    warc.write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read_pages(spark, folder)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(mixing.sized_documents(read_documents(spark, sf_dir)))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return quality.quality_rules(docs).select("doc_id", "quality.*")
@@ -60,9 +117,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_rollup": op2_token_rollup,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_warc": op6_warc,
     "op7_mix_sources": op7_mix_sources,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
