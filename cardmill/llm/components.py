@@ -8,25 +8,20 @@ from .tables import stored
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """Each directed edge ``(u, v)`` with ``m``, the smallest of ``u`` and all its ``v``."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    """``(u, m)``: the smallest of each ``u`` and all its ``v``."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    return _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_smallest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    tied = _smallest(down)
-    return (
-        tied.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(tied.select("u", F.col("m").alias("v")))
-        .filter("u > v")
-        .distinct()
-    )
+    """For edges whose ``u`` is the larger end."""
+    least = _smallest(edges)
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.withColumnRenamed("m", "v")).filter("u > v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     grows with the logarithm of the longest path. Repeated links, links of a
     node with itself and an empty table are allowed; nodes are not null.
     """
-    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "links")
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     before = None
     mark = _mark(edges)
     while mark[0] and mark != before:

@@ -15,7 +15,8 @@ Signatures of up to ``PAIRED`` sets give pairs, at most (PAIRED - 1) / 2 a row.
 with more sets, such as that of a common line, is not used by a set that still has k + 1 others. Sets that lack these
 take part once more with several times the partitions, of which more can be spared. Those
 that still lack them are mostly members of large groups of copies. They are compared with some centres of
-each such signature, in rounds, and then with all its sets of other components.
+each such signature. Where its sets are then of several components, all sets that such signatures
+connect are compared in pairs of blocks of ``BLOCK`` sets, but for pairs within the largest component.
 
 Pairs are compared on counts of shingles in hash buckets, whose distance is never
 above that of the sets, and those that may link on the sets themselves.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,8 +39,8 @@ from .tables import BROADCAST_KEYS, free_name, stored
 
 SHINGLE_WORDS = 5
 PAIRED = 16  # sets of a signature that are all paired
-ROUNDS = 2
-CENTRES = 4  # sets of a larger signature that all others are compared with
+BLOCK = 256
+CENTRES = 6  # sets of a larger signature that all others are compared with
 MORE_PARTITIONS = 1.1  # partitions for each one that is needed
 LEVEL_GROWTH = 1.25
 FINE_PARTITIONS = 3  # times as many at the fine level
@@ -71,8 +71,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = len(words) - width + 1
     out = np.full(n, width, np.uint64)
     for j in range(width):
-        out = _mix(out * _STEP + hashes[j : n + j])
-    return np.unique(out)
+        out = out * _STEP + hashes[j : n + j]
+    return np.unique(_mix(out))
 
 
 def _band_ends() -> np.ndarray:
@@ -86,13 +86,12 @@ _ENDS = _band_ends()
 
 
 def _level_signatures(shingles: np.ndarray, instance: int, n_parts: int, level: int) -> np.ndarray:
-    part = _mix(shingles + np.uint64((level + 1) * 0x51ED2701)) % np.uint64(n_parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    content = np.add.reduceat(_mix(shingles[order] ^ _STEP), starts)
-    place = part[starts] * np.uint64(1 << 20) + np.uint64(instance * 64 + level)
-    return _mix(content + _mix(place))
+    mixed = _mix(shingles + np.uint64((level + 1) * 0x51ED2701))
+    part = ((mixed >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    content = np.zeros(n_parts, np.uint64)
+    np.add.at(content, part, mixed)
+    used = np.flatnonzero(np.bincount(part, minlength=n_parts))
+    return _mix(content[used] + used.astype(np.uint64) * _STEP + np.uint64(instance * 64 + level))
 
 
 def signatures(shingles: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -302,9 +301,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             columns = (batch[c] for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
             yield batch.loc[[_may_link(*x) for x in zip(*columns)], ["a", "b"]]
 
-    sizes = pairs.join(side("a").select("a", "n_a"), "a").join(side("b").select("b", "n_b"), "b")
-    close = sizes.filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
-    return close.join(side("a"), "a").join(side("b"), "b").mapInPandas(keep, "a long, b long")
+    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = known.filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    return close.mapInPandas(keep, "a long, b long")
 
 
 def _documents_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,10 +315,8 @@ def _documents_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataF
     return docs.select(of, "mark", "text").join(named, ["of", "mark"]).select("node", "text")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that link, by their sets, which only the documents of these pairs are read again for."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    again = _documents_of(docs, wanted, nodes)
+def _sets_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, packed)``: the set of each wanted node."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,20 +326,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 packed.append(short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    found = stored(again.mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"]), "sets")
+    found = _documents_of(docs, wanted, nodes).mapInArrow(sets, "node long, packed binary")
+    return stored(found.dropDuplicates(["node"]), "sets")
+
 
-    def unpacked(packed: bytes) -> np.ndarray:
-        rows = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(rows), 8), np.uint8)
-        wide[:, :6] = rows
-        return wide.view(np.uint64).ravel()
+def _unpacked(packed: bytes) -> np.ndarray:
+    rows = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :6] = rows
+    return wide.view(np.uint64).ravel()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that link, by their sets, which only the documents of these pairs are read again for."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    found = _sets_of(docs, wanted, nodes)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets_a, sets_b = batch.column(2), batch.column(3)
             keep = [
-                i for i in range(len(a)) if _linked(unpacked(sets_a[i].as_py()), unpacked(sets_b[i].as_py()))
+                i for i in range(len(a)) if _linked(_unpacked(sets_a[i].as_py()), _unpacked(sets_b[i].as_py()))
             ]
             yield pa.RecordBatch.from_pydict(
                 {"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())}
@@ -362,22 +367,14 @@ def _needed(large: DataFrame) -> DataFrame:
     return lost.filter(F.col("n_lost") > F.shiftright("tag", 6)).select("sig", "node")
 
 
-def _centred(needed: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """The sets of each signature with some centres of it, those of one component left out.
+def _centred(needed: DataFrame) -> DataFrame:
+    """The sets of each signature with some centres of it.
 
     The same sets tend to be centres everywhere, so there are few distinct pairs.
     """
-    if roots is None:
-        placed = needed.withColumn("root", F.col("node"))
-    else:
-        placed = _mixed(needed, roots)
-    centres = None
-    for k in range(CENTRES):
-        by = F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("by"), "node", "root")
-        one = placed.groupBy("sig").agg(F.min(by).alias("c")).select("sig", "c.node", "c.root")
-        centres = one if centres is None else centres.unionByName(one)
-    centres = centres.distinct().select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = placed.join(centres, "sig").filter("root <> root_a")
+    by = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node"))["node"] for k in range(CENTRES)]
+    centres = needed.groupBy("sig").agg(F.array_distinct(F.array(*by)).alias("centres"))
+    pairs = needed.join(centres.select("sig", F.explode("centres").alias("a")), "sig")
     return _ordered(pairs.select("a", F.col("node").alias("b")))
 
 
@@ -417,12 +414,85 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter("NOT (root_a <=> root_b) OR root_a IS NULL").select("a", "b")
 
 
-def _cross(needed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of sets that need a signature in common and are of different components."""
-    placed = _mixed(needed, roots)
-    other = placed.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = placed.withColumnRenamed("node", "a").join(other, "sig").filter("root <> root_b AND a < b")
-    return pairs.select("a", "b").distinct()
+def _cross(docs: DataFrame, needed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between sets that signatures they need connect and that are of different components."""
+    placed = stored(_mixed(needed, roots), "mixed")
+    least = placed.groupBy("sig").agg(F.min("node").alias("a"))
+    chains = placed.join(least, "sig").select("a", F.col("node").alias("b")).distinct()
+    clusters = components(chains).withColumnRenamed("root", "cluster")
+    of_root = placed.select("node", "root").distinct()
+    members = stored(clusters.join(of_root, "node"), "members")
+    # The sets of the largest component of a cluster have blocks of their own, after those of the others.
+    sizes = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = members.join(largest, "cluster").select(
+        "cluster", "node", "root", (F.col("root") == F.col("main")).alias("is_main"),
+        blocks(F.col("n_main")).alias("n_main"), blocks(F.col("n_all") - F.col("n_main")).alias("n_other"),
+    )
+    own = F.when(F.col("is_main"), F.col("n_other") + F.pmod(F.xxhash64("node"), "n_main")).otherwise(
+        F.pmod(F.xxhash64("node"), F.greatest("n_other", F.lit(1)))
+    )
+    last = F.when(F.col("is_main"), F.col("n_other")).otherwise(F.col("n_other") + F.col("n_main")) - 1
+    other = F.explode(F.sequence(F.lit(0), last.cast("long"))).alias("other")
+    pairs = dealt.withColumn("own", own.cast("long")).select("cluster", "node", "root", "own", other)
+    sets = _sets_of(docs, stored(members.select("node").distinct(), "wanted"), nodes)
+    rows = pairs.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root")
+    together = rows.join(sets, "node").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    columns = together.select("cluster", "x", "y", "node", "root", "packed")
+    return columns.mapInArrow(_compare_blocks, "a long, b long")
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of pairs of blocks to links that connect the components in each pair."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if row[:3] != key:
+                if held:
+                    yield _block_links(held)
+                key, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield _block_links(held)
+
+
+def _block_links(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    sets = [_unpacked(packed) for _, _, packed in rows]
+    sizes = np.array([len(s) for s in sets])
+    _, feature, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[feature] > 1
+    column = (np.cumsum(counts > 1) - 1)[feature[shared]]
+    row = np.repeat(np.arange(len(sets)), sizes)[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at = slice(*np.searchsorted(column, (start, start + width)))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[at], column[at] - start] = 1.0
+        both += part @ part.T
+    both = np.rint(both).astype(np.int64)
+    linked = np.triu(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both), 1)
+    parent = {root: root for _, root, _ in rows}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = top(rows[i][1]), top(rows[j][1])
+        if x != y:
+            parent[x] = y
+            found.append((rows[i][0], rows[j][0]))
+    return pa.RecordBatch.from_pydict(
+        {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
+    )
 
 
 def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -449,17 +519,11 @@ def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs_of = lambda kind: _ordered(
         grouped.unionByName(fine).filter(F.col("kind") == kind).select("a", "b")
     )
-    links = []
-
-    def follow(pairs: DataFrame) -> DataFrame:
-        """Verifies pairs, adds what links, and gives the components so far."""
-        links.append(stored(_verified(docs, stored(_likely(pairs, nodes), "likely"), nodes), "links"))
-        return stored(components(reduce(DataFrame.unionByName, links)), "roots")
-
-    roots = follow(_ordered(pairs_of("star").unionByName(_centred(needed, None, 0))))
-    for turn in range(1, ROUNDS):
-        roots = follow(_centred(needed, roots, turn))
-    roots = follow(_ordered(_apart(pairs_of("rest"), roots).unionByName(_cross(needed, roots))))
+    verify = lambda pairs: _verified(docs, stored(_likely(pairs, nodes), "likely"), nodes)
+    links = stored(verify(_ordered(pairs_of("star").unionByName(_centred(needed)))), "links")
+    roots = stored(components(links), "roots")
+    more = verify(_apart(pairs_of("rest"), roots)).unionByName(_cross(docs, needed, roots, nodes))
+    roots = stored(components(links.unionByName(more)), "roots")
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
     least = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))

@@ -79,12 +79,12 @@ WARC = """
 WITH hashed AS (
     SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
 ), bits AS (
-    SELECT *, array_to_string(list_transform(range(1, 41), i -> right(bin(strpos('0123456789abcdef', hex[i]) + 15), 4)), '') AS b,
+    SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(strpos('0123456789abcdef', hex[i]) + 15), 4)), '') AS b,
         min(page_id) OVER (PARTITION BY hex) AS first
     FROM hashed
 )
 SELECT page_id, payload_bytes,
-    array_to_string(list_transform(range(0, 32), i ->
+    array_to_string(list_transform(range(0, 32), lambda i:
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
             1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT]
     ), '') AS payload_digest,
