@@ -25,8 +25,9 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS = 1 << 15
-NO_RANK = 2**31 - 1
-CHUNK_BYTES = 16 << 20  # of text
+NO_RANK = 1 << 20  # above all ranks
+PLACES = 1 << 10  # above the length of a word that is folded
+CHUNK_BYTES = 12 << 20  # of text
 LONG_WORD = 512  # bytes; a fold is quadratic, so longer words are merged with a heap
 EMIT_IDS = 1 << 20
 
@@ -36,7 +37,10 @@ _CHUNKS = "doc_ids array<long>, n_words binary, places binary, words array<binar
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with a base64 token and its rank on each line."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    if max(ranks.values(), default=0) >= NO_RANK:
+        raise ValueError(f"{path} has more than {NO_RANK} ranks")
+    return ranks
 
 
 def _byte_string(data: bytes) -> str:
@@ -50,49 +54,59 @@ def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
         key = _byte_string(token)
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
     literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-    return lambda key: literal[(F.crc32(key) % BUCKETS).cast("int")][key]
+    return lambda key: literal[F.crc32(key).bitwiseAND(F.lit(BUCKETS - 1))][key]
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> Column:
+    """The ranks of all pairs of bytes as a literal array, ``NO_RANK`` for those without."""
+    table = [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
+    return F.from_json(F.lit(json.dumps(table)), "array<int>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
+def _with(state: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(state, value)`` with the value computed once; a fold hands the state on without a copy."""
+    return F.aggregate(F.array(value), state, body)
+
+
+def fold_merges(word: Column, rank: Callable[[Column], Column], pair_table: Column) -> Column:
     """The ids of a byte string: the pair of the lowest rank, the first of these, is merged until none has a rank."""
     none = F.lit(NO_RANK)
-    ranked = lambda key: F.coalesce(rank(key), none)
-    places = F.sequence(F.lit(1), F.char_length(word))
-    parts = F.transform(places, lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(
-        places, lambda i: F.when(i < F.char_length(word), ranked(F.substring(word, i, F.lit(2)))).otherwise(none)
-    )
+    parts = F.split(word, r"(?!^|\z)")
+    values = F.transform(parts, F.ascii)
+    following = F.slice(values, F.lit(2), F.char_length(word))
+    pairs = F.zip_with(values, following, lambda a, b: F.coalesce(F.get(pair_table, a * 256 + b), none))
+
+    def put(state: Column, new: Column) -> Column:
+        """Replaces two parts by what they give, and the ranks of the pairs that this changes."""
+        at, old, ranks = new["at"], state["parts"], state["ranks"]
+        keys = F.array(F.concat(F.get(old, at - 2), new["part"]), F.concat(new["part"], F.get(old, at + 1)))
+        changed = F.transform(keys, lambda key: F.coalesce(rank(key), none))
+        before = F.when(at > 1, F.slice(ranks, F.lit(1), at - 2))
+        around = F.when(at > 1, F.concat(before, changed)).otherwise(F.slice(changed, 2, 1))
+        return F.struct(
+            F.concat(F.slice(old, F.lit(1), at - 1), F.array(new["part"]), F.slice(old, at + 2, F.size(old))).alias("parts"),
+            F.concat(around, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
+        )
 
     def merge(state: Column, at: Column) -> Column:
-        old, ranks = state["parts"], state["ranks"]
-
-        def put(merged: Column) -> Column:
-            right = F.array(ranked(F.concat(merged, F.get(old, at + 1))))
-            left = F.array(ranked(F.concat(F.get(old, at - 2), merged)))
-            after = F.slice(ranks, at + 2, F.size(ranks))
-            new = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), left, right, after))
-            return F.struct(
-                F.concat(F.slice(old, F.lit(1), at - 1), F.array(merged), F.slice(old, at + 2, F.size(old))).alias("parts"),
-                new.otherwise(F.concat(right, after)).alias("ranks"),
-            )
-
-        return _let(F.concat(F.get(old, at - 1), F.get(old, at)), put)
+        part = F.concat(F.get(state["parts"], at - 1), F.get(state["parts"], at))
+        return _with(state, F.struct(at.alias("at"), part.alias("part")), put)
 
     def step(state: Column, _: Column) -> Column:
-        def lowest(low: Column) -> Column:
-            at = F.array_position(state["ranks"], low).cast("int")
-            return F.when(low == none, state).otherwise(_let(at, lambda place: merge(state, place)))
+        def lowest(state: Column, low: Column) -> Column:
+            at = low % PLACES + 1
+            return F.when(low >= NO_RANK * PLACES, state).otherwise(merge(state, at))
 
-        return _let(F.array_min(state["ranks"]), lowest)
+        # Rank and place in one number: of equal ranks the first place is the least. array_position would be slow,
+        # for it ends by an exception.
+        return _with(state, F.array_min(F.transform(state["ranks"], lambda r, i: r * PLACES + i)), lowest)
 
     start = F.struct(parts.alias("parts"), pairs.alias("ranks"))
-    folded = F.aggregate(
-        F.slice(places, F.lit(2), F.char_length(word)), start, step, lambda state: F.transform(state["parts"], rank)
-    )
+    folded = F.aggregate(following, start, step, lambda state: F.transform(state["parts"], rank))
     whole = rank(word)
     nothing = F.expr("cast(array() as array<int>)")
     return F.when(F.char_length(word) == 0, nothing).when(whole.isNotNull(), F.array(whole)).otherwise(folded)
@@ -217,8 +231,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chunks = texts.mapInArrow(_chunked(pattern, shared), _CHUNKS)
-    rank = rank_map(ranks)
-    word_ids = F.transform("words", lambda w: _let(F.decode(w, "ISO-8859-1"), lambda s: fold_merges(s, rank)))
+    rank, pairs = rank_map(ranks), pair_ranks(ranks)
+    word_ids = F.transform("words", lambda w: _let(F.decode(w, "ISO-8859-1"), lambda s: fold_merges(s, rank, pairs)))
     encoded = chunks.select("doc_ids", "n_words", "places", "long_at", "long_ids", word_ids.alias("word_ids"))
     return encoded.mapInArrow(_unpacked, "doc_id long, ids array<int>")
 
