@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import A_TO_Z
+from .tables import A_TO_Z, BROADCAST_KEYS, stored
 
 BLOCK_WORDS = 64
 BLOCK_STEP = 32
@@ -115,11 +115,12 @@ def template_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         raise ValueError("a template is longer than two blocks overlap")
     vocabulary = sorted({word for _, words in sets for word in words})
     literal = lambda words: F.array(*map(F.lit, words))
-    worded = docs.select("doc_id", "mark", _words(_lowered_fast(F.col("text"))).alias("words"))
+    lowered = _words(_lowered_fast(F.col("text")))
+    kept = docs.select("doc_id", "mark", F.array_intersect(lowered, literal(vocabulary)).alias("own"))
+    kept = stored(kept.filter(F.size("own") > 0), "words")
 
     # At most one row for each word of the templates.
-    own = worded.select(F.explode(F.array_intersect("words", literal(vocabulary))).alias("word"))
-    counted = dict(own.groupBy("word").count().collect())
+    counted = dict(kept.select(F.explode("own").alias("word")).groupBy("word").count().collect())
     ordered = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {word: i for i, word in enumerate(ordered)}
     index = []
@@ -138,9 +139,11 @@ def template_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_STEP))
     windows = F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, F.lit(BLOCK_WORDS)), literal(ordered)))
     likely = F.filter(windows, lambda b: F.arrays_overlap(b, literal(prefixes)))
-    blocks = worded.filter(F.arrays_overlap("words", literal(prefixes))).select(
-        "doc_id", "mark", F.explode(likely).alias("block")
-    )
+    some = stored(kept.filter(F.arrays_overlap("own", literal(prefixes))).select("doc_id", "mark").distinct(), "likely")
+    if 2 * some.count() <= BROADCAST_KEYS:
+        some = F.broadcast(some)
+    worded = docs.join(some, ["doc_id", "mark"], "left_semi").select("doc_id", "mark", lowered.alias("words"))
+    blocks = worded.select("doc_id", "mark", F.explode(likely).alias("block"))
     ranked = F.array_sort(F.transform("block", lambda w: F.array_position(literal(ordered), w).cast("int") - 1))
     placed = blocks.select("doc_id", "mark", ranked.alias("block"))
     tokens = placed.select("doc_id", "mark", "block", F.posexplode("block").alias("at", "rank"))
