@@ -2,55 +2,90 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+import zlib
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
-TAG = r"(?s)<(?:!--.*?--|[^>]*)>"  # a comment or a tag; starts with "<", so other text is skipped fast
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# What is no text: comments, scripts and style sheets, tags. What is not closed goes on to the end, so that
+# each character is looked at a few times at most. A tag starts with a letter, ``/``, ``!`` or ``?``.
+NO_TEXT = r"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<[a-z/!?][^>]*(?:>|$)"
+COMMENT = "(?s)<!--.*?-->"
+
+NUMBER = r"^(#[xX][0-9a-fA-F]+|#[0-9]+);?"
+NAME = r"^([A-Za-z][A-Za-z0-9]*;)"
+# Names that need no semicolon, the longest first.
+SHORT_NAME = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
+BUCKETS = 256  # a map is searched from its start, so names are dealt into small ones
 
 
 def strip_tags(fragment: Column) -> Column:
-    """The fragment without tags and comments. White space is kept as it is."""
-    return F.regexp_replace(fragment, TAG, "")
+    """The fragment without tags, comments, scripts and styles. White space is kept as it is."""
+    # After the last end of a comment none is closed, so there no search for an end has to run through the text.
+    tail = F.substring_index(fragment, "-->", -1)
+    head = F.substring(fragment, F.lit(1), F.length(fragment) - F.length(tail))
+    bare = F.concat(F.regexp_replace(head, COMMENT, ""), tail)
+    return F.when(F.contains(fragment, F.lit("<")), F.regexp_replace(bare, NO_TEXT, "")).otherwise(fragment)
+
+
+def _named(name: Column) -> Column:
+    """The text of a name of HTML 5, or null."""
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for key, value in html5.items():
+        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
+    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    return literal[(F.crc32(name) % BUCKETS).cast("int")][name]
 
 
-def _code_point(reference: Column) -> Column:
-    """``#233`` or ``#xE9`` as one character; what is no character becomes U+FFFD."""
+def _replaced(code: int) -> str:
+    """What a number stands for, where that is not its character."""
+    if code == 0:
+        return REPLACEMENT
+    if 0x80 <= code <= 0x9F:
+        return bytes([code]).decode("cp1252", "ignore") or chr(code)
+    return "" if code < 0x20 and chr(code) not in "\t\n\f\r" or code in (0x0B, 0x7F) else chr(code)
+
+
+def _numbered(reference: Column) -> Column:
+    """``#233`` or ``#xE9`` as one character; what is no character becomes U+FFFD, or nothing."""
     digits = F.regexp_extract(reference, r"([0-9a-fA-F]+)$", 1)
-    code = F.when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    safe = F.when(valid, code).otherwise(ord(REPLACEMENT))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    short = F.ltrim(digits, F.lit("0"))
+    number = F.when(reference.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short)
+    code = F.when(F.length(short) > 9, 0x110000).when(short == "", 0).otherwise(number.cast("long"))
+    low = F.array(*(F.lit(_replaced(c)) for c in range(0xA0)))
+    valid = ((code >= 0xA0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    unassigned = code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+    character = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(ord(REPLACEMENT))), 8, "0")), "UTF-32")
+    return F.when(code < 0xA0, F.get(low, code.cast("int"))).when(valid & unassigned, "").otherwise(character)
 
 
 def decode_entities(text: Column) -> Column:
     """Each character reference decoded once, so ``&amp;lt;`` gives ``&lt;``.
 
-    The text is cut at every ``&``; a piece that starts with a known name or a
-    number and a semicolon is replaced, any other piece keeps its ``&``.
+    The text is cut at every ``&``. A piece that starts with a number or a name is replaced,
+    the longest known name first; old names need no semicolon. Any other piece keeps its ``&``.
     """
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
-    pieces = F.transform(
-        F.split(text, "&"), lambda part: F.struct(part.alias("part"), F.regexp_extract(part, REFERENCE, 1).alias("name"))
-    )
-
-    def decode(piece: Column, index: Column) -> Column:
-        part, name = piece["part"], piece["name"]
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
+
+    def decode(part: Column, index: Column) -> Column:
+        number, name, short = (F.regexp_extract(part, p, g) for p, g in ((NUMBER, 1), (NAME, 1), (SHORT_NAME, 1)))
+        after = lambda matched: F.substring(part, F.length(matched) + 1, F.length(part))
         return (
             F.when(index == 0, part)
-            .when(name == "", F.concat(F.lit("&"), part))
-            .when(name.startswith("#"), F.concat(_code_point(name), rest))
-            .otherwise(F.coalesce(F.concat(F.try_element_at(names, name), rest), F.concat(F.lit("&"), part)))
+            .when(number != "", F.concat(_numbered(number), after(F.regexp_extract(part, NUMBER, 0))))
+            .when((name != "") & _named(name).isNotNull(), F.concat(_named(name), after(name)))
+            .when(short != "", F.concat(_named(short), after(short)))
+            .otherwise(F.concat(F.lit("&"), part))
         )
 
-    decoded = F.array_join(F.transform(pieces, decode), "")
+    decoded = F.array_join(F.transform(F.split(text, "&"), decode), "")
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in an opening tag, entities decoded; empty if absent."""
-    quoted = F.regexp_extract(tag, rf"""(?is)^[^>]*?\s{name}\s*=\s*("([^"]*)"|'([^']*)')""", 1)
-    return decode_entities(F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0))))
+    """Value of an attribute in an opening tag, quoted or not, entities decoded; empty if absent."""
+    pattern = rf"""(?is)^[^>]*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    found = F.regexp_extract(tag, pattern, 1)
+    quoted = found.rlike("""^["']""")
+    return decode_entities(F.when(quoted, F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found))

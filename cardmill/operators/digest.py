@@ -51,8 +51,12 @@ def digest_by_source(entries: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
 
 
 def digest_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """The requests with their cached text and ``status``: ``cached`` or ``to_generate``."""
-    found = requests.join(cache.select(CACHE_SCHEMA.names), "title_hash", "left")
+    """The requests with their cached text and ``status``: ``cached`` or ``to_generate``.
+
+    Of several cached texts for one key the smallest is taken.
+    """
+    known = cache.groupBy("title_hash").agg(F.min("ai_summary").alias("ai_summary"))
+    found = requests.join(known, "title_hash", "left")
     status = F.when(F.col("ai_summary").isNull(), "to_generate").otherwise("cached")
     return found.withColumn("status", status)
 
@@ -60,9 +64,9 @@ def digest_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def digest_requests(entries: DataFrame, cache: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
     """One row ``(title_hash, prompt, ai_summary, status)``; ``empty`` if there are no entries."""
     looked_up = digest_lookup(digest_prompt(entries, limit), cache)
-    one = entries.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    row = one.join(looked_up.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return row.withColumn("status", F.coalesce("status", F.lit("empty")))
+    # An aggregate gives a row for no rows, too.
+    one = looked_up.agg(F.max(F.struct("title_hash", "prompt", "ai_summary", "status")).alias("one")).select("one.*")
+    return one.withColumn("status", F.coalesce("status", F.lit("empty")))
 
 
 def digest_cache_new(completions: DataFrame, cache: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..schema import ENTRY_COLUMNS
 from .ingest import dedup_batch
 
 OK = "ok"
-
+HREF = r"(?i)^[^>]*?\shref\s*=\s*[^\s>]"
 
 Expression = Callable[[], Column]
 
@@ -28,8 +28,10 @@ Expression = Callable[[], Column]
 class RuleSet:
     """How to read one layout.
 
-    ``card`` is a pattern with one match per card, searched after the first
-    occurrence of ``root``; without it the whole page is one card. ``parts``
+    ``card`` holds patterns of the opening and the closing tag of a card. The page is cut once at
+    each opening tag, from the first occurrence of ``root`` to that of ``end``, so that extraction is linear in
+    the page; a piece that is not closed before the next opening tag, or that has no ``href``, is no card. Without
+    ``card`` the whole page is one card. ``parts``
     and then ``values`` are computed in order from ``url``, ``card`` and what
     stands before them. ``fragments`` are pieces of HTML whose text is the
     field, or the field's default if the piece is empty; a check can see the
@@ -38,8 +40,9 @@ class RuleSet:
     """
 
     name: str
-    card: str | None = None
+    card: tuple[str, str] | None = None
     root: str | None = None
+    end: str | None = None
     parts: dict[str, Expression] = field(default_factory=dict)
     fragments: dict[str, Expression] = field(default_factory=dict)
     defaults: dict[str, str] = field(default_factory=dict)
@@ -53,10 +56,15 @@ def page_cards(pages: DataFrame, rules: RuleSet, max_per_page: int | None = None
     if rules.root:
         at = F.locate(rules.root, body)
         body = F.when(at > 0, F.substring(body, at, F.length(body))).otherwise("")
+    if rules.end:
+        body = F.substring_index(body, rules.end, 1)
     if rules.card is None:
         return pages.select("page_id", "url", F.lit(0).alias("pos"), body.alias("card"))
-    matches = F.regexp_extract_all(body, F.lit(rules.card), F.lit(0))
-    cards = pages.select("page_id", "url", F.posexplode(matches).alias("pos", "card"))
+    opening, closing = rules.card
+    pieces = F.split(body, opening)
+    pieces = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.rlike(closing) & p.rlike(HREF))
+    cut = F.transform(pieces, lambda p: F.concat(F.lit("<a"), F.element_at(F.split(p, closing, 2), 1), F.lit("</a>")))
+    cards = pages.select("page_id", "url", F.posexplode(cut).alias("pos", "card"))
     return cards if max_per_page is None else cards.filter(F.col("pos") < max_per_page)
 
 
@@ -86,17 +94,25 @@ def rejected_cards(fields: DataFrame) -> DataFrame:
     return fields.filter(F.col("status") != OK).select("page_id", "url", "pos", "status")
 
 
+def dated(fields: DataFrame, date_scraped: Column | str) -> DataFrame:
+    """The cards with status ``no_date`` where they pass all checks but have no date."""
+    missing = (F.col("status") == OK) & keys.as_date_string(date_scraped).isNull()
+    return fields.withColumn("status", F.when(missing, "no_date").otherwise(F.col("status")))
+
+
 def page_entries(fields: DataFrame, date_scraped: Column | str, created_at: Column | str) -> DataFrame:
     """Accepted cards as entries, stamped with the times of the run.
 
     Keeps ``page_id`` and ``pos`` next to the entry columns; they order copies
-    of a card within a batch, whose ``id`` and times are equal.
+    of a card within a batch, whose ``id`` and times are equal. Cards without a date are
+    left out; ``dated`` names them.
     """
     stamp = F.lit(created_at) if isinstance(created_at, str) else created_at
     return (
         fields.filter(F.col("status") == OK)
         .withColumn("date_scraped", keys.as_date_string(date_scraped))
         .withColumn("created_at", stamp.cast("timestamp_ntz"))
+        .filter(F.col("date_scraped").isNotNull())
         .withColumn("id", keys.entry_id(F.col("title"), F.col("source"), F.col("date_scraped")))
         .select("page_id", "pos", *ENTRY_COLUMNS)
     )
@@ -120,12 +136,11 @@ def extract_stats(rows: DataFrame) -> DataFrame:
 # told by its class, since a pattern cannot balance nested blocks.
 
 UNKNOWN_TITLE = "Unknown Title"
-ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*["\'][^>]*>.*?</a\s*>'
-HEADLINE = r"(?is)<h3\b[^>]*>(.*?)</h3\s*>"
-BLOCK = r"(?is)<div\b[^>]*>.*?</div\s*>"
-LAST_BLOCK = r"(?is)^.*(<div\b[^>]*>.*?</div\s*>)"
-SPAN_OPEN = r"(?i)<span\b"
-SPAN_CLOSE = r"(?i)</span\s*>"
+FOUND = "<found>"  # a tag in front of what was found, so that an empty element is not a missing one
+CARD_OPEN, CARD_CLOSE = r"(?i)<a(?=\s)", r"(?i)</a\s*>"
+HEADLINE_OPEN, HEADLINE_CLOSE = r"(?i)<h3\b", r"(?i)</h3\s*>"
+BLOCK_OPEN, BLOCK_CLOSE = r"(?i)<div\b", r"(?i)</div\s*>"
+SPAN_OPEN, SPAN_CLOSE = r"(?i)<span\b", r"(?i)</span\s*>"
 
 
 def _first_piece(text: Column, pattern: str) -> Column:
@@ -136,34 +151,60 @@ def _second_piece(text: Column, pattern: str) -> Column:
     return F.coalesce(F.try_element_at(F.split(text, pattern, 2), F.lit(2)), F.lit(""))
 
 
+def _last_piece(text: Column, pattern: str) -> Column:
+    return F.element_at(F.split(text, pattern), -1)
+
+
+def _inside(text: Column, opening: str, closing: str) -> Column:
+    """The first element, its own tag shortened: up to the next closing tag; empty if there is none."""
+    after = _second_piece(text, opening)
+    inner = _first_piece(_second_piece(after, ">"), closing)
+    return F.when(after.rlike(closing), F.concat(F.lit(FOUND), inner)).otherwise("")
+
+
+def _title() -> Column:
+    """The first block in the first headline."""
+    headline = _inside(F.col("header"), HEADLINE_OPEN, HEADLINE_CLOSE)
+    return _inside(headline, BLOCK_OPEN, BLOCK_CLOSE)
+
+
 def _result_source() -> Column:
-    """Text of the last block nested in the header, the title's block apart."""
-    nested = F.regexp_replace(F.col("header"), r"(?is)^\s*<[^>]*>|<h3\b.*?</h3\s*>", "")
-    return F.regexp_extract(nested, LAST_BLOCK, 1)
+    """The last block nested in the header, the title's block apart."""
+    outer = F.regexp_replace("header", r"^\s*<[^>]*>", "")
+    headline = F.split(outer, HEADLINE_OPEN, 2)
+    after = _second_piece(F.try_element_at(headline, F.lit(2)), HEADLINE_CLOSE)
+    apart = F.concat(_first_piece(outer, HEADLINE_OPEN), F.when(F.size(headline) > 1, after).otherwise(""))
+    last = _last_piece(apart, BLOCK_OPEN)
+    return _inside(F.when(apart.rlike(BLOCK_OPEN), F.concat(F.lit("<div"), last)).otherwise(""), BLOCK_OPEN, BLOCK_CLOSE)
 
 
 def _result_content() -> Column:
     """Text around the first span, within the block that holds the span."""
-    before = F.regexp_replace(_first_piece(F.col("body"), SPAN_OPEN), r"(?is)^.*<div\b[^>]*>", "")
+    lead = _last_piece(_first_piece(F.col("body"), SPAN_OPEN), BLOCK_OPEN)
+    before = _second_piece(lead, ">")
     after = _first_piece(_second_piece(_second_piece(F.col("body"), SPAN_OPEN), SPAN_CLOSE), r"(?i)</div")
     return F.concat(before, after)
 
 
-def results_cards(body_class: str) -> RuleSet:
-    """Rules for result pages whose body blocks have the given class."""
+def results_cards(body_class: str, end: str = "<footer") -> RuleSet:
+    """Rules for result pages whose body blocks have the given class.
+
+    Cards stand between the main block and ``end``, what comes first after it.
+    """
     marker = rf'(?i)(?=<div\b[^>]*\bclass\s*=\s*"[^"]*(?<![\w-]){re.escape(body_class)}(?![\w-]))'
     return RuleSet(
         name="results_cards",
         root='id="main"',
-        card=ANCHOR,
+        end=end,
+        card=(CARD_OPEN, CARD_CLOSE),
         parts={
             "href": lambda: html.attribute(F.col("card"), "href"),
-            "inner": lambda: F.regexp_replace("card", r"(?is)^<a\b[^>]*>|</a\s*>$", ""),
+            "inner": lambda: F.substring_index(_second_piece(F.col("card"), ">"), "</a>", 1),
             "header": lambda: _first_piece(F.col("inner"), marker),
             "body": lambda: _second_piece(F.col("inner"), marker),
         },
         fragments={
-            "title": lambda: F.regexp_extract(F.regexp_extract("header", HEADLINE, 1), BLOCK, 0),
+            "title": _title,
             "source": _result_source,
             "content": _result_content,
         },
@@ -183,14 +224,20 @@ RESULTS_CARDS = results_cards("card-body")
 
 # Article pages: the page itself is the card, from its first heading on.
 
-HEADING = r"(?is)<h1\b[^>]*>.*?</h1\s*>"
-FIRST_PARAGRAPH = r"(?is)<article\b[^>]*>.*?<p\b[^>]*>(.*?)</p\s*>"
+HEADING_OPEN, HEADING_CLOSE = r"(?i)<h1\b", r"(?i)</h1\s*>"
+ARTICLE_OPEN = r"(?i)<article\b"
+PARAGRAPH_OPEN, PARAGRAPH_CLOSE = r"(?i)<p\b", r"(?i)</p\s*>"
+
+
+def _first_paragraph() -> Column:
+    return _inside(_second_piece(F.col("card"), ARTICLE_OPEN), PARAGRAPH_OPEN, PARAGRAPH_CLOSE)
+
 
 ARTICLE_PAGE = RuleSet(
     name="article_page",
     fragments={
-        "title": lambda: F.regexp_extract("card", HEADING, 0),
-        "content": lambda: F.regexp_extract("card", FIRST_PARAGRAPH, 1),
+        "title": lambda: _inside(F.col("card"), HEADING_OPEN, HEADING_CLOSE),
+        "content": _first_paragraph,
     },
     defaults={"title": UNKNOWN_TITLE},
     values={
@@ -201,7 +248,7 @@ ARTICLE_PAGE = RuleSet(
 )
 
 # Every link of a page, whatever the layout.
-PAGE_LINKS = RuleSet(name="page_links", card=ANCHOR)
+PAGE_LINKS = RuleSet(name="page_links", card=(CARD_OPEN, CARD_CLOSE))
 
 
 def page_links(pages: DataFrame, max_per_page: int | None = None) -> DataFrame:

@@ -35,22 +35,23 @@ def entries_by_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi").select(ENTRY_COLUMNS)
 
 
-def feed_slice(entries: DataFrame, start: int = 0, limit: int = API_LIMIT, by_date: bool = True) -> DataFrame:
-    """Rows ``start`` to ``start + limit`` of the feed.
-
-    Looks at the newest dates only, as many as it needs. To count rows per date
-    reads ``entries`` twice; say ``by_date=False`` where that costs more than
-    it saves. Near the top the slice is a top-k. Further down that would keep
-    too many rows in each task, so the rows are found by their rank.
+def feed_slice(
+    entries: DataFrame, start: int = 0, limit: int | None = API_LIMIT, by_date: bool = True
+) -> DataFrame:
+    """Rows ``start`` to ``start + limit`` of the feed; without ``limit`` the whole feed in order.
+
+    Looks at the newest dates only, as many as it needs, and ranks their order values alone, whatever the
+    depth; the rows of the slice are found by these. That reads ``entries`` a few times. Say
+    ``by_date=False`` where rows are costly to find: they are then read once, and as many as the
+    slice reaches down go through the ranking of each task with all columns.
     """
+    if limit is None:
+        check_bounds(start=start)
+        return entries.orderBy(*feed_order()).offset(start)
     check_bounds(start=start, limit=limit)
-    end = start + limit
-    rows = newest.newest_dates(entries, end) if by_date else entries
-    if end <= newest.TOP_K_ROWS:
-        return newest.newest(rows, start, limit)
-    rank = F.col("feed_rank")
-    wanted = newest.feed_rank(rows).filter((rank > start) & (rank <= end))
-    return newest.pick(entries, wanted.checkpoint()).orderBy(*feed_order())
+    if not by_date:
+        return newest.newest_in_one_pass(entries, start, limit)
+    return newest.newest(newest.newest_dates(entries, start + limit), start, limit)
 
 
 def feed_page(entries: DataFrame, page: int = 1, by_date: bool = True) -> DataFrame:
@@ -58,7 +59,7 @@ def feed_page(entries: DataFrame, page: int = 1, by_date: bool = True) -> DataFr
     return feed_slice(entries, (page - 1) * PAGE_SIZE, PAGE_SIZE, by_date)
 
 
-def feed_all(entries: DataFrame, cap: int = FEED_CAP) -> DataFrame:
+def feed_all(entries: DataFrame, cap: int | None = FEED_CAP) -> DataFrame:
     return feed_slice(entries, 0, cap)
 
 

@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..schema import ENTRY_COLUMNS, ENTRY_KEY
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with their key in one column, in which a missing part equals a missing one."""
+    return rows.withColumn("_key", F.struct(*ENTRY_KEY))
+
+
+def _first_of_keys(keyed: DataFrame, order: Sequence[str]) -> DataFrame:
+    window = Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return keyed.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
+
+
 def dedup_batch(entries: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
     """One row per key, the first by ``order``.
 
@@ -16,30 +26,29 @@ def dedup_batch(entries: DataFrame, order: Sequence[str] = ("created_at", "id"))
     task before the shuffle, so a key that holds much of the batch sends at
     most one row per task.
     """
-    window = Window.partitionBy(ENTRY_KEY).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return entries.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
+    return _first_of_keys(_keyed(entries), order).drop("_key")
 
 
-def absent_entries(fresh: DataFrame, stored: DataFrame) -> DataFrame:
-    """The rows of ``fresh``, one per key, whose key is not stored.
+def absent_entries(incoming: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
+    """The first row of each key of ``incoming`` that is not stored.
 
     The stored keys are reduced to one row each before the join, so no key is
-    hot on either side; the join reuses the partitioning of that reduction.
-    ``stored`` may be limited to the dates of ``fresh``, which are in the key.
+    hot on either side; the join reuses the partitioning of both reductions.
+    ``stored`` may be limited to the dates of ``incoming``, which are in the key.
     """
-    known = stored.select(ENTRY_KEY).distinct()
-    return fresh.join(known, ENTRY_KEY, "left_anti").select(ENTRY_COLUMNS)
+    known = _keyed(stored.select(ENTRY_KEY)).select("_key").distinct()
+    fresh = _first_of_keys(_keyed(incoming), order)
+    return fresh.join(known, "_key", "left_anti").select(ENTRY_COLUMNS)
 
 
 def within_dates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The stored entries between the first and the last date of ``incoming``.
+    """The stored entries of the dates of ``incoming``, and those without a date.
 
-    The bounds are scalar subqueries over the date column alone, so the
-    partitions outside of them are pruned when the query runs.
+    The list of dates is a scalar subquery over the date column alone, so
+    the partitions of other dates are pruned when the query runs.
     """
-    bounds = incoming.agg(F.min("date_scraped").alias("first"), F.max("date_scraped").alias("last"))
-    first, last = bounds.select("first").scalar(), bounds.select("last").scalar()
-    return stored.filter(F.col("date_scraped").between(first, last))
+    dates = incoming.agg(F.collect_set("date_scraped")).scalar()
+    return stored.filter(F.array_contains(dates, F.col("date_scraped")) | F.col("date_scraped").isNull())
 
 
 def ingest_new(
@@ -51,7 +60,7 @@ def ingest_new(
     ``by_date=False`` where these are known or costly to get.
     """
     known = within_dates(stored, incoming) if by_date else stored
-    return absent_entries(dedup_batch(incoming, order), known)
+    return absent_entries(incoming, known, order)
 
 
 def ingest_merged(

@@ -1,4 +1,8 @@
-"""The newest rows, of all or of each group, without gathering more than these."""
+"""The newest rows, of all or of each group, without gathering more than these.
+
+Rows are told by their order value, never by an id, so missing and repeated ids
+do no harm. Nothing runs while a plan is built.
+"""
 
 from __future__ import annotations
 
@@ -9,41 +13,62 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import feed_order
 from ..session import shared_folder
 
-# Rows a top-k may keep in each task. Spark reduces a ranked window in the map
-# tasks up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
-TOP_K_ROWS = 1000
-
 # Map tasks are dealt into this many lanes, each reduced by a task of its own.
 LANES = 256
 
-# Keys of selected rows are broadcast up to this many, about 100 bytes each.
-BROADCAST_ROWS = 200_000
-
 # More dates than this are not listed in a filter.
 MAX_DATES = 1000
 
 
+def order_value() -> Column:
+    """A struct whose descending order is the feed order, missing values last."""
+    return F.struct("date_scraped", "created_at", "id")
+
+
 def _lane() -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(LANES))
 
 
-def _ranked(rows: DataFrame, groups: list[str], limit: int) -> DataFrame:
-    window = Window.partitionBy(*groups).orderBy(*feed_order())
+def _first(rows: DataFrame, groups: list[str], order: Column, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group. Spark cuts them in the map tasks up to the threshold of the session."""
+    window = Window.partitionBy(*groups).orderBy(order.desc())
     return rows.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def top_rows(rows: DataFrame, limit: int) -> DataFrame:
-    """A few rows that hold the newest ``limit``.
+def _reduced(rows: DataFrame, groups: list[str], order: Column, limit: int) -> DataFrame:
+    """A few rows that hold the first ``limit`` of each group: those of its lanes."""
+    return _first(rows.withColumn("_lane", _lane()), [*groups, "_lane"], order, limit).drop("_lane")
+
+
+def newest(rows: DataFrame, start: int, limit: int) -> DataFrame:
+    """``limit`` rows from row ``start`` of the feed.
 
-    Each map task keeps ``limit`` rows and each lane reduces these again, so
-    that the final top-k meets the rows of some lanes and not of every task.
+    The order values alone are ranked, in lanes and then together, which gives
+    the values of the first and the last row of the slice. Only rows between
+    these are taken with all their columns: the slice, and rows that are equal
+    in order at its edges.
     """
-    return _ranked(rows.withColumn("_lane", _lane()), ["_lane"], limit).drop("_lane")
+    end = start + limit
+    values = _reduced(rows.select(order_value().alias("o")), [], F.col("o"), end)
+    all_in_order = Window.orderBy(F.col("o").desc())
+    ranked = values.withColumn("n", F.row_number().over(all_in_order)).withColumn("r", F.rank().over(all_in_order))
+    first = F.col("n") == start + 1
+    edges = ranked.filter(F.col("n") <= end).agg(
+        F.min("o").alias("last"), F.max(F.when(first, F.col("o"))).alias("first"),
+        F.max(F.when(first, F.col("r"))).alias("r"),
+    )
+    cut = edges.select(F.struct("first", "last", (F.col("r") - 1).alias("before")).alias("cut")).scalar()
+    between = rows.filter((order_value() <= cut["first"]) & (order_value() >= cut["last"]))
+    numbered = _reduced(between, [], order_value(), end).withColumn(
+        "_n", F.row_number().over(Window.orderBy(order_value().desc())) + cut["before"]
+    )
+    return numbered.filter((F.col("_n") > start) & (F.col("_n") <= end)).drop("_n").orderBy(*feed_order())
 
 
-def newest(rows: DataFrame, start: int, limit: int) -> DataFrame:
-    """``limit`` rows from row ``start`` of the feed, which must be near its top."""
-    return top_rows(rows, start + limit).orderBy(*feed_order()).offset(start).limit(limit)
+def newest_in_one_pass(rows: DataFrame, start: int, limit: int) -> DataFrame:
+    """As ``newest``, but all columns go through the ranking; for rows that are costly to find, and near the top."""
+    end = start + limit
+    return _reduced(rows, [], order_value(), end).orderBy(*feed_order()).offset(start).limit(limit)
 
 
 def distinct_dates(rows: DataFrame) -> list[str] | None:
@@ -52,32 +77,19 @@ def distinct_dates(rows: DataFrame) -> list[str] | None:
     return None if len(found) > MAX_DATES else [row[0] for row in found]
 
 
-def pick(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """The entries whose ``(date_scraped, id)`` is in ``keys``, a table already computed.
-
-    Scans only the dates in ``keys``, and broadcasts ``keys`` if they are few;
-    else both sides are shuffled, on an id that is unique.
-    """
-    keys = keys.select("date_scraped", "id")
-    per_date = keys.groupBy("date_scraped").count().limit(MAX_DATES + 1).collect()
-    if len(per_date) <= MAX_DATES:
-        entries = entries.filter(F.col("date_scraped").isin([row[0] for row in per_date]))
-        if sum(row[1] for row in per_date) <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
-    return entries.join(keys, ["date_scraped", "id"], "left_semi").select(entries.columns)
-
-
 def latest_per_group(entries: DataFrame, by: str, limit: int) -> DataFrame:
     """The newest ``limit`` entries of each group.
 
-    Only the order columns are ranked: in each map task, then in each lane of
-    a group, then in the group. So a group that holds much of the table is
-    spread over the lanes, and the text columns are read for the winners alone.
+    Order values are ranked in each map task, in each lane of a group and in
+    the group; the last one is the group's cut. Entries that reach the cut of their group
+    are then taken: the wanted ones and those equal to the last.
     """
-    shared_folder(entries.sparkSession)
-    narrow = entries.select(by, "date_scraped", "created_at", "id").withColumn("_lane", _lane())
-    winners = _ranked(_ranked(narrow, [by, "_lane"], limit), [by], limit)
-    return pick(entries, winners.select("date_scraped", "id").checkpoint())
+    narrow = entries.select(F.col(by).alias("_group"), order_value().alias("o"))
+    best = _first(_reduced(narrow, ["_group"], F.col("o"), limit), ["_group"], F.col("o"), limit)
+    cuts = best.groupBy("_group").agg(F.min("o").alias("_cut"))
+    reached = entries.join(cuts, F.col(by).eqNullSafe(F.col("_group"))).filter(order_value() >= F.col("_cut"))
+    reached = reached.drop("_group", "_cut")
+    return _first(_reduced(reached, [by], order_value(), limit), [by], order_value(), limit)
 
 
 def newest_dates(entries: DataFrame, rows: int) -> DataFrame:
@@ -97,7 +109,9 @@ def newest_dates(entries: DataFrame, rows: int) -> DataFrame:
         .filter(F.col("n_so_far") >= rows)
         .agg(F.coalesce(F.max("date_scraped"), F.lit("")).alias("cut"))
     )
-    return entries.filter(F.col("date_scraped") >= cut.scalar())
+    some = F.col("date_scraped") >= cut.scalar()
+    # Entries without a date are the last of the feed, so they count where all others do not suffice.
+    return entries.filter(some | (F.col("date_scraped").isNull() & (cut.scalar() == "")))
 
 
 def feed_rank(entries: DataFrame) -> DataFrame:

@@ -67,6 +67,27 @@ extracted AS (
   FROM fields WHERE source <> ''
 )"""
 
+LINKS = f"""
+links AS (
+  SELECT page_id, url,
+         regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>.*?</a\\s*>', 1) AS hrefs
+  FROM pages
+),
+hrefs AS (
+  SELECT page_id, url, CAST(pos - 1 AS INTEGER) AS pos, {inner_text("hrefs[pos]")} AS href
+  FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS pos FROM links)
+)"""
+
+RESULTS = f"""
+results AS (
+  SELECT *, CAST(id AS BIGINT) AS page_id,
+         CASE CAST(id AS BIGINT) % {r.FAULTS} WHEN 0 THEN 'href_without_query' WHEN 1 THEN 'no_children' WHEN 2 THEN 'no_source'
+              WHEN 3 THEN 'no_body' WHEN 4 THEN 'no_snippet' ELSE 'ok' END AS status
+  FROM entries
+)"""
+
+UNTIL = f"until AS (SELECT * FROM entries WHERE date_scraped <= '{r.STORED_UNTIL}')"
+
 COLUMNS = "id, title, content, source, link, date_scraped, created_at"
 
 
@@ -136,22 +157,45 @@ SELECT {COLUMNS} FROM stored UNION ALL SELECT {COLUMNS} FROM new_entries""",
     "ingest_stream": f"""WITH {EXTRACTED}
 SELECT {COLUMNS} FROM extracted
 QUALIFY row_number() OVER (PARTITION BY title, source, date_scraped ORDER BY page_id, pos) = 1""",
-    "page_cards": f"""
-WITH links AS (
-  SELECT page_id,
-         regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>.*?</a\\s*>', 1) AS hrefs
-  FROM pages
-)
-SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, {inner_text("hrefs[pos]")} AS href
-FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS pos FROM links)""",
-    "card_link": """
-SELECT page_id, url, split_part(ltrim(split_part(url, '?', 2), 'q='), '&', 1) AS link FROM pages""",
+    "page_cards": f"WITH {LINKS} SELECT page_id, pos, href FROM hrefs",
+    "card_link": f"""WITH {LINKS}
+SELECT page_id, pos, href, split_part(ltrim(split_part(href, '?', 2), 'q='), '&', 1) AS link FROM hrefs""",
     "page_entries": f"WITH {EXTRACTED} SELECT page_id, pos, {COLUMNS} FROM extracted",
-    "extract_stats": """
+    "extract_stats": f"""WITH {LINKS}
 SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) AS host,
-       CASE WHEN strpos(url, '?') > 0 THEN 'ok' ELSE 'href_without_query' END AS status,
+       CASE WHEN strpos(href, '?') > 0 THEN 'ok' ELSE 'href_without_query' END AS status,
        count(*) AS n
-FROM pages GROUP BY 1, 2""",
+FROM hrefs GROUP BY 1, 2""",
+    "feed_page_deep": f"{WITH} SELECT {COLUMNS} FROM entries ORDER BY {FEED_ORDER} LIMIT 30 OFFSET {(r.DEEP_PAGE - 1) * 30}",
+    "feed_all_uncapped": f"{WITH} SELECT {COLUMNS} FROM entries ORDER BY {FEED_ORDER}",
+    "search_page_blank": f"{WITH} SELECT {COLUMNS} FROM entries ORDER BY {FEED_ORDER} LIMIT 30 OFFSET {(r.SEARCH_PAGE - 1) * 30}",
+    "search_meta_blank": f"{WITH} {counts('SELECT 1 FROM entries LIMIT 1000', r.SEARCH_PAGE)}",
+    "result_entries": f"""{WITH}, {RESULTS}
+SELECT page_id, CAST(0 AS INTEGER) AS pos, substring(sha256(title || chr(31) || source || chr(31) || date_scraped), 1, 24) AS id,
+       title, content || ' more' AS content, source, link, date_scraped, created_at
+FROM results WHERE status = 'ok'""",
+    "result_rejects": f"""{WITH}, {RESULTS}
+SELECT page_id, 'https://results.example/' || source AS url, CAST(0 AS INTEGER) AS pos, status FROM results WHERE status <> 'ok'""",
+    "result_stats": f"""{WITH}, {RESULTS}
+SELECT 'results.example' AS host, status, count(*) AS n FROM results GROUP BY status""",
+    "stored_feed_page": f"""{WITH}, {UNTIL}
+SELECT {COLUMNS} FROM until ORDER BY {FEED_ORDER} LIMIT 30 OFFSET {(r.FEED_PAGE - 1) * 30}""",
+    "stored_page_meta": f"{WITH}, {UNTIL} {counts('SELECT 1 FROM until LIMIT 1000', r.FEED_PAGE)}",
+    "stored_search_page": f"""{WITH}, {UNTIL}
+SELECT {COLUMNS} FROM (SELECT * FROM until WHERE {matches(r.OPENING)} ORDER BY {FEED_ORDER} LIMIT 100)
+ORDER BY {FEED_ORDER} LIMIT 30 OFFSET {(r.SEARCH_PAGE - 1) * 30}""",
+    "stored_search_meta": f"""{WITH}, {UNTIL}
+{counts(f"SELECT 1 FROM until WHERE {matches(r.OPENING)} LIMIT 100", r.SEARCH_PAGE)}""",
+    "digest_requests": f"""{WITH}, earlier AS (SELECT * FROM entries WHERE date_scraped < '{r.CACHED_UNTIL}'),
+{digests("of_feed")}, {digests("of_earlier", entries="earlier")}
+SELECT 'feed' AS part, title_hash, prompt, NULL AS ai_summary, 'to_generate' AS status FROM of_feed
+UNION ALL SELECT 'earlier', title_hash, prompt, 'cached', 'cached' FROM of_earlier
+UNION ALL SELECT 'none', NULL, NULL, NULL, 'empty'""",
+    "cache_written": f"""{WITH}, {CACHED}
+SELECT title_hash, ai_summary FROM cache
+UNION ALL SELECT title_hash, min('new ' || source) FROM digests
+WHERE title_hash NOT IN (SELECT title_hash FROM cache) GROUP BY title_hash""",
+    "entry_payload": f"{WITH} SELECT title, content, source, link, date_scraped, created_at FROM entries",
     "digest_key": f"{WITH}, {digests('digest')} SELECT title_hash FROM digest",
     "digest_prompt": f"{WITH}, {digests('digest')} SELECT title_hash, prompt FROM digest",
     "digest_by_source": f"{WITH}, {digests('digest', 'source')} SELECT source, n_entries, title_hash, prompt FROM digest",

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import links
+from ..functions import html, links
 from ..operators import digest, extract, feed, freshness, ingest, search
 from ..schema import CACHE_SCHEMA, ENTRY_COLUMNS
 from ..session import shared_folder
+from ..sources.cache import append_completions, read_cache
 from ..sources.corpus import documents_as_entries, scraped_at, scraped_on
-from ..sources.entries import read_entries
+from ..sources.entries import append_entries, read_entries
 from ..sources.pages import read_pages, stream_pages
 from ..streaming.ingest import ingest_pages
+from . import stored
 
 # Query parameters; the SQL in ``oracle`` uses the same.
 ENTRY_ID = "000000000000000000000042"
@@ -25,6 +28,9 @@ WORD = "ÉLE"
 OPENING = "^the"
 FEED_PAGE = 2
 SEARCH_PAGE = 2
+DEEP_PAGE = 34  # past row 1000 where there are as many
+STORED_UNTIL = "2024-01-27"
+FAULTS = 8
 API_START = 50
 EMPTY_COMPLETION = "src5"
 MISSING_COMPLETION = "src7"
@@ -70,13 +76,62 @@ def entries_by_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def card_link(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).select("page_id", "url", links.redirect_target(F.col("url")).alias("link"))
+    """The redirect rule on every link of the pages."""
+    found = extract.page_links(pages(spark, sf))
+    return found.withColumn("link", links.redirect_target(F.col("href")))
 
 
 def extract_stats(spark: SparkSession, sf: str) -> DataFrame:
-    url = F.col("url")
-    rows = pages(spark, sf).select(links.host(url).alias("host"), extract.link_status(url).alias("status"))
-    return extract.extract_stats(rows)
+    """What the redirect rule says of the links of each host's pages."""
+    cards = extract.page_cards(pages(spark, sf), extract.PAGE_LINKS)
+    status = extract.link_status(html.attribute(F.col("card"), "href"))
+    return extract.extract_stats(cards.select(links.host(F.col("url")).alias("host"), status.alias("status")))
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def result_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a result page with one card, some of them with a fault that follows from the id."""
+    table = entries(spark, sf).withColumn("page_id", F.col("id").cast("long"))
+    fault = F.col("page_id") % FAULTS
+    href = F.concat(F.lit("/url"), F.when(fault == 0, "#").otherwise("?"), F.lit("q="), F.col("link"), F.lit("&amp;sa=U"))
+    source = F.when(fault == 2, "").otherwise(F.concat(F.lit("<div>"), _escaped(F.col("source")), F.lit("</div>")))
+    head = F.concat(F.lit("<div><h3><div>"), _escaped(F.col("title")), F.lit("</div></h3>"), source, F.lit("</div>"))
+    span = F.when(fault == 4, "").otherwise("<span>today</span>")
+    body = F.concat(F.lit('<div class="card-body">'), _escaped(F.col("content")), span, F.lit(" more</div>"))
+    inner = F.when(fault == 1, "nothing").otherwise(F.concat(head, F.when(fault == 3, "").otherwise(body)))
+    page = F.concat(
+        F.lit('<body><a href="/nav?q=before">n</a><div id="main"><div><div><a class="c" href="'), href, F.lit('">'), inner,
+        F.lit('</a></div></div></div><footer><a href="/nav?q=after">n</a></footer></body>'),
+    )
+    return table.select("page_id", F.concat(F.lit("https://results.example/"), F.col("source")).alias("url"), page.alias("html"))
+
+
+def result_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.card_fields(extract.page_cards(result_pages(spark, sf), extract.RESULTS_CARDS), extract.RESULTS_CARDS)
+
+
+def result_entries(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("page_id")
+    return extract.page_entries(result_fields(spark, sf), scraped_on(number), scraped_at(number))
+
+
+def result_stats(spark: SparkSession, sf: str) -> DataFrame:
+    fields = result_fields(spark, sf)
+    return extract.extract_stats(fields.select(links.host(F.col("url")).alias("host"), "status"))
+
+
+def on_stored_table(plan: Callable[..., DataFrame], *args) -> Query:
+    """A plan over the table that the documents give, written to the shared folder."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
+        append_entries(entries(spark, sf), path)
+        return plan(spark, path, STORED_UNTIL, *args)
+
+    return query
 
 
 def ingest_new(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,6 +182,26 @@ def digest_cache_add(spark: SparkSession, sf: str) -> DataFrame:
     return digest.digest_cache_add(completions, _cache(table)).select(CACHE_SCHEMA.names)
 
 
+def digest_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of the whole feed, of the part that is cached, and of none."""
+    table = entries(spark, sf)
+    earlier = table.filter(F.col("date_scraped") < CACHED_UNTIL)
+    cache = digest.digest_key(earlier).withColumn("ai_summary", F.lit("cached"))
+    parts = {"feed": table, "earlier": earlier, "none": table.filter("date_scraped > '9999'")}
+    rows = [digest.digest_requests(part, cache).withColumn("part", F.lit(name)) for name, part in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def cache_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache read back after two appends of completions, the second of which brings known keys again."""
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4()}"
+    table = entries(spark, sf)
+    append_completions(_cache(table), path)
+    made = digest.digest_by_source(table).select("title_hash", F.concat(F.lit("new "), F.col("source")).alias("ai_summary"))
+    append_completions(made.unionByName(_cache(table).withColumn("ai_summary", F.lit("again"))), path)
+    return read_cache(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "entries_scan": lambda s, d: entries(s, d).select(ENTRY_COLUMNS),
     "entry_projection": entry_projection,
@@ -154,5 +229,19 @@ QUERIES: dict[str, Query] = {
     "digest_by_source": lambda s, d: digest.digest_by_source(entries(s, d)),
     "digest_lookup": digest_lookup,
     "digest_cache_add": digest_cache_add,
+    "feed_page_deep": lambda s, d: feed.feed_page(entries(s, d), DEEP_PAGE),
+    "feed_all_uncapped": lambda s, d: feed.feed_all(entries(s, d), cap=None),
+    "search_page_blank": lambda s, d: search.search_page(entries(s, d), "", SEARCH_PAGE),
+    "search_meta_blank": lambda s, d: search.search_meta(entries(s, d), "", SEARCH_PAGE),
+    "result_entries": result_entries,
+    "result_rejects": lambda s, d: extract.rejected_cards(result_fields(s, d)),
+    "result_stats": result_stats,
+    "stored_feed_page": on_stored_table(stored.stored_feed_page, FEED_PAGE),
+    "stored_page_meta": on_stored_table(stored.stored_page_meta, FEED_PAGE),
+    "stored_search_page": on_stored_table(stored.stored_search_page, OPENING, SEARCH_PAGE),
+    "stored_search_meta": on_stored_table(stored.stored_search_meta, OPENING, SEARCH_PAGE),
+    "digest_requests": digest_requests,
+    "cache_written": cache_written,
+    "entry_payload": lambda s, d: feed.entry_payload(entries(s, d)),
     "freshness": lambda s, d: freshness.freshness(entries(s, d), RUN_DATE),
 }

@@ -4,7 +4,7 @@ One page needs few rows, and a table of many years has many files. These plans
 go by the calendar: they look into the folder of one date, then of the two
 before it, then of four, until what they found suffices. Older folders are
 neither listed nor opened. ``until`` is a date that no stored entry is later
-than, such as the date of the last run.
+than, such as the date of the last run; entries of later dates, if there are any, are left out of every answer.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.feed import check_bounds, feed_page, page_meta
 from ..operators.search import search, search_meta, search_page
@@ -29,7 +29,7 @@ def newest_folders(
     """The entries of the newest dates that hold at least ``rows`` rows, or that many ``keep`` keeps.
 
     Each step counts in a window of its own, so no date is counted twice. If
-    ``WALK_DAYS`` do not suffice this gives the whole table: what is so rare or
+    ``WALK_DAYS`` do not suffice this gives the whole table up to ``until``: what is so rare or
     so old is better looked for once, everywhere.
     """
     last = date.fromisoformat(until)
@@ -42,7 +42,7 @@ def newest_folders(
         dates += window
         if found >= rows:
             return read_entries(spark, path, dates)
-    return read_entries(spark, path)
+    return read_entries(spark, path).filter(F.col("date_scraped") <= until)
 
 
 def stored_feed_page(spark: SparkSession, path: str, until: str, page: int = 1) -> DataFrame:

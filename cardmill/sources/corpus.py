@@ -26,17 +26,11 @@ def scraped_at(number: Column) -> Column:
     return start + F.make_dt_interval(_days(number), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
-def documents_as_entries(
-    documents: DataFrame, title_chars: int | None = None, content_chars: int | None = None
-) -> DataFrame:
+def documents_as_entries(documents: DataFrame) -> DataFrame:
     """A document as an entry: its first line is the title, the rest the content."""
     text = F.col("text")
     title = F.substring_index(text, "\n", 1)
     content = F.substring(text, F.length(title) + 2, F.length(text))
-    if title_chars is not None:
-        title = F.substring(title, 1, title_chars)
-    if content_chars is not None:
-        content = F.substring(content, 1, content_chars)
     number = F.col("doc_id")
     return documents.select(
         F.lpad(number.cast("string"), 24, "0").alias("id"),

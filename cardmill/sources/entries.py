@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import ENTRY_COLUMNS, ENTRY_SCHEMA
 
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the folder that Spark gives rows without a date
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
@@ -17,20 +18,26 @@ def read_entries(spark: SparkSession, path: str, dates: Iterable[str] | None = N
     """The stored entries; empty if nothing was written yet.
 
     With ``dates`` only those folders are listed and scanned, so a small batch
-    does not pay for the listing of the whole table. The schema is always
+    does not pay for the listing of the whole table; None among them stands for entries without a
+    date. If one of them is not written as yyyy-MM-dd, all folders are listed. The schema is always
     given, else Spark would infer ``date_scraped`` as a date.
     """
     reader = spark.read.schema(ENTRY_SCHEMA).option("basePath", path)
     try:
         if dates is None:
             return reader.parquet(path).select(ENTRY_COLUMNS)
-        dates = sorted(set(dates))
-        if not all(DATE.fullmatch(d) for d in dates):
-            raise ValueError(f"not a list of yyyy-MM-dd dates: {dates}")
+        dates = set(dates)
         if not dates:
             return spark.createDataFrame([], ENTRY_SCHEMA)
-        stored = reader.parquet(f"{path}/date_scraped={{{','.join(dates)}}}")
-        return stored.filter(F.col("date_scraped").isin(dates)).select(ENTRY_COLUMNS)
+        days = sorted(d for d in dates if d is not None)
+        wanted = F.col("date_scraped").isin(days)
+        if None in dates:
+            wanted = wanted | F.col("date_scraped").isNull()
+        if not all(DATE.fullmatch(d) for d in days):
+            return reader.parquet(path).filter(wanted).select(ENTRY_COLUMNS)
+        folders = days + [NO_DATE] * (None in dates)
+        stored = reader.parquet(f"{path}/date_scraped={{{','.join(folders)}}}")
+        return stored.filter(wanted).select(ENTRY_COLUMNS)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -12,7 +12,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 # What one micro-batch takes from a backlog, so that the first run is many batches.
-BATCH_BYTES = 1 << 39
+BATCH_BYTES = 1 << 36
 
 
 def stream_pages(

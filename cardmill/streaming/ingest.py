@@ -10,24 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import RuleSet, card_fields, page_cards, page_entries, rejected_cards
-from ..operators.ingest import absent_entries, dedup_batch
+from ..functions.keys import as_date_string
+from ..operators.extract import RuleSet, card_fields, dated, page_cards, page_entries, rejected_cards
+from ..operators.ingest import absent_entries
 from ..operators.newest import distinct_dates
-from ..schema import ENTRY_COLUMNS
 from ..sources.entries import append_entries, read_entries
 
-def append_absent(entries: DataFrame, target: str, order: Sequence[str] = ("created_at", "id")) -> None:
-    """Append to the table at ``target`` the entries it does not hold."""
-    # Used twice, for its dates and for its rows.
-    fresh = dedup_batch(entries, order).select(ENTRY_COLUMNS).persist()
-    try:
-        stored = read_entries(entries.sparkSession, target, distinct_dates(fresh))
-        append_entries(absent_entries(fresh, stored), target)
-    finally:
-        fresh.unpersist()
+
+def append_absent(
+    entries: DataFrame,
+    target: str,
+    order: Sequence[str] = ("created_at", "id"),
+    dated_rows: DataFrame | None = None,
+) -> None:
+    """Append to the table at ``target`` the entries it does not hold.
+
+    Their dates are read first, from ``dated_rows`` if these have them at less
+    cost than ``entries``; more dates than those of the entries do no harm.
+    """
+    dates = distinct_dates(entries if dated_rows is None else dated_rows)
+    stored = read_entries(entries.sparkSession, target, dates)
+    append_entries(absent_entries(entries, stored, order), target)
 
 
 def run_batches(rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -47,6 +53,11 @@ def ingest_entries(
     return run_batches(entries, lambda batch, _: append_absent(batch, target, order), checkpoint)
 
 
+def _query_id(batch: DataFrame) -> str:
+    """The id that a stream keeps as long as its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "unknown"
+
+
 def ingest_pages(
     pages: DataFrame,
     rules: RuleSet,
@@ -59,17 +70,17 @@ def ingest_pages(
     """Append the new entries of a stream of pages: extract, reduce, join, append.
 
     With ``rejects`` the rejected cards of each micro-batch are written to a
-    folder of its own, which a replay overwrites.
+    folder of its own, named by stream and batch, which a replay overwrites.
+    They are extracted a second time for that, rather than kept with their text.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fields = card_fields(page_cards(batch, rules), rules).drop("card")
+        fields = dated(card_fields(page_cards(batch, rules), rules), date_scraped)
         if rejects:
-            fields = fields.persist()
-            rejected_cards(fields).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        try:
-            append_absent(page_entries(fields, date_scraped, created_at), target, order=("page_id", "pos"))
-        finally:
-            fields.unpersist()
+            folder = f"{rejects}/stream={_query_id(batch)}/batch={batch_id}"
+            rejected_cards(fields).write.mode("overwrite").parquet(folder)
+        days = batch.select(as_date_string(date_scraped).alias("date_scraped"))
+        days = days.filter(F.col("date_scraped").isNotNull())
+        append_absent(page_entries(fields, date_scraped, created_at), target, ("page_id", "pos"), days)
 
     return run_batches(pages, apply, checkpoint)

@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 for folder in (ROOT, os.path.join(ROOT, "tests")):
@@ -26,7 +27,8 @@ def spark():
 @pytest.fixture(scope="session")
 def snippets(spark):
     """The documents as short entries: 80 characters of title, 200 of content."""
-    table = documents_as_entries(registry.documents(spark, SF), title_chars=80, content_chars=200).cache()
+    whole = documents_as_entries(registry.documents(spark, SF))
+    table = whole.withColumns({"title": F.substring("title", 1, 80), "content": F.substring("content", 1, 200)}).cache()
     table.count()
     return table
 

@@ -40,10 +40,23 @@ def test_slices_follow_the_order(hot, start, limit):
     assert ids == brute_force(hot)[start : start + limit]
 
 
-def test_deep_slice_equals_top_k(snippets, monkeypatch):
-    shallow = [r.id for r in feed.feed_slice(snippets, 300, 60).collect()]
-    monkeypatch.setattr(newest, "TOP_K_ROWS", 100)
-    assert [r.id for r in feed.feed_slice(snippets, 300, 60).collect()] == shallow
+@pytest.mark.parametrize("by_date", [True, False])
+def test_missing_and_repeated_ids_lose_no_rows(make_entries, by_date):
+    rows = [{"id": None if i % 2 else f"{i % 7:024x}", "title": f"t{i}", "date_scraped": f"2024-01-{1 + i % 3:02d}"} for i in range(1100)]
+    table = make_entries(rows).repartition(5)
+    for start in (0, 470, 960, 990, 1020, 1090):
+        found = feed.feed_slice(table, start, 30, by_date).collect()
+        assert len(found) == min(30, 1100 - start)
+        assert [r.date_scraped for r in found] == sorted((r.date_scraped for r in found), reverse=True)
+
+
+def test_both_ways_agree(snippets):
+    for start in (0, 300, 985):
+        assert feed.feed_slice(snippets, start, 60).collect() == feed.feed_slice(snippets, start, 60, by_date=False).collect()
+
+
+def test_the_whole_feed(snippets):
+    assert [r.id for r in feed.feed_all(snippets, cap=None).collect()] == brute_force(snippets)
 
 
 def test_pages_partition_the_feed(snippets):
@@ -85,12 +98,11 @@ def test_page_index_agrees_with_the_pages(snippets):
     assert {r.id for r in index.filter("page = 3").collect()} == {r.id for r in feed.feed_page(snippets, 3).collect()}
 
 
-def test_keys_beyond_the_broadcast_bound(snippets, monkeypatch):
-    expected = {r.id for r in newest.latest_per_group(snippets, "source", 3).collect()}
-    monkeypatch.setattr(newest, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(newest, "MAX_DATES", 0)
-    assert {r.id for r in newest.latest_per_group(snippets, "source", 3).collect()} == expected
-    assert len(expected) == 60
+def test_latest_of_groups_with_missing_ids(make_entries):
+    rows = [{"id": None if i % 2 else f"{i:024x}", "source": "a" if i % 5 else "b"} for i in range(60)]
+    found = newest.latest_per_group(make_entries(rows), "source", 10).collect()
+    assert sorted(r.source for r in found) == ["a"] * 10 + ["b"] * 10
+    assert all(r.id for r in found if r.source == "a")
 
 
 @pytest.mark.parametrize("rows", [1, 33, 34, 500, 1000, 5000])

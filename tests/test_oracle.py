@@ -4,10 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from cardmill.plans import oracle as sql, registry
 from conftest import SF
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLE = sql.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,8 @@ def oracle():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

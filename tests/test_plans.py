@@ -13,15 +13,23 @@ def table(spark, stored_table):
     return read_entries(spark, stored_table)
 
 
-def test_feed_is_a_top_k_reduced_in_the_map_tasks(table, plan_of):
+def test_feed_ranks_order_values_in_the_map_tasks(table, plan_of):
     plan = plan_of(feed.feed_page(table, 2))
+    assert "row_number(), 60, Partial" in plan
+    # Text is read by the last scan alone; the ranking reads the order columns.
+    assert plan.count("FileScan parquet [id") + plan.count("FileScan parquet [created_at") + plan.count("FileScan parquet [title") >= 2
+
+
+def test_search_is_a_top_k_reduced_in_the_map_tasks(table, plan_of):
+    plan = plan_of(search.search_page(table, "the", 2))
     assert "TakeOrderedAndProject(limit=60, offset=30" in plan
     assert "row_number(), 60, Partial" in plan
 
 
 def test_newest_dates_prune_partitions(table, plan_of):
     plan = plan_of(newest.newest_dates(table, 60))
-    assert "PartitionFilters: [isnotnull(date_scraped" in plan and "Subquery" in plan
+    filters = plan.split("PartitionFilters: [", 1)[1].split("PushedFilters", 1)[0]
+    assert "date_scraped" in filters and "Subquery" in filters
     assert "ReadSchema: struct<>" in plan  # the counts come from footers
 
 
@@ -48,9 +56,10 @@ def test_ingest_prunes_by_the_dates_of_the_batch(table, snippets, plan_of):
     assert len(scan) == 1 and "date_scraped" in scan[0].split("PartitionFilters:", 1)[1] and "Subquery" in scan[0]
 
 
-def test_digest_reads_text_of_the_winning_dates_only(table, plan_of):
+def test_digest_ranks_order_values_in_the_map_tasks(table, plan_of):
     plan = plan_of(digest.digest_by_source(table))
-    assert "PartitionFilters: [date_scraped" in plan and "LeftSemi" in plan
+    assert "row_number(), 10, Partial" in plan
+    assert plan.count("FileScan") == 2 and plan.count("content") < 12
 
 
 def test_a_large_anti_join_keeps_one_shuffle_per_side(spark, table, plan_of):

@@ -2,9 +2,12 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cardmill.operators import extract, ingest
 from cardmill.plans import registry
 from cardmill.schema import ENTRY_COLUMNS, ENTRY_KEY, ENTRY_SCHEMA
+from cardmill.sources.corpus import scraped_at, scraped_on
 from cardmill.sources.entries import read_entries
 from cardmill.sources.pages import stream_pages
 from cardmill.streaming import ingest as streaming
@@ -90,11 +93,25 @@ def test_rejects_are_kept_once(spark, tmp_path):
             rejects,
         ).awaitTermination()
     found = spark.read.parquet(rejects)
-    assert found.count() == pages.filter("url = 'nowhere'").count()
+    n_bad = pages.filter("url = 'nowhere'").count()
+    assert sorted(r["count"] for r in found.groupBy("stream").count().collect()) == [n_bad] * 2
     assert {r.status for r in found.collect()} == {"no_source"}
     assert read_entries(spark, target).filter("source = ''").count() == 0
 
 
+def test_a_page_without_a_date_is_rejected_and_the_stream_goes_on(spark, tmp_path):
+    pages = registry.pages(spark, SF).selectExpr("nullif(page_id, 7) as page_id", "url", "html")
+    source, target, rejects = (str(tmp_path / name) for name in ("pages", "entries", "rejects"))
+    pages.write.parquet(source)
+    number = F.col("page_id")
+    streaming.ingest_pages(
+        stream_pages(spark, source), extract.ARTICLE_PAGE, scraped_on(number), scraped_at(number), target, str(tmp_path / "p"), rejects
+    ).awaitTermination()
+    assert [(r.page_id, r.status) for r in spark.read.parquet(rejects).collect()] == [(None, "no_date")]
+    assert read_entries(spark, target).filter("date_scraped IS NULL").count() == 0
+    assert read_entries(spark, target).count() > 200
+
+
 def test_late_pages_are_taken(spark, tmp_path):
     """A file of pages that arrives later, for an earlier day, and its copy."""
     pages = registry.pages(spark, SF)
