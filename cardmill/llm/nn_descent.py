@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import stored
 
-NEIGHBOURS = 20  # of a node in the graph
-REVERSE = 20  # nodes that have it as a neighbour, per node, in joins and searches
+NEIGHBOURS = 30  # of a node in the graph
+REVERSE = 30  # nodes that have it as a neighbour, per node, in joins and searches
 PIVOTS = 512  # a bounded sample: only where blocks and searches start depends on it
-BLOCKINGS = 2
-BLOCK_ROWS = 256
-ROUNDS = 8
+BLOCKINGS = 6
+BLOCK_ROWS = 512
+ROUNDS = 10
 ENOUGH = 0.01  # the descent ends when a round changes fewer edges a node and neighbour
-BEAM = 64  # nodes that a search keeps for a query
-STEP = 16  # of these that a round follows
+BEAM = 96  # nodes that a search keeps for a query
+STEP = 32  # of these that a round follows
 SEARCH_ROUNDS = 20
 BROADCAST_ROWS = 100_000
 
