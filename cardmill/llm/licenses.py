@@ -48,7 +48,6 @@ TEMPLATES = (
 )
 
 _NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-_NOT_WORD_ANY_CASE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 NO_ID = -(2**63)  # stands for a missing id in joins
 
 
@@ -78,49 +77,47 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), some).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def base_phrases(text: Column) -> Column:
-    """``(n_base, first_word, last_word, base_labels)`` of a text; words are only listed where a phrase may stand."""
-    gap = f"[{_NOT_WORD_ANY_CASE}]+"
-    maybe = "(?i)" + "|".join(gap.join(phrase.split()) for phrase in BASE_PHRASES)
-
-    def found(words: Column) -> Column:
-        starts = {label: _phrase_starts(words, phrase) for phrase, label in BASE_PHRASES.items()}
-        everywhere = F.concat(*starts.values())
-        labels = F.filter(F.array(*(F.when(F.size(s) > 0, label) for label, s in starts.items())), lambda x: x.isNotNull())
-        return F.struct(
-            F.size(everywhere).cast("long").alias("n_base"),
-            F.array_min(everywhere).cast("long").alias("first_word"),
-            F.array_max(everywhere).cast("long").alias("last_word"),
-            F.array_sort(labels).alias("base_labels"),
-        )
-
-    none = F.struct(
-        F.lit(0).cast("long").alias("n_base"),
-        F.lit(None).cast("long").alias("first_word"),
-        F.lit(None).cast("long").alias("last_word"),
-        F.expr("cast(array() as array<string>)").alias("base_labels"),
-    )
-    searched = F.transform(F.array(_words(_lowered(text))), found)[0]
-    return F.when(text.rlike(maybe), searched).otherwise(none)
+def base_phrases(words: Column, own: Column) -> Column:
+    """``(n_base, first_word, last_word, base_labels)`` of the words of a text, of which ``own`` are those in the vocabulary."""
+    holds = lambda phrase: F.size(F.array_intersect(own, F.array(*map(F.lit, phrase.split())))) == len(phrase.split())
+    none = F.expr("cast(array() as array<int>)")
+    starts = {
+        label: F.when(holds(phrase), _phrase_starts(words, phrase)).otherwise(none) for phrase, label in BASE_PHRASES.items()
+    }
+    return F.struct(*(places.alias(label) for label, places in starts.items()))
+
+
+def _base_columns(starts: Column) -> list[Column]:
+    places = [starts[label] for label in BASE_PHRASES.values()]
+    everywhere = F.concat(*places)
+    labels = F.array(*(F.when(F.size(starts[label]) > 0, label) for label in BASE_PHRASES.values()))
+    return [
+        F.size(everywhere).cast("long").alias("n_base"),
+        F.array_min(everywhere).cast("long").alias("first_word"),
+        F.array_max(everywhere).cast("long").alias("last_word"),
+        F.array_sort(F.filter(labels, lambda x: x.isNotNull())).alias("base_labels"),
+    ]
 
 
 def _need(n: int) -> int:
     return -(-CONTAINED_PERCENT * n // 100)
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """``(doc_id, mark, label, contained)`` from ``(doc_id, mark, text)``: the best match of each label, of every block of every text."""
+def template_matches(docs: DataFrame, kept: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """``(of, mark, label, contained)`` from ``(of, mark, text)``: the best match of each label, of every block of every text.
+
+    ``kept (of, mark, own)`` has the words of the templates that each text holds.
+    """
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     if any(len(text.split()) > BLOCK_WORDS - BLOCK_STEP + 1 for _, text in templates):
         raise ValueError("a template is longer than two blocks overlap")
     vocabulary = sorted({word for _, words in sets for word in words})
     literal = lambda words: F.array(*map(F.lit, words))
     lowered = _words(_lowered_fast(F.col("text")))
-    kept = docs.select("doc_id", "mark", F.array_intersect(lowered, literal(vocabulary)).alias("own"))
-    kept = stored(kept.filter(F.size("own") > 0), "words")
 
     # At most one row for each word of the templates.
-    counted = dict(kept.select(F.explode("own").alias("word")).groupBy("word").count().collect())
+    words = kept.select(F.explode(F.array_intersect("own", literal(vocabulary))).alias("word"))
+    counted = dict(words.groupBy("word").count().collect())
     ordered = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {word: i for i, word in enumerate(ordered)}
     index = []
@@ -139,14 +136,14 @@ def template_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_STEP))
     windows = F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, F.lit(BLOCK_WORDS)), literal(ordered)))
     likely = F.filter(windows, lambda b: F.arrays_overlap(b, literal(prefixes)))
-    some = stored(kept.filter(F.arrays_overlap("own", literal(prefixes))).select("doc_id", "mark").distinct(), "likely")
+    some = stored(kept.filter(F.arrays_overlap("own", literal(prefixes))).select("of", "mark").distinct(), "likely")
     if 2 * some.count() <= BROADCAST_KEYS:
         some = F.broadcast(some)
-    worded = docs.join(some, ["doc_id", "mark"], "left_semi").select("doc_id", "mark", lowered.alias("words"))
-    blocks = worded.select("doc_id", "mark", F.explode(likely).alias("block"))
+    worded = docs.join(some, ["of", "mark"], "left_semi").select("of", "mark", lowered.alias("words"))
+    blocks = worded.select("of", "mark", F.explode(likely).alias("block"))
     ranked = F.array_sort(F.transform("block", lambda w: F.array_position(literal(ordered), w).cast("int") - 1))
-    placed = blocks.select("doc_id", "mark", ranked.alias("block"))
-    tokens = placed.select("doc_id", "mark", "block", F.posexplode("block").alias("at", "rank"))
+    placed = blocks.select("of", "mark", ranked.alias("block"))
+    tokens = placed.select("of", "mark", "block", F.posexplode("block").alias("at", "rank"))
     m = F.size("block")
     pairs = tokens.join(F.broadcast(index), "rank").filter(
         (m >= F.col("need"))
@@ -155,7 +152,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     )
     overlap = F.size(F.array_intersect("block", "ranks"))
     checked = pairs.join(F.broadcast(table), "template").filter(overlap >= F.col("need"))
-    return checked.groupBy("doc_id", "mark", "label").agg(F.max(overlap / F.col("n")).alias("contained"))
+    return checked.groupBy("of", "mark", "label").agg(F.max(overlap / F.col("n")).alias("contained"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,15 +166,25 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     ignored. Labels of templates are found in any case of letters, A-Z only.
     """
     words = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("mark"), words.alias("text"))
-    of = F.coalesce("doc_id", F.lit(NO_ID))
-    best = template_matches(rows.withColumn("doc_id", of))
-    best = best.groupBy(F.col("doc_id").alias("of"), "mark").agg(
-        F.collect_set("label").alias("found"), F.max("contained").alias("contained")
+    named = F.col(doc_id).cast("long")
+    rows = docs.select(
+        named.alias("doc_id"), F.coalesce(named, F.lit(NO_ID)).alias("of"), F.xxhash64(words).alias("mark"), words.alias("text")
+    )
+    vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()} | {w for p in BASE_PHRASES for w in p.split()})
+    own = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    # The one pass over all words; what it gives is narrow.
+    first = rows.withColumn("words", _words(_lowered_fast(F.col("text")))).withColumn("own", own)
+    first = stored(
+        first.select(
+            "doc_id", "of", "mark", F.size("words").cast("long").alias("n_words"), "own",
+            base_phrases(F.col("words"), F.col("own")).alias("starts"),
+        ),
+        "words",
     )
-    n_words = F.regexp_count("text", F.lit(f"[^{_NOT_WORD_ANY_CASE}]+")).cast("long")
-    base = rows.select("doc_id", of.alias("of"), "mark", n_words.alias("n_words"), base_phrases(F.col("text")).alias("b"))
-    joined = base.select("doc_id", "of", "mark", "n_words", "b.*").join(best, ["of", "mark"], "left")
+    best = template_matches(rows.select("of", "mark", "text"), first.filter(F.size("own") > 0).select("of", "mark", "own"))
+    best = best.groupBy("of", "mark").agg(F.collect_set("label").alias("found"), F.max("contained").alias("contained"))
+    base = first.select("doc_id", "of", "mark", "n_words", *_base_columns(F.col("starts")))
+    joined = base.join(best, ["of", "mark"], "left")
     found = F.coalesce("found", F.expr("cast(array() as array<string>)"))
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
