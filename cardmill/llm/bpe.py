@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS = 1 << 15
 NO_RANK = 1 << 20  # above all ranks
 PLACES = 1 << 10  # above the length of a word that is folded
-CHUNK_BYTES = 12 << 20  # of text
+CHUNK_BYTES = 6 << 20  # of text, in characters
 LONG_WORD = 512  # bytes; a fold is quadratic, so longer words are merged with a heap
-EMIT_IDS = 1 << 20
+EMIT_IDS = 1 << 19
 
 _CHUNKS = "doc_ids array<long>, n_words binary, places binary, words array<binary>, long_at binary, long_ids array<array<int>>"
 

@@ -160,21 +160,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A row is known by ``doc_id``, source and text; of rows that agree in these, the
     copies are dealt out in any order.
     """
-    place, mark, size = (free_name(docs, c) for c in ("place", "mark", "size"))
+    place, mark, copies, repeat = (free_name(docs, c) for c in ("place", "mark", "copies", "repeat"))
     keys = ["doc_id", "source", "mark"]
     order = Window.partitionBy(*keys).orderBy("copies")
-    counted = mix_sources(sized_documents(docs)).withColumn("place", F.row_number().over(order))
-    counted = counted.filter("copies > 0").select(
-        *(F.col(c).alias(f"{c}__") for c in (*keys, "place")), F.col("copies").alias("copies__")
-    )
+    counted = mix_sources(sized_documents(docs)).withColumn("place", F.row_number().over(order)).filter("copies > 0")
+    counted = counted.select(F.struct(*keys, "place").alias("key"), F.col("copies").alias(copies))
     marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
     own = Window.partitionBy("doc_id", "source", mark).orderBy(F.lit(1))
     numbered = marked.withColumn(place, F.row_number().over(own))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("doc_id__"))
-        & F.col("source").eqNullSafe(F.col("source__"))
-        & (F.col(mark) == F.col("mark__"))
-        & (F.col(place) == F.col("place__"))
+    # One struct as the key: a missing part equals a missing one.
+    of = F.struct(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col(mark).alias("mark"), F.col(place).alias("place"),
     )
-    repeated = numbered.join(counted, same).withColumn(size, F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int"))))
+    key = free_name(docs, "key")
+    joined = numbered.withColumn(key, of).join(counted.withColumnRenamed("key", key), key)
+    repeated = joined.withColumn(repeat, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return repeated.select(*docs.columns)
