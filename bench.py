@@ -1,4 +1,4 @@
-"""Time every registered query: one warm-up run, then the better of two.
+"""Time every registered query: one warm-up run of all, then the median of three.
 
 Prints one JSON line. BENCH_SF_DIR and BENCH_CPUS name the data and the cores.
 """
@@ -9,13 +9,14 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 from cardmill.plans.registry import QUERIES
 from cardmill.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 2
+RUNS = 3
 
 
 def run(query, spark) -> float:
@@ -28,9 +29,10 @@ def main() -> None:
     spark = build_session(f"local[{CPUS}]", shuffle_partitions=int(CPUS), driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
-    for name, query in QUERIES.items():
+    for query in QUERIES.values():
         run(query, spark)
-        seconds[name] = round(min(run(query, spark) for _ in range(RUNS)), 3)
+    for name, query in QUERIES.items():
+        seconds[name] = round(median(run(query, spark) for _ in range(RUNS)), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     spark.stop()
     print(
