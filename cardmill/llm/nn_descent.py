@@ -61,7 +61,7 @@ def _members(vectors: DataFrame, kept: int) -> DataFrame:
 def _pivots(nodes: DataFrame, turn: int) -> tuple[np.ndarray, np.ndarray]:
     found = nodes.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(PIVOTS).collect()
     ids = np.array([row["node"] for row in found], np.int64)
-    return ids, np.array([row["vec"] for row in found], np.float64).reshape(len(found), -1)
+    return ids, np.array([row["vec"] for row in found], np.float64).reshape(len(found), -1 if found else 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
