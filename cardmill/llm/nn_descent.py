@@ -3,8 +3,8 @@
 Equal vectors are one node of the graph. The graph starts from blocks: nodes are
 sorted by the nearest of some pivots and compared within runs. Each round of the descent
 joins every node's neighbours, and some nodes that it is a neighbour of, with their vectors, compares these
-with each other where one of them is new, and keeps the nearest of each node. Vectors
-take part in this with a byte a component; the search compares the vectors themselves.
+with each other where one of them is new, and keeps the nearest of each node. All distances are
+between the vectors themselves, in double precision.
 
 A search keeps, for each query, a list of the nearest nodes so far, starting from the nearest pivots. Each round
 follows the edges of the nearest ones not yet followed, in both directions, until a round finds nothing
@@ -32,8 +32,10 @@ BEAM = 96  # nodes that a search keeps for a query
 STEP = 32  # of these that a round follows
 SEARCH_ROUNDS = 20
 BROADCAST_ROWS = 100_000
+CLOSE = 1e-6  # squared distances below this part of the squared norms are taken from differences
+DIFFERENCES = 1 << 20  # components of these that are held at once
 
-_EDGE = "node long, near long, distance float, is_new boolean"
+_EDGE = "node long, near long, distance double, is_new boolean"
 
 
 def clean_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -74,6 +76,22 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
+def _apart(v: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of ``v``; those that products would round away are taken from differences."""
+    v = v.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        centred = v - v[len(v) // 2]
+        norms = (centred * centred).sum(1)
+        both = norms[:, None] + norms[None, :]
+        d = both - 2.0 * (centred @ centred.T)
+        a, b = np.nonzero(np.triu(~(d > CLOSE * both), 1))
+        step = max(1, DIFFERENCES // v.shape[1])
+        for start in range(0, len(a), step):
+            x, y = a[start : start + step], b[start : start + step]
+            d[x, y] = d[y, x] = ((v[x] - v[y]) ** 2).sum(1)
+    return d
+
+
 def _blocked(nodes: DataFrame, turn: int) -> DataFrame:
     """Edges to the nearest within blocks of nodes that share the nearest pivot, or nearly so."""
     _, pivots = _pivots(nodes, turn)
@@ -103,7 +121,7 @@ def _blocked(nodes: DataFrame, turn: int) -> DataFrame:
 
 def _nearest_in(block: pa.Table) -> pa.RecordBatch:
     ids = block.column("node").to_numpy()
-    d = _squares(*[_matrix(block.column("vec").combine_chunks()).astype(np.float32)] * 2)
+    d = _apart(_matrix(block.column("vec").combine_chunks()))
     np.fill_diagonal(d, np.inf)
     k = min(NEIGHBOURS, len(ids) - 1)
     at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(ids), 0), np.int64)
@@ -112,7 +130,7 @@ def _nearest_in(block: pa.Table) -> pa.RecordBatch:
 
 
 def _edges(node: np.ndarray, near: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(node), pa.array(near), pa.array(distance.astype(np.float32)), pa.array(np.ones(len(node), bool))]
+    columns = [pa.array(node), pa.array(near), pa.array(distance.astype(np.float64)), pa.array(np.ones(len(node), bool))]
     return pa.RecordBatch.from_arrays(columns, ["node", "near", "distance", "is_new"])
 
 
@@ -130,12 +148,12 @@ def _reversed(graph: DataFrame) -> DataFrame:
     return back.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= REVERSE).drop("at")
 
 
-def _round(graph: DataFrame, codes: DataFrame) -> DataFrame:
+def _round(graph: DataFrame, packed: DataFrame, kind: str) -> DataFrame:
     """One round: edges between the neighbours of each node that are nearer than what these have."""
     worst = graph.groupBy("node").agg(F.max("distance").alias("worst"), F.count(F.lit(1)).alias("n"))
-    limit = F.when(F.col("n") < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float")
-    known = codes.join(worst, "node", "left").select(
-        F.col("node").alias("near"), "code", F.coalesce(limit, F.lit(float("inf")).cast("float")).alias("limit")
+    limit = F.when(F.col("n") < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.col("worst"))
+    known = packed.join(worst, "node", "left").select(
+        F.col("node").alias("near"), "packed", F.coalesce(limit, F.lit(float("inf"))).alias("limit")
     )
     both = graph.unionByName(_reversed(graph)).groupBy("node", "near").agg(F.max("is_new").alias("is_new"))
     around = both.join(known, "near").repartition("node").sortWithinPartitions("node")
@@ -147,37 +165,35 @@ def _round(graph: DataFrame, codes: DataFrame) -> DataFrame:
             node = held.column("node").to_numpy()
             ready = int(np.searchsorted(node, node[-1]))
             if ready >= 2000:
-                yield _joined(held.slice(0, ready))
+                yield _joined(held.slice(0, ready), kind)
                 held = held.slice(ready)
         if held is not None and held.num_rows:
-            yield _joined(held)
+            yield _joined(held, kind)
 
-    rows = around.select("node", "near", "is_new", "code", "limit").mapInArrow(join, _EDGE)
+    rows = around.select("node", "near", "is_new", "packed", "limit").mapInArrow(join, _EDGE)
     marked = graph.withColumn("is_new", F.lit(False))
     return _nearest(marked.unionByName(rows))
 
 
-def _joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+def _joined(rows: pa.RecordBatch, kind: str) -> pa.RecordBatch:
     node, near = rows.column("node").to_numpy(), rows.column("near").to_numpy()
     new = rows.column("is_new").to_numpy(zero_copy_only=False)
     limit = rows.column("limit").to_numpy()
-    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(node), -1).astype(np.float32)
-    norms = (codes * codes).sum(1)
+    vectors = _unpacked(rows.column("packed"), kind)
     edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
     found = []
     for start, end in zip(edges[:-1], edges[1:]):
         own = slice(start, end)
         if not new[own].any():
             continue
-        v = codes[own]
-        d = norms[own][:, None] + norms[own][None, :] - 2.0 * (v @ v.T)
+        d = _apart(vectors[own])
         useful = (d < limit[own][:, None]) & (new[own][:, None] | new[own][None, :])
         np.fill_diagonal(useful, False)
         a, b = np.nonzero(useful)
         if len(a):
             found.append((near[start + a], near[start + b], d[a, b]))
     if not found:
-        return _edges(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        return _edges(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     a, b, d = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((b, d, a))
     a, b, d = a[order], b[order], d[order]
@@ -189,53 +205,58 @@ def _joined(rows: pa.RecordBatch) -> pa.RecordBatch:
     return _edges(a[keep], b[keep], d[keep])
 
 
-def _coded(nodes: DataFrame) -> DataFrame:
-    """Vectors with a byte a component, of one scale."""
-    largest = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).scalar()
-    scaled = nodes.select("node", "vec", (F.lit(127.0) / largest).alias("scale"))
+def _packed(nodes: DataFrame) -> tuple[DataFrame, str]:
+    """``(node, packed)`` and the type of the numbers in it: four bytes a component where that holds all of them exactly, else eight."""
+    fits = ~F.exists("vec", lambda x: x != x.cast("float").cast("double"))
+    kind = "<f4" if nodes.filter(~fits).isEmpty() else "<f8"
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.rint(_matrix(batch.column(1)) * batch.column(2).to_numpy()[:, None]).astype(np.int8)
+            values = _matrix(batch.column(1)).astype(kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([row.tobytes() for row in values], pa.binary())], ["node", "code"]
+                [batch.column(0), pa.array([row.tobytes() for row in values], pa.binary())], ["node", "packed"]
             )
 
-    return scaled.mapInArrow(code, "node long, code binary")
+    return nodes.select("node", "vec").mapInArrow(pack, "node long, packed binary"), kind
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    values = np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """``(node, near, distance, is_new)``: about the nearest ``NEIGHBOURS`` nodes of each of ``nodes (node, vec)``.
 
-    Distances are squares between the coded vectors.
+    Distances are squares.
     """
-    codes = stored(_coded(nodes), "codes")
+    packed, kind = _packed(nodes)
+    packed = stored(packed, "packed")
     blocks = _blocked(nodes, 0)
     for turn in range(1, BLOCKINGS):
         blocks = blocks.unionByName(_blocked(nodes, turn))
     start = stored(blocks.select("node", "near").distinct(), "blocks")
-    graph = stored(_nearest(_measured(start, codes)), "graph")
+    graph = stored(_nearest(_measured(start, packed, kind)), "graph")
     n_edges = graph.count()
     for _ in range(ROUNDS):
-        graph = stored(_round(graph, codes), "graph")
+        graph = stored(_round(graph, packed, kind), "graph")
         if graph.filter("is_new").count() <= ENOUGH * n_edges:
             break
     return graph
 
 
-def _measured(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Edges with the distances of coded vectors."""
+def _measured(pairs: DataFrame, packed: DataFrame, kind: str) -> DataFrame:
+    """Edges with their distances."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float32)
-                for c in ("code", "code_near")
-            ) if batch.num_rows else (np.empty((0, 1)), np.empty((0, 1)))
-            yield _edges(batch.column("node").to_numpy(), batch.column("near").to_numpy(), ((a - b) ** 2).sum(1))
-
-    joined = pairs.join(codes, "node").join(codes.select(F.col("node").alias("near"), F.col("code").alias("code_near")), "near")
-    return joined.select("node", "near", "code", "code_near").mapInArrow(measure, _EDGE)
+            a, b = (_unpacked(batch.column(c), kind) for c in ("packed", "packed_near"))
+            with np.errstate(over="ignore"):
+                yield _edges(batch.column("node").to_numpy(), batch.column("near").to_numpy(), ((a - b) ** 2).sum(1))
+
+    near = packed.select(F.col("node").alias("near"), F.col("packed").alias("packed_near"))
+    joined = pairs.join(packed, "node").join(near, "near")
+    return joined.select("node", "near", "packed", "packed_near").mapInArrow(measure, _EDGE)
 
 
 def _few(rows: DataFrame) -> DataFrame:

@@ -372,6 +372,24 @@ class TestNearest:
             hits += len(near & {r["near"] for r in edges if r["node"] == node})
         assert hits >= 0.9 * 2000
 
+    @pytest.mark.parametrize("case", ["outlier", "tight group"])
+    def test_distances_are_those_of_the_vectors(self, spark, case):
+        rng = np.random.default_rng(7)
+        points = rng.normal(size=(1500, 8))
+        if case == "outlier":
+            points[3] = 1e9
+        else:
+            points[:400] = 5.0 + 1e-5 * points[:400]
+        nodes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "node long, vec array<double>")
+        found = {}
+        for r in nn_descent.neighbour_graph(nodes).collect():
+            found.setdefault(r["node"], set()).add(r["near"])
+        hits = 0
+        for node in range(100, 300):
+            d = ((points - points[node]) ** 2).sum(1)
+            hits += len(set(np.argsort(d)[1:11].tolist()) & found[node])
+        assert hits >= 0.95 * 2000
+
 
 class TestPipeline:
     def test_stages_keep_columns_and_take_effect(self, spark, make):
