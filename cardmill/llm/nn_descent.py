@@ -6,13 +6,15 @@ joins every node's neighbours, and some nodes that it is a neighbour of, with th
 with each other where one of them is new, and keeps the nearest of each node. All distances are
 between the vectors themselves, in double precision.
 
-A search keeps, for each query, a list of the nearest nodes so far, starting from the nearest pivots. Each round
+A search keeps, for each query, a list of the nearest nodes so far, starting from the query's own node, if it is one, and the
+nearest pivots. Each round
 follows the edges of the nearest ones not yet followed, in both directions, until a round finds nothing
 to follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,8 @@ from .tables import stored
 
 NEIGHBOURS = 30  # of a node in the graph
 REVERSE = 30  # nodes that have it as a neighbour, per node, in joins and searches
-PIVOTS = 512  # a bounded sample: only where blocks and searches start depends on it
+PIVOTS = 512  # at least, a sample: where blocks start depends on it, and where searches do besides the query's own node
+PIVOTS_ROOT = 4  # or as many times the root of the number of nodes
 BLOCKINGS = 6
 BLOCK_ROWS = 512
 ROUNDS = 10
@@ -61,7 +64,8 @@ def _members(vectors: DataFrame, kept: int) -> DataFrame:
 
 
 def _pivots(nodes: DataFrame, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    found = nodes.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(PIVOTS).collect()
+    wanted = max(PIVOTS, PIVOTS_ROOT * math.isqrt(nodes.count()))
+    found = nodes.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(wanted).collect()
     ids = np.array([row["node"] for row in found], np.int64)
     return ids, np.array([row["vec"] for row in found], np.float64).reshape(len(found), -1 if found else 1)
 
@@ -267,7 +271,7 @@ def _few(rows: DataFrame) -> DataFrame:
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query, node, distance)``: for each of ``queries (query, vec)``, up to ``BEAM`` near nodes, Euclidean.
 
-    With at most ``PIVOTS`` nodes all are compared.
+    A query whose id is that of a node has the node's vector, and starts from it too. With at most ``PIVOTS`` nodes all are compared.
     """
     ids, pivots = _pivots(nodes, 0)
     shared = nodes.sparkSession.sparkContext.broadcast((ids, pivots))
@@ -292,7 +296,11 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
     best = Window.partitionBy("query").orderBy("distance", "node")
     queries = stored(queries, "queries")
-    state = stored(queries.mapInArrow(enter, state_schema), "beam")
+    itself = queries.join(nodes.select(F.col("node").alias("query")), "query", "left_semi").select(
+        "query", F.col("query").alias("node"), F.lit(0.0).alias("distance"), F.lit(False).alias("followed")
+    )
+    entered = queries.mapInArrow(enter, state_schema).filter("node <> query").unionByName(itself)
+    state = stored(entered, "beam")
     links = graph.select("node", "near").unionByName(_reversed(graph).select("node", "near")).distinct()
     links = stored(links, "links")
     for _ in range(SEARCH_ROUNDS):

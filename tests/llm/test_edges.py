@@ -390,6 +390,24 @@ class TestNearest:
             hits += len(set(np.argsort(d)[1:11].tolist()) & found[node])
         assert hits >= 0.95 * 2000
 
+    def test_search_enters_groups_without_a_pivot(self, spark, monkeypatch):
+        monkeypatch.setattr(nn_descent, "PIVOTS", 2)
+        monkeypatch.setattr(nn_descent, "PIVOTS_ROOT", 0, raising=False)
+        rng = np.random.default_rng(8)
+        points = np.repeat(10.0 * rng.normal(size=(8, 4)), 40, axis=0) + rng.normal(size=(320, 4))
+        d = ((points[:, None] - points[None, :]) ** 2).sum(2)
+        own = [(i, j, float(d[i, j]), False) for i in range(320) for j in range(i - i % 40, i - i % 40 + 40) if i != j]
+        graph = spark.createDataFrame(own, "node long, near long, distance double, is_new boolean")
+        nodes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "node long, vec array<double>")
+        queries = nodes.filter("node % 20 = 0").withColumnRenamed("node", "query")
+        found = {}
+        for r in nn_descent.search(graph, nodes, queries).collect():
+            found.setdefault(r["query"], {})[r["node"]] = r["distance"]
+        assert len(found) == 16
+        for query, near in found.items():
+            expected = set(np.argsort(d[query])[:11].tolist())
+            assert expected <= set(sorted(near, key=near.get)[:11])
+
 
 class TestPipeline:
     def test_stages_keep_columns_and_take_effect(self, spark, make):
