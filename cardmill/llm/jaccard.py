@@ -507,6 +507,11 @@ def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     and has a null component if nothing that it reaches has a ``doc_id``. Extra
     columns are ignored. An empty table gives an empty result.
     """
+    return _rooted(docs, doc_id, text).drop("root")
+
+
+def _rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``shingle_components`` with the ``root`` of each component, which no other has even if ids repeat."""
     words = F.col(text).cast("string")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("mark"), words.alias("text"))
     emitted = docs.mapInArrow(_emit, _EMITTED).repartition("sig").sortWithinPartitions("sig")
@@ -527,23 +532,23 @@ def shingle_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
     least = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    labels = named.select("node", F.coalesce("root", "node").alias("root")).join(least, "root").drop("root")
+    labels = named.select("node", F.coalesce("root", "node").alias("root")).join(least, "root")
     labelled = documents.join(labels, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return labelled.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return labelled.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that with its smallest ``doc_id``.
+    """``docs`` with one document of each component, that with its smallest ``doc_id``, whatever other components hold that id too.
 
     Documents without shingles stay, and so do those of components in which no document has an id. Of rows that
     repeat the document that stays, one stays.
     """
     mark = free_name(docs, "mark")
-    labelled = shingle_components(docs).withColumn("of", F.coalesce("doc_id", F.lit(NO_ID)))
+    labelled = _rooted(docs).withColumn("of", F.coalesce("doc_id", F.lit(NO_ID)))
     labelled = stored(labelled.filter("n_shingles > 0 AND component_id IS NOT NULL"), "labelled")
-    winners = labelled.filter("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("best"))
-    rows = labelled.groupBy("component_id", "of", "mark").agg(F.count(F.lit(1)).alias("n")).join(winners, "component_id")
+    winners = labelled.filter("doc_id = component_id").groupBy("root").agg(F.min("mark").alias("best"))
+    rows = labelled.groupBy("root", "component_id", "of", "mark").agg(F.count(F.lit(1)).alias("n")).join(winners, "root")
     stays = (F.col("of") == F.col("component_id")) & (F.col("mark") == F.col("best"))
     decided = stored(rows.select("of", "mark", "n", stays.alias("stays")), "decided")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("of__"), F.col(mark) == F.col("mark__")]

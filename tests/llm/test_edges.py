@@ -119,6 +119,12 @@ class TestJaccard:
         assert kept.columns == make(rows).columns
         assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept.collect()) == [("2", "z"), ("5", "a"), ("None", "q")]
 
+    def test_components_with_one_id_keep_a_document_each(self, make):
+        first, other = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+        for near in (first, other):
+            kept = jaccard.distinct_documents(make([(5, first), (5, other), (9, near + " more")])).collect()
+            assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, first), (5, other)])
+
     def test_empty_table(self, make):
         assert self.found(make([])) == {}
         assert jaccard.distinct_documents(make([])).collect() == []
