@@ -20,8 +20,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # Written at a stretch or in groups of four.
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    # Written at a stretch or in groups of four. The first four characters are taken, the whole is the first group, so that
+    # numbers may start inside of what another could reach to.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
 }
 # A text in which this is not found has no span of the kind, which spares the search.
 NEEDED = {
@@ -89,16 +90,39 @@ def _confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _account(found: Column) -> Column:
+    """The longest beginning of what the account pattern found that ends with a group and is confirmed, or null."""
+    groups = F.split(found, " ")
+    lengths = F.when(F.size(groups) > 2, F.sequence(F.size(groups), F.lit(3), F.lit(-1))).otherwise(F.array(F.size(groups)))
+    tries = F.transform(lengths, lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.get(F.filter(tries, lambda x: _confirmed("iban", x)), F.lit(0))
+
+
+def _accounts(text: Column) -> Column:
+    """The confirmed accounts as from ``_placed``; one that starts within another is left out."""
+    whole = F.transform(_placed(text, "iban"), lambda span: F.struct(span["start"].alias("start"), _account(span["found"]).alias("found")))
+    good = F.filter(whole, lambda span: span["found"].isNotNull())
+    empty = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
+
+    def add(acc: Column, span: Column) -> Column:
+        end = span["start"] + F.char_length(span["found"])
+        one = F.struct(span["start"].alias("start"), end.alias("end"), span["found"].alias("found"))
+        after = F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+        return F.when(span["start"] < acc["at"], acc).otherwise(after)
+
+    return F.aggregate(good, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+
+
 def _placed(text: Column, kind: str) -> Column:
     """All matches of a kind as structs of start, end and found: pieces between them give the places."""
     pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(1 if kind == "iban" else 0))
     between = F.transform(F.split(text, PATTERNS[kind], -1), F.char_length)
     empty = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + pair["gap"]
-        end = start + F.char_length(pair["found"])
+        end = start + (4 if kind == "iban" else F.char_length(pair["found"]))
         span = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
@@ -125,7 +149,10 @@ def spans_of(text: Column, kind: str) -> Column:
             F.lit(kind).alias("kind"), score.alias("score"),
         )
 
-    confirmed = F.filter(_placed(text, kind), lambda span: _confirmed(kind, span["found"]))
+    if kind == "iban":
+        confirmed = _accounts(text)
+    else:
+        confirmed = F.filter(_placed(text, kind), lambda span: _confirmed(kind, span["found"]))
     nothing = F.expr(
         "cast(array() as array<struct<start: int, kind_order: int, end: int, kind: string, score: double>>)"
     )

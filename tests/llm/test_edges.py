@@ -218,6 +218,12 @@ class TestPii:
             "+1 (705) 555-5569. +12", "IBAN DE89370400440532013000 GB82 WEST 1234 5698 7654 32 DE00370400440532013000", "a@b.cd_x@y.zz",
         ]) == ["", "", "", "email:3:8", "ip:0:7,ip:20:32", "card:0:19", "phone:0:17", "iban:5:27,iban:28:55", "email:0:6,email:6:13"]
 
+    def test_accounts_end_where_their_numbers_do(self, make):
+        es, at = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"
+        texts = [f"{es} BIC", f"{es} 250 EUR", f"{at} 2024", f"{es} {at}", f"ID12 {es}", f"{es} 12 XY34", f"{es}X", f"{es[:-1]}3 BIC"]
+        found = [[x for x in s.split(",") if x.startswith("iban")] for s in self.spans(make, texts)]
+        assert found == [["iban:0:29"], ["iban:0:29"], ["iban:0:24"], ["iban:0:29", "iban:30:54"], ["iban:5:34"], ["iban:0:29"], [], []]
+
     def test_context_raises_the_score(self, make):
         found = pii.find_pii(make(["call +44 2071838750", "see +44 2071838750"], clashing=False)).orderBy("doc_id").collect()
         assert found[0]["pii"][0]["score"] > found[1]["pii"][0]["score"]
