@@ -1,8 +1,8 @@
 """SQL for DuckDB that must give the rows of the queries, where SQL can express them.
 
 Without: byte-level BPE (the pattern looks ahead), the mix of sources (draws),
-nearest neighbours (approximate), compression ratios, and places of matches
-of patterns. Tests hold these against brute force.
+nearest neighbours (approximate), compression ratios, places of matches
+of patterns, and parsing against automata. Tests hold these against brute force.
 """
 
 from __future__ import annotations
@@ -93,9 +93,72 @@ SELECT page_id, payload_bytes,
 FROM bits
 """
 
+# Sums are whole numbers; the floor of a mean is taken without a fraction.
+_ROUND = """
+), near{i} AS (
+    SELECT row, p, c, d FROM (
+        SELECT row, p, c, list_sum(list_transform(range(1, 65), lambda i: (p[i] - q[i]) * (p[i] - q[i])))::BIGINT AS d,
+            row_number() OVER (PARTITION BY row ORDER BY d, c) AS at
+        FROM points, centres{i}
+    ) WHERE at = 1
+"""
+_MOVED = """
+), sums{i} AS (
+    SELECT c, j, sum(p[j])::BIGINT AS s, count(*)::BIGINT AS n FROM near{i}, range(1, 65) t(j) GROUP BY ALL
+), means{i} AS (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS q FROM sums{i} GROUP BY c
+), centres{j} AS (
+    SELECT c, coalesce(m.q, o.q) AS q FROM centres{i} o LEFT JOIN means{i} m USING (c)
+"""
+ORCHARD = (
+    """
+WITH points AS (
+    SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS p
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centres0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), p) - 1 AS c, p AS q FROM points
+    WHERE vec_id IS NOT NULL ORDER BY c LIMIT 16
+"""
+    + "".join(_ROUND.format(i=i) + _MOVED.format(i=i, j=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+    sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM near3 JOIN points USING (row) JOIN centres3 USING (c)
+"""
+)
+
+HARD_NEGATIVES = """
+WITH points AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS p,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), named AS (
+    SELECT *, row_number() OVER () AS row FROM points
+), scores AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+        coalesce(list_sum(list_transform(range(1, least(len(a.p), len(b.p)) + 1), lambda i: a.p[i] * b.p[i])), 0)::BIGINT AS score
+    FROM named a, named b WHERE a.vec_id % 100 = 0 AND a.row <> b.row
+), positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS at FROM scores WHERE same
+), negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)::INTEGER AS rank
+    FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same
+        AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+    WHERE at <= 5
+)
+SELECT * FROM negatives WHERE rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op2_token_rollup": TOKEN_ROLLUP,
     "op4_ngram_jaccard_join": JACCARD_JOIN,
     "op5_perspective_rotation": PERSPECTIVE_ROTATION,
     "op6_warc": WARC,
+    "op12_orchard_search": ORCHARD,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

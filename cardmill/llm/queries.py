@@ -8,7 +8,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, jaccard, licenses, mixing, nn_descent, pii, quality, token_rollup, warc
+from . import (
+    bpe,
+    chat,
+    cross_parsing,
+    hard_negatives,
+    jaccard,
+    licenses,
+    mixing,
+    nn_descent,
+    orchard,
+    pii,
+    quality,
+    token_rollup,
+    warc,
+)
 from ..session import shared_folder
 from .tables import WORD, read_documents, stored
 
@@ -115,6 +129,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    seen = docs.filter(F.col("doc_id").isNotNull() & ~cross_parsing.held_out())
+    found = cross_parsing.identify_languages(docs.select("doc_id", "text"), cross_parsing.learn_languages(seen))
+    return found.select(
+        "doc_id",
+        cross_parsing.held_out().alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        "language.score",
+        "language.bits",
+    )
+
+
+def op12_orchard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return orchard.with_inertia(*orchard.cluster_vectors(vectors)).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, label=label)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_rollup": op2_token_rollup,
@@ -126,4 +166,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_cross_parsing": op11_cross_parsing,
+    "op12_orchard_search": op12_orchard_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
