@@ -98,9 +98,9 @@ _ROUND = """
 ), near{i} AS (
     SELECT row, p, c, d FROM (
         SELECT row, p, c, list_sum(list_transform(range(1, 65), lambda i: (p[i] - q[i]) * (p[i] - q[i])))::BIGINT AS d,
-            row_number() OVER (PARTITION BY row ORDER BY d, c) AS at
+            row_number() OVER (PARTITION BY row ORDER BY d, c) AS place
         FROM points, centres{i}
-    ) WHERE at = 1
+    ) WHERE place = 1
 """
 _MOVED = """
 ), sums{i} AS (
@@ -143,13 +143,13 @@ WITH points AS (
         coalesce(list_sum(list_transform(range(1, least(len(a.p), len(b.p)) + 1), lambda i: a.p[i] * b.p[i])), 0)::BIGINT AS score
     FROM named a, named b WHERE a.vec_id % 100 = 0 AND a.row <> b.row
 ), positives AS (
-    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS at FROM scores WHERE same
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS place FROM scores WHERE same
 ), negatives AS (
     SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
         row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)::INTEGER AS rank
     FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same
         AND 80 * p.score <= 100 * n.score AND n.score <= p.score
-    WHERE at <= 5
+    WHERE place <= 5
 )
 SELECT * FROM negatives WHERE rank <= 5
 """
