@@ -74,7 +74,11 @@ def page_counts(rows: DataFrame, page: int, cap: int | None) -> DataFrame:
     rows would give, without bringing these rows together.
     """
     check_bounds(page=page)
-    counted = rows.agg(F.count(F.lit(1)).alias("total"))
+    return page_totals(rows.agg(F.count(F.lit(1)).alias("total")), page, cap)
+
+
+def page_totals(counted: DataFrame, page: int, cap: int | None) -> DataFrame:
+    """The same for a row with the ``total``."""
     total = F.col("total") if cap is None else F.least(F.col("total"), F.lit(cap))
     return (
         counted.select(F.lit(page).cast("long").alias("page"), total.cast("long").alias("total"))
@@ -101,5 +105,9 @@ def entry_json(entries: DataFrame, start: int = 0, limit: int = API_LIMIT) -> Da
 
 def feed_page_index(entries: DataFrame) -> DataFrame:
     """The rank and the page number of every entry."""
-    page = F.expr(f"(feed_rank - 1) div {PAGE_SIZE} + 1")
-    return newest.feed_rank(entries).withColumn("page", page)
+    return newest.feed_rank(entries).withColumn("page", page_of("feed_rank"))
+
+
+def page_of(rank: str) -> Column:
+    """The page on which the entry of a rank is."""
+    return F.expr(f"({rank} - 1) div {PAGE_SIZE} + 1")

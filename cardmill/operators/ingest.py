@@ -41,6 +41,18 @@ def absent_entries(incoming: DataFrame, stored: DataFrame, order: Sequence[str]
     return fresh.join(known, "_key", "left_anti").select(ENTRY_COLUMNS)
 
 
+def absent_after_filter(
+    incoming: DataFrame, maybe: DataFrame, stored: DataFrame, order: Sequence[str] = ("created_at", "id")
+) -> DataFrame:
+    """As ``absent_entries``, where ``maybe`` has the keys of ``incoming`` that may be stored. Only these are looked for.
+
+    The stored keys of other dates are not read. ``incoming`` and ``maybe`` are read twice.
+    """
+    known = _keyed(within_dates(stored, maybe).select(ENTRY_KEY)).select("_key")
+    found = _keyed(maybe).select("_key").join(known, "_key", "left_semi")
+    return _first_of_keys(_keyed(incoming), order).join(found, "_key", "left_anti").select(ENTRY_COLUMNS)
+
+
 def within_dates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The stored entries of the dates of ``incoming``, and those without a date.
 

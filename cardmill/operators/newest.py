@@ -1,7 +1,8 @@
 """The newest rows, of all or of each group, without gathering more than these.
 
 Rows are told by their order value, never by an id, so missing and repeated ids
-do no harm. Nothing runs while a plan is built.
+do no harm. Rows of equal order go by a hash of their columns, so that slices fit together. Nothing runs while a plan is built,
+but for slices that end below row ``SHALLOW``: there the edges are found first, by counting.
 """
 
 from __future__ import annotations
@@ -12,9 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import feed_order
 from ..session import shared_folder
+from . import selection
 
-# Map tasks are dealt into this many lanes, each reduced by a task of its own.
+# Map tasks are dealt into lanes, each reduced by a task of its own: as many as this,
+# or fewer for more rows, as the values of all lanes are ranked together.
 LANES = 256
+RANKED = 1 << 14
+
+# Slices that end above this row are ranked in lanes.
+SHALLOW = 1000
 
 # More dates than this are not listed in a filter.
 MAX_DATES = 1000
@@ -25,8 +32,13 @@ def order_value() -> Column:
     return F.struct("date_scraped", "created_at", "id")
 
 
-def _lane() -> Column:
-    return F.pmod(F.spark_partition_id(), F.lit(LANES))
+def _lane(limit: int) -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(max(8, min(LANES, RANKED // max(limit, 1)))))
+
+
+def _full_order(rows: DataFrame) -> Column:
+    """The order value and, for rows that share it, a hash of all columns."""
+    return F.struct(order_value().alias("o"), F.xxhash64(*rows.columns).alias("h"))
 
 
 def _first(rows: DataFrame, groups: list[str], order: Column, limit: int) -> DataFrame:
@@ -37,13 +49,18 @@ def _first(rows: DataFrame, groups: list[str], order: Column, limit: int) -> Dat
 
 def _reduced(rows: DataFrame, groups: list[str], order: Column, limit: int) -> DataFrame:
     """A few rows that hold the first ``limit`` of each group: those of its lanes."""
-    return _first(rows.withColumn("_lane", _lane()), [*groups, "_lane"], order, limit).drop("_lane")
+    return _first(rows.withColumn("_lane", _lane(limit)), [*groups, "_lane"], order, limit).drop("_lane")
 
 
 def newest(rows: DataFrame, start: int, limit: int) -> DataFrame:
-    """``limit`` rows from row ``start`` of the feed.
+    """``limit`` rows from row ``start`` of the feed."""
+    if start + limit > SHALLOW and limit:
+        return _deep(rows, start, limit)
+    return _shallow(rows, start, limit)
+
 
-    The order values alone are ranked, in lanes and then together, which gives
+def _shallow(rows: DataFrame, start: int, limit: int) -> DataFrame:
+    """The order values alone are ranked, in lanes and then together, which gives
     the values of the first and the last row of the slice. Only rows between
     these are taken with all their columns: the slice, and rows that are equal
     in order at its edges.
@@ -59,16 +76,63 @@ def newest(rows: DataFrame, start: int, limit: int) -> DataFrame:
     )
     cut = edges.select(F.struct("first", "last", (F.col("r") - 1).alias("before")).alias("cut")).scalar()
     between = rows.filter((order_value() <= cut["first"]) & (order_value() >= cut["last"]))
-    numbered = _reduced(between, [], order_value(), end).withColumn(
-        "_n", F.row_number().over(Window.orderBy(order_value().desc())) + cut["before"]
+    order = _full_order(rows)
+    numbered = _reduced(between, [], order, end).withColumn(
+        "_n", F.row_number().over(Window.orderBy(order.desc())) + cut["before"]
     )
     return numbered.filter((F.col("_n") > start) & (F.col("_n") <= end)).drop("_n").orderBy(*feed_order())
 
 
+def _deep(rows: DataFrame, start: int, limit: int) -> DataFrame:
+    """The values at the edges of the slice are found by counting, and the rows between them taken.
+
+    No task ranks more than a page of rows, whatever the depth.
+    """
+    values = rows.select(order_value().alias("o"))
+    kind = values.schema["o"].dataType
+    first = selection.kth_greatest(values, start + 1)
+    if first is None:
+        return rows.limit(0)
+    skipped = start - first.before
+    here = min(limit, first.equal - skipped)
+    out = _equal_rows(rows, selection.literal(first.value, kind), skipped, here)
+    below = rows.filter(order_value() < selection.literal(first.value, kind))
+    if first.value[0] is not None:
+        # For storage to prune by.
+        below = below.filter((F.col("date_scraped") <= first.value[0]) | F.col("date_scraped").isNull())
+    rest = limit - here
+    if rest and rest <= SHALLOW:
+        out = out.unionByName(_shallow(below, 0, rest))
+    elif rest:
+        last = selection.kth_greatest(values, start + limit)
+        if last is not None:
+            edge = selection.literal(last.value, kind)
+            below = below.filter(order_value() > edge)
+            out = out.unionByName(_equal_rows(rows, edge, 0, start + limit - last.before))
+        out = out.unionByName(below)
+    return out.orderBy(*feed_order())
+
+
+def _equal_rows(rows: DataFrame, value: Column, start: int, limit: int) -> DataFrame:
+    """``limit`` of the rows with an order value, from row ``start`` by their hashes."""
+    equal = rows.filter(order_value() == value)
+    mark = F.xxhash64(*rows.columns)
+    if start + limit <= SHALLOW:
+        return equal.orderBy(mark.desc()).offset(start).limit(limit)
+    marks = equal.select(F.struct(mark.alias("h")).alias("o"))
+    first, last = selection.kth_greatest(marks, start + 1), selection.kth_greatest(marks, start + limit)
+    if first.value == last.value:  # copies of one row
+        return equal.filter(mark == first.value[0]).limit(limit)
+    ends = equal.filter(mark == first.value[0]).limit(first.before + first.equal - start)
+    ends = ends.unionByName(equal.filter(mark == last.value[0]).limit(start + limit - last.before))
+    return ends.unionByName(equal.filter((mark < first.value[0]) & (mark > last.value[0])))
+
+
 def newest_in_one_pass(rows: DataFrame, start: int, limit: int) -> DataFrame:
     """As ``newest``, but all columns go through the ranking; for rows that are costly to find, and near the top."""
     end = start + limit
-    return _reduced(rows, [], order_value(), end).orderBy(*feed_order()).offset(start).limit(limit)
+    order = _full_order(rows)
+    return _reduced(rows, [], order, end).orderBy(order.desc()).offset(start).limit(limit)
 
 
 def distinct_dates(rows: DataFrame) -> list[str] | None:

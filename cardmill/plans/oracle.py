@@ -186,6 +186,10 @@ SELECT {COLUMNS} FROM (SELECT * FROM until WHERE {matches(r.OPENING)} ORDER BY {
 ORDER BY {FEED_ORDER} LIMIT 30 OFFSET {(r.SEARCH_PAGE - 1) * 30}""",
     "stored_search_meta": f"""{WITH}, {UNTIL}
 {counts(f"SELECT 1 FROM until WHERE {matches(r.OPENING)} LIMIT 100", r.SEARCH_PAGE)}""",
+    "indexed_search": f"{WITH} SELECT {COLUMNS} FROM entries WHERE {matches(r.RARE_WORD)}",
+    "indexed_search_page": f"""{WITH}, {UNTIL}
+SELECT {COLUMNS} FROM (SELECT * FROM until WHERE {matches(r.WORD)} ORDER BY {FEED_ORDER} LIMIT 100)
+ORDER BY {FEED_ORDER} LIMIT 30""",
     "digest_requests": f"""{WITH}, earlier AS (SELECT * FROM entries WHERE date_scraped < '{r.CACHED_UNTIL}'),
 {digests("of_feed")}, {digests("of_earlier", entries="earlier")}
 SELECT 'feed' AS part, title_hash, prompt, NULL AS ai_summary, 'to_generate' AS status FROM of_feed
@@ -219,3 +223,9 @@ GROUP BY title_hash""",
 SELECT source, max(date_scraped) AS last_updated, max(date_scraped) < '{r.RUN_DATE}' AS due
 FROM entries GROUP BY source""",
 }
+
+ORACLE |= {
+    "maintained_digests": ORACLE["digest_by_source"],
+    "maintained_page_meta": ORACLE["page_meta"],
+    "maintained_page_index": f"SELECT * FROM ({ORACLE['feed_page_index']}) WHERE date_scraped IN {r.INDEXED_DATES}",
+}

@@ -14,10 +14,10 @@ from ..schema import CACHE_SCHEMA, ENTRY_COLUMNS
 from ..session import shared_folder
 from ..sources.cache import append_completions, read_cache
 from ..sources.corpus import documents_as_entries, scraped_at, scraped_on
-from ..sources.entries import append_entries, read_entries
+from ..sources.entries import append_entries, index_entries, read_entries
 from ..sources.pages import read_pages, stream_pages
 from ..streaming.ingest import ingest_pages
-from . import stored
+from . import maintained, stored
 
 # Query parameters; the SQL in ``oracle`` uses the same.
 ENTRY_ID = "000000000000000000000042"
@@ -25,11 +25,13 @@ SECOND_RUN_HOUR = 16
 CACHED_UNTIL = "2024-01-26"
 RUN_DATE = "2024-01-30"
 WORD = "ÉLE"
+RARE_WORD = "erhawhly"
 OPENING = "^the"
 FEED_PAGE = 2
 SEARCH_PAGE = 2
 DEEP_PAGE = 34  # past row 1000 where there are as many
 STORED_UNTIL = "2024-01-27"
+INDEXED_DATES = ("2024-01-09", "2024-01-20")
 FAULTS = 8
 API_START = 50
 EMPTY_COMPLETION = "src5"
@@ -134,6 +136,52 @@ def on_stored_table(plan: Callable[..., DataFrame], *args) -> Query:
     return query
 
 
+def _in_batches(add: Callable[[DataFrame, str, str], object], spark: SparkSession, sf: str) -> str:
+    """A folder to which the documents were added in three batches, later days first and the second batch twice."""
+    path = f"{shared_folder(spark)}/maintained-{uuid.uuid4()}"
+    table = entries(spark, sf)
+    late = F.col("date_scraped") >= CACHED_UNTIL
+    morning = F.hour("created_at") < SECOND_RUN_HOUR
+    batches = {"1": table.filter(late), "2": table.filter(~late & morning), "3": table.filter(~late & ~morning)}
+    for batch in ("1", "2", "2", "3"):
+        add(batches[batch], path, batch)
+    return path
+
+
+def maintained_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return maintained.maintained_digests(spark, _in_batches(maintained.add_to_latest, spark, sf))
+
+
+def maintained_page_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return maintained.maintained_page_meta(spark, _in_batches(maintained.add_to_counts, spark, sf), FEED_PAGE)
+
+
+def maintained_page_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks and pages of the entries of two days, from the folders of these days."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
+    append_entries(entries(spark, sf), path)
+    counts = _in_batches(maintained.add_to_counts, spark, sf)
+    return maintained.maintained_page_index(spark, path, counts, INDEXED_DATES)
+
+
+def _indexed_table(spark: SparkSession, sf: str) -> str:
+    """The stored table with a trigram index, half of it there when the index was made and half appended."""
+    path = f"{shared_folder(spark)}/indexed-{uuid.uuid4()}"
+    table = entries(spark, sf)
+    append_entries(after_first_run(table), path)
+    index_entries(spark, path)
+    append_entries(table.filter(F.hour("created_at") >= SECOND_RUN_HOUR), path)
+    return path
+
+
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    return stored.stored_search(spark, _indexed_table(spark, sf), RARE_WORD)
+
+
+def indexed_search_page(spark: SparkSession, sf: str) -> DataFrame:
+    return stored.stored_search_page(spark, _indexed_table(spark, sf), STORED_UNTIL, WORD)
+
+
 def ingest_new(spark: SparkSession, sf: str) -> DataFrame:
     table = entries(spark, sf)
     return ingest.ingest_new(table, after_first_run(table))
@@ -240,6 +288,11 @@ QUERIES: dict[str, Query] = {
     "stored_page_meta": on_stored_table(stored.stored_page_meta, FEED_PAGE),
     "stored_search_page": on_stored_table(stored.stored_search_page, OPENING, SEARCH_PAGE),
     "stored_search_meta": on_stored_table(stored.stored_search_meta, OPENING, SEARCH_PAGE),
+    "maintained_digests": maintained_digests,
+    "maintained_page_meta": maintained_page_meta,
+    "maintained_page_index": maintained_page_index,
+    "indexed_search": indexed_search,
+    "indexed_search_page": indexed_search_page,
     "digest_requests": digest_requests,
     "cache_written": cache_written,
     "entry_payload": lambda s, d: feed.entry_payload(entries(s, d)),

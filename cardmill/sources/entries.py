@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import ENTRY_COLUMNS, ENTRY_SCHEMA
+from .key_filter import read_filters, write_filters
+from .trigrams import read_index, write_index
 
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the folder that Spark gives rows without a date
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -45,12 +47,16 @@ def read_entries(spark: SparkSession, path: str, dates: Iterable[str] | None = N
 
 
 def append_entries(entries: DataFrame, path: str) -> None:
-    """Append to the table.
+    """Append to the table, and before that to its trigram index and its key filters, if it has them.
 
     The rebalance hint lets AQE split a date that holds much of the batch over
     several tasks and merge the small ones, so files are neither huge nor many.
     The Bloom filter serves point lookups, whose ids have no useful min/max.
     """
+    if read_index(entries.sparkSession, path) is not None:
+        write_index(entries, path)
+    if read_filters(entries.sparkSession, path) is not None:
+        write_filters(entries, path)
     (
         entries.select(ENTRY_COLUMNS)
         .hint("rebalance", F.col("date_scraped"))
@@ -62,6 +68,18 @@ def append_entries(entries: DataFrame, path: str) -> None:
     )
 
 
+def index_entries(spark: SparkSession, path: str) -> None:
+    """Give the table a trigram index, of what is stored now and, from here on, of every append."""
+    if read_index(spark, path) is None:
+        write_index(read_entries(spark, path), path)
+
+
+def filter_keys(spark: SparkSession, path: str) -> None:
+    """Give the table filters of its keys, of what is stored now and, from here on, of every append."""
+    if read_filters(spark, path) is None:
+        write_filters(read_entries(spark, path), path)
+
+
 def write_json(records: DataFrame, path: str) -> None:
     """Write the one-column output of ``entry_json``, one record a line."""
     records.select("json").write.mode("errorifexists").text(path)

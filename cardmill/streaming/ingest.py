@@ -8,6 +8,7 @@ time. One writer is assumed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,9 +16,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import as_date_string
 from ..operators.extract import RuleSet, card_fields, dated, page_cards, page_entries, rejected_cards
-from ..operators.ingest import absent_entries
+from ..operators.ingest import absent_after_filter, absent_entries, dedup_batch
 from ..operators.newest import distinct_dates
+from ..schema import ENTRY_COLUMNS, ENTRY_KEY, ENTRY_SCHEMA
+from ..session import shared_folder
 from ..sources.entries import append_entries, read_entries
+from ..sources.key_filter import maybe_stored, read_filters
+
+
+def not_stored(batch: DataFrame, target: str, filters: DataFrame) -> DataFrame:
+    """The entries of a batch, one for each key, that the table at ``target`` does not hold."""
+    spark = batch.sparkSession
+    path = f"{shared_folder(spark)}/maybe-{uuid.uuid4()}"
+    maybe_stored(batch, filters).write.parquet(path)
+    maybe = spark.read.schema(batch.select(ENTRY_KEY).schema).parquet(path)
+    if maybe.isEmpty():
+        return batch
+    return absent_after_filter(batch, maybe, read_entries(spark, target, distinct_dates(maybe)))
 
 
 def append_absent(
@@ -29,10 +44,20 @@ def append_absent(
     """Append to the table at ``target`` the entries it does not hold.
 
     Their dates are read first, from ``dated_rows`` if these have them at less
-    cost than ``entries``; more dates than those of the entries do no harm.
+    cost than ``entries``; more dates than those of the entries do no harm. A table with filters of its keys is asked for
+    the keys that may be stored only, and not at all if there are none.
     """
+    spark = entries.sparkSession
+    filters = read_filters(spark, target)
+    if filters is not None:
+        # Written once, for filters, join and append all read the batch.
+        path = f"{shared_folder(spark)}/batch-{uuid.uuid4()}"
+        dedup_batch(entries, order).select(ENTRY_COLUMNS).write.parquet(path)
+        batch = spark.read.schema(ENTRY_SCHEMA).parquet(path)
+        append_entries(not_stored(batch, target, filters), target)
+        return
     dates = distinct_dates(entries if dated_rows is None else dated_rows)
-    stored = read_entries(entries.sparkSession, target, dates)
+    stored = read_entries(spark, target, dates)
     append_entries(absent_entries(entries, stored, order), target)
 
 

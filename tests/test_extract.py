@@ -171,6 +171,96 @@ def test_body_layouts(spark):
     assert [(r.content, r.status) for r in rows] == [(content, "ok") for _, content in layouts]
 
 
+def plain_card(href, head, body=""):
+    return f'<div><div><a href="{href}">{head}{body}</a></div></div>'
+
+
+PLAIN_CARDS = [c.replace('<div class="card-body">', "<div>") for c in CARDS]
+
+
+def read_page(spark, page, rules=extract.RESULTS_CARDS):
+    df = spark.createDataFrame([(7, "https://results.example/", page)], "page_id long, url string, html string")
+    return extract.card_fields(extract.page_cards(df, rules), rules).orderBy("pos").drop("tags").collect()
+
+
+def test_the_golden_page_without_marker_classes(spark, fields):
+    page = f'<html><body><a href="/nav?q=out">out</a><div id="main">{"".join(PLAIN_CARDS)}</div></body></html>'
+    assert read_page(spark, page) == fields.orderBy("pos").drop("tags").collect()
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ("<div><div><div>", "</div></div></div>"),
+        ("<div>", "</div>"),
+        ("", ""),
+        ("<div><span>", "</span></div>"),
+        ("<section><div>", "</div></section>"),
+        ("<div><div></div>", "</div>"),
+        ("</div><div><div>", "</div></div>"),
+        ("<div><div><a href='/u?q=other'>", "</a></div></div>"),
+    ],
+)
+def test_links_elsewhere_are_no_cards(spark, before, after):
+    link = f'<a href="/url?q=https://a.example/">{header("T", "S")}{BODY}</a>'
+    rows = read_page(spark, f'<div id="main">{before}{link}{after}</div>')
+    assert [r.source for r in rows if r.link == "https://a.example/"] == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p>x<DIV class="k" ID = main><div><p>open<div>{}</div></div></DIV>',
+        "<div id='main' ><br><img src='x'/><div><input><!-- <div> --><div>{}<b></div></div></div>",
+        '<div id="main"><script>if (a < b) "<div>"</script><div><div/><div></p></span>{}</div></div>',
+        '<div id="main"><div><div>{}',
+        '<div id="mainly"><div><div><a href="?q=no">x</a></div></div></div><div id="main"><div><i></i><div>{}</div></div></div>',
+        '<body><div id="main"><div><div><div></body><div id="main"></div>{}',
+    ],
+)
+def test_depth_is_told_as_a_parser_tells_it(spark, page):
+    link = f'<a href="/url?q=https://a.example/">{header("T", "S")}{BODY}</a>'
+    rows = read_page(spark, page.format(link))
+    expected = [] if "</body>" in page or "<p>open" in page else [("T", "S", "Some text  and more", "ok")]
+    assert [(r.title, r.source, r.content, r.status) for r in rows] == expected
+
+
+def test_children_are_told_by_depth(spark):
+    cards = [
+        ("<div>head only</div>", "no_source"),
+        ("<div><div>S</div></div>", "no_body"),
+        ("<div><div>S</div></div><img src='i'><div><span>x</span></div>", "no_snippet"),
+        ("<p>one<b>two</b></p><div><span>x</span></div>", "no_source"),
+        ("<section><div><div>S</div></div></section><p>c<span>x</span>d</p>", "ok"),
+        ("text<div><div>S</div></div>text<div><b>c<span>x<i>y</i></span>d</b>e</div>", "ok"),
+        ("<div><div>S</div></div><div>c<span>x", "ok"),
+        ("<div><h3><div>T<div>inner</div></div></h3></div><div>c<span>x</span></div>", "ok"),
+        ("<h3><div>T</div></h3><div>c<span>x</span></div>", "no_source"),
+    ]
+    rows = read_page(spark, f'<div id="main">{"".join(plain_card("/u?q=l", c) for c, _ in cards)}</div>')
+    assert [r.status for r in rows][:6] == [s for _, s in cards][:6]
+    assert [(r.source, r.content) for r in rows][4:6] == [("S", "cd"), ("S", "cd")]
+    for text, status in cards[6:]:
+        (row,) = read_page(spark, f'<div id="main"><div><div><a href="/u?q=l">{text}')
+        assert row.status == status
+    (row,) = read_page(spark, f'<div id="main">{plain_card("/u?q=l", cards[7][0])}</div>')
+    assert (row.title, row.source, row.content) == ("Tinner", "inner", "c")
+
+
+def test_many_cards_and_nested_tags(spark):
+    cards = "".join(plain_card(f"/u?q={i}", f"<div>{'<b>' * (i % 5)}<div>S{i}</div></div>", f"<div>{i}<span>x</span></div>") for i in range(700))
+    rows = read_page(spark, f'<div id="main">{cards}</div>')
+    assert [r.pos for r in rows] == list(range(700)) and [r.link for r in rows] == [str(i) for i in range(700)]
+    assert {r.status for r in rows if int(r.link) % 5 == 0} == {"ok"} and rows[0].source == "S0" and rows[699].status == "no_source"
+
+
+def test_each_piece_is_computed_once(spark, plan_of):
+    from cardmill.plans import registry
+
+    plan = registry.result_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") < 12 and plan.count("RLIKE") < 16 and len(plan) < 300_000
+
+
 def test_body_class_is_a_whole_name(spark):
     rules = extract.results_cards("snippet")
     bodies = ['<div class="a snippet b">', '<div id="x" class="snippet">', '<div class="snippets">', '<div class="my-snippet">']

@@ -1,0 +1,78 @@
+"""Carried-forward answers equal those from scratch, whatever the batches."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardmill.operators import digest, feed
+from cardmill.plans import maintained
+from cardmill.schema import ENTRY_SCHEMA
+from cardmill.sources.entries import append_entries
+from cardmill.sources.generations import advance, current
+
+
+@pytest.fixture(scope="module")
+def table(snippets):
+    hole = F.pmod(F.xxhash64("id"), F.lit(40)) == 0
+    return snippets.filter("cast(id as bigint) < 600").withColumn("date_scraped", F.when(~hole, F.col("date_scraped"))).cache()
+
+
+def split(table, n, seed):
+    """The rows in ``n`` batches, old and new mixed."""
+    return [table.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) == i) for i in random.Random(seed).sample(range(n), n)]
+
+
+@pytest.mark.parametrize("n,seed", [(1, 0), (3, 1), (5, 2)])
+def test_digests_after_any_split(spark, table, tmp_path, n, seed):
+    path = str(tmp_path / "latest")
+    for i, batch in enumerate(split(table, n, seed)):
+        assert maintained.add_to_latest(batch, path, str(i))
+        assert not maintained.add_to_latest(batch, path, str(i))
+    assert sorted(maintained.maintained_digests(spark, path).collect()) == sorted(digest.digest_by_source(table).collect())
+
+
+def test_counts_and_pages_after_three_appends(spark, table, tmp_path):
+    counts, entries = str(tmp_path / "counts"), str(tmp_path / "entries")
+    for i, batch in enumerate(split(table, 3, 4)):
+        append_entries(batch, entries)
+        maintained.add_to_counts(batch, counts, str(i))
+        maintained.add_to_counts(batch, counts, str(i))
+    for page, cap in ((1, 1000), (2, None), (99, 100)):
+        assert maintained.maintained_page_meta(spark, counts, page, cap).collect() == feed.page_meta(table, page, cap).collect()
+    index = feed.feed_page_index(table)
+    for dates in (["2024-01-30"], ["2024-01-03", "2024-01-17", "2024-01-18"], [None], ["2024-01-02", None], ["1999-01-01"]):
+        found = maintained.maintained_page_index(spark, entries, counts, dates)
+        expected = [r for r in index.collect() if r.date_scraped in dates]
+        assert sorted(found.collect(), key=str) == sorted(expected, key=str)
+
+
+def test_older_folders_are_not_read(spark, table, tmp_path, monkeypatch):
+    counts, entries = str(tmp_path / "counts"), str(tmp_path / "entries")
+    append_entries(table, entries)
+    maintained.add_to_counts(table, counts, "1")
+    read = []
+    real = maintained.read_entries
+    monkeypatch.setattr(maintained, "read_entries", lambda *args: read.append(real(*args)) or read[-1])
+    assert maintained.maintained_page_index(spark, entries, counts, ["2024-01-03"]).count()
+    assert len(read) == 1 and all("date_scraped=2024-01-03" in f for f in read[0].inputFiles())
+    assert not any("date_scraped" in f for f in maintained.maintained_page_meta(spark, counts).inputFiles())
+
+
+def test_nothing_added(spark, table, tmp_path):
+    assert maintained.maintained_digests(spark, str(tmp_path / "a")).count() == 0
+    assert maintained.maintained_page_meta(spark, str(tmp_path / "b")).first().total == 0
+    with pytest.raises(ValueError):
+        maintained.maintained_page_meta(spark, str(tmp_path / "b"), 0)
+
+
+def test_a_batch_that_breaks_off_is_not_seen(spark, table, tmp_path):
+    path = str(tmp_path / "latest")
+    maintained.add_to_latest(table.limit(20), path, "1")
+    before = sorted(current(spark, path, ENTRY_SCHEMA).collect())
+    lost = table.withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            maintained.add_to_latest(lost, path, "2")
+        assert sorted(current(spark, path, ENTRY_SCHEMA).collect()) == before
+    assert advance(spark, path, "2", ENTRY_SCHEMA, lambda held: held)
