@@ -52,27 +52,26 @@ FROM reached r LEFT JOIN sizes ON r.doc_id = sizes.doc_id GROUP BY r.doc_id
 
 PERSPECTIVE_ROTATION = """
 WITH turns AS (
-    SELECT conv_id, floor(coalesce(turn, 0) / 256)::BIGINT AS part, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
-    FROM conversations
+    SELECT conv_id, turn, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), speakers AS (
     SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), segments AS (
-    SELECT t.conv_id, part, speaker, turn, role, text,
+    SELECT t.conv_id, speaker, turn, role, text,
         CASE WHEN role = 'system' THEN '<|system|>' || chr(10)
              WHEN role = speaker THEN '<|assistant|>' || chr(10)
-             ELSE '<|user|>' || chr(10) || role || ': ' END AS opening,
+             ELSE '<|user|>' || chr(10) || replace(role, '<|', '< |') || ': ' END AS opening,
         text || '<|end|>' || chr(10) AS rest
     FROM turns t JOIN speakers s ON t.conv_id = s.conv_id
 ), placed AS (
     SELECT *, sum(length(opening) + length(rest)) OVER (
-        PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
+        PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
     FROM segments
 )
-SELECT conv_id, part, speaker, count(*)::BIGINT AS n_turns,
+SELECT conv_id, speaker, count(*)::BIGINT AS n_turns,
     string_agg(opening || rest, '' ORDER BY stop) AS transcript,
     coalesce(string_agg((stop - length(rest))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) FILTER (WHERE role = speaker), '') AS mask,
     coalesce(sum(length(rest)) FILTER (WHERE role = speaker), 0)::BIGINT AS n_trained
-FROM placed GROUP BY conv_id, part, speaker
+FROM placed GROUP BY conv_id, speaker
 """
 
 WARC = """

@@ -3,7 +3,7 @@
 Reading plans whole files, several small ones to a partition. Predicates on
 the type and on other headers are pushed into the reader, which parses the
 headers of a record first and, where these do not fit, skips its block by length; the
-payload of the others is decoded only if payloads are asked for.
+payload of the others is decoded only if payloads are asked for. Payloads are given without the codings of their transfer and content.
 
 Writers put files of their own into the folder and the commit lists those that count
 in a manifest, so what lost or repeated tasks leave is not read.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
@@ -72,11 +73,11 @@ def record(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def page_record(record_id: str, uri: str, date: str, payload: bytes, refers_to: str | None) -> bytes:
-    """A response with the compressed payload, or a revisit with its HTTP head only.
+    """A response with the payload as its body, or a revisit with its HTTP head only.
 
     The head of both says how long the payload is.
     """
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = {
         "WARC-Type": "revisit" if refers_to else "response",
         "WARC-Record-ID": f"<{record_id}>",
@@ -86,9 +87,8 @@ def page_record(record_id: str, uri: str, date: str, payload: bytes, refers_to:
         "Content-Type": "application/http; msgtype=response",
     }
     if refers_to:
-        fields |= {"WARC-Refers-To": f"<{refers_to}>", "WARC-Profile": REVISIT}
-        return record(fields, (head + "\r\n").encode())
-    return record(fields, (head + "Content-Encoding: deflate\r\n\r\n").encode() + zlib.compress(payload, 1))
+        return record(fields | {"WARC-Refers-To": f"<{refers_to}>", "WARC-Profile": REVISIT}, head)
+    return record(fields, head + payload)
 
 
 def _fields(source) -> dict[str, str] | None:
@@ -128,9 +128,52 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes]:
     return {name.strip().lower(): value.strip() for name, _, value in pairs}, body
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body without the lengths that a chunked transfer puts between its parts."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:end].partition(b";")[0] or b"0", 16)
+        if not size:
+            break
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def _decoded(body: bytes, coding: str) -> bytes:
+    """The body without a content coding; as it is if the coding is not known."""
+    if coding in ("gzip", "x-gzip"):
+        return gzip.decompress(body)
+    if coding == "deflate":
+        try:
+            return zlib.decompress(body)
+        except zlib.error:
+            return zlib.decompress(body, -zlib.MAX_WBITS)
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    return body
+
+
+def _payload(head: dict[str, str], body: bytes, digest: str | None) -> tuple[bytes, bool]:
+    """The payload without transfer and content codings, and whether the digest is that of any form of it.
+
+    By the standard a digest covers the body as it was sent; tools also take it without its codings.
+    What does not decode is left as it is.
+    """
+    forms = [body]
+    for header, decode in (("transfer-encoding", lambda b, c: _unchunked(b) if c == "chunked" else b), ("content-encoding", _decoded)):
+        coding = head.get(header, "").lower()
+        if coding and forms[-1]:
+            try:
+                forms.append(decode(forms[-1], coding))
+            except (ValueError, EOFError, OSError, zlib.error, zstandard.ZstdError):
+                pass  # such as a coding that was undone when the record was written, its header being kept
+    return forms[-1], digest is None or any(payload_digest(form) == digest for form in forms)
+
+
 def read_records(source, wanted: dict[str, set], payloads: bool) -> Iterator[tuple]:
     """Rows as in ``SCHEMA`` from an open archive, of records whose headers have a value in each set of ``wanted``."""
-    seekable = isinstance(source, io.BufferedReader) and source.seekable()
+    seekable = isinstance(source, io.BufferedReader) and source.seekable()  # a compressed one goes on by reading
     while (fields := _fields(source)) is not None:
         length = int(fields.get("content-length", 0))
         own = {name: _column(name, fields) for name in HEADERS}
@@ -143,13 +186,15 @@ def read_records(source, wanted: dict[str, set], payloads: bool) -> Iterator[tup
         block = source.read(length)
         is_http = fields.get("content-type", "").startswith("application/http")
         head, body = _http(block) if is_http else ({}, block)
-        size, payload = head.get("x-payload-length"), None
+        size, payload = head.get("content-length", ""), None
+        size = int(size) if size.isdecimal() else None
         if payloads and own["record_type"] != "revisit":
-            payload = zlib.decompress(body) if head.get("content-encoding") == "deflate" else body
+            sha1 = fields.get("warc-payload-digest", "").lower().startswith("sha1:")
+            payload, intact = _payload(head, body, own["payload_digest"] if sha1 else None)
             size = len(payload)
-            if own["payload_digest"] and payload_digest(payload) != own["payload_digest"]:
+            if not intact:
                 raise ValueError(f"the payload of {own['record_id']} does not have its digest")
-        yield (*own.values(), None if size is None else int(size), payload)
+        yield (*own.values(), size, payload)
 
 
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -215,7 +260,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with files.open_input_file(path) as raw:
-                source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
+                source = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
                 for row in read_records(source, self.wanted, self.payloads):
                     rows.append(row)
                     size += 500 + len(row[-1] or b"")
@@ -241,9 +286,10 @@ class WarcWriter(DataSourceArrowWriter):
             columns = [batch.column(name) for name in ("record_id", "target_uri", "date", "payload", "refers_to")]
             for row in zip(*columns):
                 if out is None:
-                    names.append(f"{uuid.uuid4()}.warc")
-                    out, size = files.open_output_stream(f"{root}/{names[-1]}"), 0
-                data = page_record(*(cell.as_py() for cell in row))
+                    names.append(f"{uuid.uuid4()}.warc.gz")
+                    out, size = files.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+                # Each record is compressed by itself, so that archives can be cut between records.
+                data = gzip.compress(page_record(*(cell.as_py() for cell in row)), 1, mtime=0)
                 out.write(data)
                 size += len(data)
                 if size >= FILE_BYTES:
@@ -293,7 +339,7 @@ CAPTURED = "2024-01-01T00:00:00Z"
 
 
 def page_revisits(pages: DataFrame) -> DataFrame:
-    """``(page_id, digest, first)`` of pages whose payload a page with a smaller id has, from ``(page_id, payload)``.
+    """``(page_id, digest, first)`` of pages whose payload a page with a smaller id has, or that have no id, from ``(page_id, payload)``.
 
     Only ids and digests are shuffled. Counting is partial in each map task, and the
     digests that repeat meet their pages under ``SALTS`` keys each.
@@ -304,8 +350,10 @@ def page_revisits(pages: DataFrame) -> DataFrame:
     firsts = marked.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     repeated = firsts.filter("first < last").select("digest", "first", salts)
-    salted = marked.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
-    return salted.join(repeated, ["digest", "salt"]).filter("page_id > first").select("page_id", "digest", "first")
+    salted = marked.filter("page_id IS NOT NULL").withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
+    named = salted.join(repeated, ["digest", "salt"]).filter("page_id > first").select("page_id", "digest", "first")
+    unnamed = marked.filter("page_id IS NULL").distinct().join(firsts.filter("first IS NOT NULL"), "digest")
+    return named.unionByName(unnamed.select("page_id", "digest", "first"))
 
 
 def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -313,8 +361,8 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
 
     The payload is the text in UTF-8, empty for null. Of records with equal payloads
     the one with the smallest id is a response, others are revisits that refer to it.
-    Rows that repeat id and payload are as the first of them. Rows without id are
-    responses, a null URL is empty, extra columns are ignored.
+    Rows that repeat id and payload are as the first of them. Rows without an id come after all ids, and are
+    responses if no row with one has their payload; a null URL is empty, extra columns are ignored.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
@@ -322,11 +370,12 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     revisits = stored(page_revisits(rows).distinct(), "revisits")
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
+    few = revisits.count() <= BROADCAST_REVISITS
     marked = rows.withColumn("digest", F.sha1("payload"))
     named = lambda c: F.concat(F.lit(PAGE_ID), F.coalesce(F.col(c).cast("string"), F.lit("none")))
-    records = marked.join(revisits, ["page_id", "digest"], "left").select(
+    revisits = revisits.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "first")
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    records = marked.join(F.broadcast(revisits) if few else revisits, same, "left").select(
         named("page_id").alias("record_id"),
         F.col("url").alias("target_uri"),
         F.lit(CAPTURED).alias("date"),
