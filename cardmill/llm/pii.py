@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .tables import free_name
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "[A-Za-z0-9-]++"
 # What proposes spans. \G lets a match follow right after the one before.
@@ -23,6 +23,8 @@ PATTERNS = {
     # Written at a stretch or in groups of four. The first four characters are taken, the whole is the first group, so that
     # numbers may start inside of what another could reach to.
     "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
+    # A credential by its name and what it is set to; the whole is the span.
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[a-z0-9_/+.-]{16,}+[\"']?",
 }
 # A text in which this is not found has no span of the kind, which spares the search.
 NEEDED = {
@@ -31,16 +33,19 @@ NEEDED = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13}",
     "phone": r"\+[0-9][\x20().0-9-]",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
+    "secret": r"[:=]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{16}",
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.8}
 CONTEXT_CHARS = 40
 CONTEXT_SCORE = 0.2
+# Words of English, French, German and Spanish that speak for a kind, before or after the span.
 CONTEXT = {
-    "email": r"e-?mail|contact|write to|reach",
-    "ip": r"\bip\b|address|host|server|login",
-    "card": r"card|visa|credit|payment|paid|cvv",
-    "phone": r"phone|tel|call|mobile|fax",
-    "iban": r"iban|account|bank|transfer",
+    "email": r"e-?mail|contact|write to|reach|courriel|écri|schreib|kontakt|correo|escrib",
+    "ip": r"\bip\b|address|host|server|login|adresse|serveur|dirección|servidor",
+    "card": r"card|visa|credit|payment|paid|cvv|carte|paiement|karte|kredit|zahlung|tarjeta|pago",
+    "phone": r"phone|tel|call|mobile|fax|appel|portable|anruf|handy|llam|móvil",
+    "iban": r"iban|account|bank|transfer|compte|banque|virement|konto|überweis|cuenta|banco",
+    "secret": r"auth|bearer|credential|login|\bapi\b|mot de passe|passwort|kennwort|contraseña",
 }
 LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # a character's place is its value in mod 97
 
@@ -87,6 +92,10 @@ def _confirmed(kind: str, found: Column) -> Column:
         return F.char_length(_digits(found)).between(10, 15)
     if kind == "iban":
         return mod97(F.replace(found, F.lit(" "), F.lit("")))
+    if kind == "secret":
+        # A made-up value has digits and letters; a name or a path seldom has both in so long a run.
+        value = F.regexp_extract(found, r"[:=]\x20{0,3}[\"']?(.*)$", 1)
+        return value.rlike("[0-9].*[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -142,7 +151,8 @@ def spans_of(text: Column, kind: str) -> Column:
         before = F.substring(
             text, F.greatest(F.lit(1), span["start"] - CONTEXT_CHARS + 1), F.least(F.lit(CONTEXT_CHARS), span["start"])
         )
-        near = F.when(F.lower(before).rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0)
+        after = F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
+        near = F.when(F.lower(F.concat_ws("\n", before, after)).rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + near)
         return F.struct(
             span["start"].alias("start"), F.lit(order).alias("kind_order"), span["end"].alias("end"),

@@ -126,6 +126,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 

@@ -229,9 +229,22 @@ class TestPii:
         found = pii.find_pii(make(["call +44 2071838750", "see +44 2071838750"], clashing=False)).orderBy("doc_id").collect()
         assert found[0]["pii"][0]["score"] > found[1]["pii"][0]["score"]
 
+    def test_context_on_both_sides_in_the_languages_of_the_corpus(self, make):
+        card = "4111 1111 1111 1111"
+        texts = [card, f"{card} card", f"Karte {card}", f"{card} tarjeta", f"paiement par {card}", f"card {'x' * 60} {card} {'x' * 60} card"]
+        found = pii.find_pii(make(texts, clashing=False)).orderBy("doc_id").collect()
+        assert [r["pii"][0]["score"] for r in found] == [0.8, 1.0, 1.0, 1.0, 1.0, 0.8]
+
+    def test_credentials(self, make):
+        value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+        assert self.spans(make, [
+            f'x token = "{value}"', f"TOKEN:{value.upper()}.", f'{{"api_key": "{value}"}}', f"my_token={value}", f"tokens = {value}",
+            "token = abcdefghijklmnopqrstuvwxyz", "token = 1234567890123456789", "password: short1", f"secret\n= {value}", f"é password='{value}'!",
+        ]) == ["secret:2:52", "secret:0:47", "secret:2:54", "secret:3:49", "", "", "", "", "", "secret:2:53"]
+
     def test_long_runs(self, make):
-        texts = ["a" * 200_000, "1" * 200_000, "1.." * 100_000, "+1" + "-" * 200_000, "A1" * 100_000, "a@" * 100_000, "+" * 200_000]
-        assert self.spans(make, texts) == [""] * 7
+        texts = ["token=" * 50_000, "a" * 200_000, "1" * 200_000, "1.." * 100_000, "+1" + "-" * 200_000, "A1" * 100_000, "a@" * 100_000, "+" * 200_000]
+        assert self.spans(make, texts) == [""] * 8
 
     def test_redaction(self, make):
         docs = pii.find_pii(make(["😀 mail a@b.co now", "none", None, "+14111111111111 x 1.2.3.4"], clashing=False))
