@@ -20,13 +20,14 @@ CHUNK_BYTES = 4096
 # Limits of bytes / compressed bytes by the length of a document in bytes: (from, least, most).
 # A short text hardly compresses, and a long one finds more of itself to refer to.
 DOCUMENT_BANDS = ((0, 0.0, 2.5), (128, 1.0, 3.0), (512, 1.2, 3.5), (2048, 1.3, 4.5), (8192, 1.4, 6.0), (32768, 1.4, 8.0))
-# Limits for full chunks, and the share of chunks outside them that rejects a document.
+# Limits for full chunks, and the share of a document's bytes in chunks outside their limits that rejects it. The last chunk, if it
+# is shorter, has the limits of a document of its length. All limits are parameters of judgement, set by what clean prose gives.
 CHUNK_BAND = (1.3, 5.0)
-MOST_BAD_CHUNKS = 0.5
+MOST_BAD = 0.5
 
 _MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "ratio double, n_chunks long, n_bad_chunks long"
+    "ratio double, n_chunks long, n_bad_chunks long, bad_bytes long"
 )
 
 
@@ -57,13 +58,21 @@ def ratio(data: bytes, compressor: zstandard.ZstdCompressor) -> float:
     return len(data) / len(compressor.compress(data)) if data else 0.0
 
 
+def band(n_bytes: int) -> tuple[float, float]:
+    """The limits of a document of a length."""
+    return next((low, high) for start, low, high in reversed(DOCUMENT_BANDS) if n_bytes >= start)
+
+
 def measures(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
-    full = [data[i : i + CHUNK_BYTES] for i in range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    low, high = CHUNK_BAND
-    bad = sum(not low <= ratio(chunk, compressor) <= high for chunk in full)
+    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    bad = []
+    for chunk in chunks:
+        low, high = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band(len(chunk))
+        if not low <= ratio(chunk, compressor) <= high:
+            bad.append(len(chunk))
     return (
         len(words),
         len(text) - (len(data) - len(data.translate(None, WHITE_SPACE))),
@@ -71,8 +80,9 @@ def measures(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
         duplicate_lines(data),
         repeated_words(words),
         ratio(data, compressor),
-        len(full),
-        bad,
+        len(chunks),
+        len(bad),
+        sum(bad),
     )
 
 
@@ -94,7 +104,7 @@ def quality_rules(docs: DataFrame, text: str = "text", name: str = "quality") ->
 
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in
     repeated windows. ``kept``: not so, the ratio of the whole text is in the
-    band of its length, and at most half of its full chunks are outside theirs.
+    band of its length, and at most half of its bytes lie in chunks outside theirs, the last and shorter chunk counting, too.
     A null or empty text has zeros and fails. Every row is measured by itself,
     so repeated rows give repeated results; all columns are kept, and ``name``
     must be free.
@@ -106,6 +116,6 @@ def quality_rules(docs: DataFrame, text: str = "text", name: str = "quality") ->
     of = lambda field: F.col(name)[field]
     failed = (of("n_words") < LEAST_WORDS) | (100 * of("n_repeat_words") > MOST_REPEATED * of("n_words"))
     n_bytes = F.coalesce(F.octet_length(words), F.lit(0))
-    banded = _in_band(n_bytes, of("ratio")) & (of("n_bad_chunks") <= MOST_BAD_CHUNKS * of("n_chunks"))
+    banded = _in_band(n_bytes, of("ratio")) & (of("bad_bytes") <= MOST_BAD * n_bytes)
     verdicts = F.struct(F.col(f"{name}.*"), failed.alias("base_failed"), (~failed & banded).alias("kept"))
     return found.withColumn(name, verdicts)
