@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if current is not None:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cardmill-"))
     return context.getCheckpointDir()

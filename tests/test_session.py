@@ -37,9 +37,10 @@ def test_a_folder_that_is_set_is_kept():
     assert shared_folder(session(Context("yarn", current="hdfs:///set"))) == "hdfs:///set"
 
 
-def test_no_machine_local_folder_on_a_cluster():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_no_machine_local_folder_on_a_cluster(master):
     with pytest.raises(RuntimeError):
-        shared_folder(session(Context("yarn")))
+        shared_folder(session(Context(master)))
 
 
 def test_local_sessions_get_a_temporary_folder():
