@@ -14,14 +14,14 @@ INSTRUCTION = "Summarize the following news articles in a few sentences:"
 CLOSING = "Summary:"
 
 
-def digests(entries: DataFrame, by: str | None = None, limit: int = DIGEST_SIZE) -> DataFrame:
+def digests(entries: DataFrame, by: str | None = None, limit: int = DIGEST_SIZE, by_date: bool = True) -> DataFrame:
     """``(by, n_entries, title_hash, prompt)`` over the newest entries, in feed order.
 
     The hash covers titles alone, joined by a space: other content under equal
-    titles gives the same digest. An empty feed has no digest.
+    titles gives the same digest. An empty feed has no digest. ``by_date`` is as in ``feed.feed_slice``.
     """
     check_bounds(limit=limit)
-    latest = latest_per_group(entries, by, limit) if by else feed_latest(entries, limit)
+    latest = latest_per_group(entries, by, limit) if by else feed_latest(entries, limit, by_date)
     # Descending order of this struct is the feed order, missing values last.
     item = F.struct("date_scraped", "created_at", "id", "title", "content")
     keys = [by] if by else []
@@ -38,12 +38,12 @@ def digests(entries: DataFrame, by: str | None = None, limit: int = DIGEST_SIZE)
     )
 
 
-def digest_key(entries: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
-    return digests(entries, limit=limit).select("title_hash")
+def digest_key(entries: DataFrame, limit: int = DIGEST_SIZE, by_date: bool = True) -> DataFrame:
+    return digests(entries, limit=limit, by_date=by_date).select("title_hash")
 
 
-def digest_prompt(entries: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
-    return digests(entries, limit=limit).select("title_hash", "prompt")
+def digest_prompt(entries: DataFrame, limit: int = DIGEST_SIZE, by_date: bool = True) -> DataFrame:
+    return digests(entries, limit=limit, by_date=by_date).select("title_hash", "prompt")
 
 
 def digest_by_source(entries: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
@@ -61,9 +61,9 @@ def digest_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return found.withColumn("status", status)
 
 
-def digest_requests(entries: DataFrame, cache: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
+def digest_requests(entries: DataFrame, cache: DataFrame, limit: int = DIGEST_SIZE, by_date: bool = True) -> DataFrame:
     """One row ``(title_hash, prompt, ai_summary, status)``; ``empty`` if there are no entries."""
-    looked_up = digest_lookup(digest_prompt(entries, limit), cache)
+    looked_up = digest_lookup(digest_prompt(entries, limit, by_date), cache)
     # An aggregate gives a row for no rows, too.
     one = looked_up.agg(F.max(F.struct("title_hash", "prompt", "ai_summary", "status")).alias("one")).select("one.*")
     return one.withColumn("status", F.coalesce("status", F.lit("empty")))

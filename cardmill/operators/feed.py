@@ -42,7 +42,7 @@ def feed_slice(
 
     Looks at the newest dates only, as many as it needs, and ranks their order values alone, whatever the
     depth; the rows of the slice are found by these. That reads ``entries`` a few times. Say
-    ``by_date=False`` where rows are costly to find: they are then read once, and as many as the
+    ``by_date=False`` where rows are costly to find, or do not lie by date and the slice is near the top: they are then read once, and as many as the
     slice reaches down go through the ranking of each task with all columns.
     """
     if limit is None:
@@ -59,12 +59,12 @@ def feed_page(entries: DataFrame, page: int = 1, by_date: bool = True) -> DataFr
     return feed_slice(entries, (page - 1) * PAGE_SIZE, PAGE_SIZE, by_date)
 
 
-def feed_all(entries: DataFrame, cap: int | None = FEED_CAP) -> DataFrame:
-    return feed_slice(entries, 0, cap)
+def feed_all(entries: DataFrame, cap: int | None = FEED_CAP, by_date: bool = True) -> DataFrame:
+    return feed_slice(entries, 0, cap, by_date)
 
 
-def feed_latest(entries: DataFrame, limit: int = DIGEST_SIZE) -> DataFrame:
-    return feed_slice(entries, 0, limit)
+def feed_latest(entries: DataFrame, limit: int = DIGEST_SIZE, by_date: bool = True) -> DataFrame:
+    return feed_slice(entries, 0, limit, by_date)
 
 
 def page_counts(rows: DataFrame, page: int, cap: int | None) -> DataFrame:
@@ -98,9 +98,9 @@ def entry_record() -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def entry_json(entries: DataFrame, start: int = 0, limit: int = API_LIMIT) -> DataFrame:
+def entry_json(entries: DataFrame, start: int = 0, limit: int = API_LIMIT, by_date: bool = True) -> DataFrame:
     """A slice of the feed as ``(id, json)``."""
-    return feed_slice(entries, start, limit).select("id", entry_record().alias("json"))
+    return feed_slice(entries, start, limit, by_date).select("id", entry_record().alias("json"))
 
 
 def feed_page_index(entries: DataFrame) -> DataFrame:

@@ -234,9 +234,9 @@ def digest_requests(spark: SparkSession, sf: str) -> DataFrame:
     """The digest of the whole feed, of the part that is cached, and of none."""
     table = entries(spark, sf)
     earlier = table.filter(F.col("date_scraped") < CACHED_UNTIL)
-    cache = digest.digest_key(earlier).withColumn("ai_summary", F.lit("cached"))
+    cache = digest.digest_key(earlier, by_date=False).withColumn("ai_summary", F.lit("cached"))
     parts = {"feed": table, "earlier": earlier, "none": table.filter("date_scraped > '9999'")}
-    rows = [digest.digest_requests(part, cache).withColumn("part", F.lit(name)) for name, part in parts.items()]
+    rows = [digest.digest_requests(part, cache, by_date=False).withColumn("part", F.lit(name)) for name, part in parts.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -253,12 +253,12 @@ def cache_written(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "entries_scan": lambda s, d: entries(s, d).select(ENTRY_COLUMNS),
     "entry_projection": entry_projection,
-    "entry_json": lambda s, d: feed.entry_json(entries(s, d), start=API_START),
+    "entry_json": lambda s, d: feed.entry_json(entries(s, d), start=API_START, by_date=False),
     "entry_by_id": lambda s, d: feed.entry_by_id(entries(s, d), ENTRY_ID),
     "entries_by_ids": entries_by_ids,
-    "feed_page": lambda s, d: feed.feed_page(entries(s, d), FEED_PAGE),
-    "feed_all": lambda s, d: feed.feed_all(entries(s, d)),
-    "feed_latest": lambda s, d: feed.feed_latest(entries(s, d)),
+    "feed_page": lambda s, d: feed.feed_page(entries(s, d), FEED_PAGE, by_date=False),
+    "feed_all": lambda s, d: feed.feed_all(entries(s, d), by_date=False),
+    "feed_latest": lambda s, d: feed.feed_latest(entries(s, d), by_date=False),
     "feed_page_index": lambda s, d: feed.feed_page_index(entries(s, d)),
     "page_meta": lambda s, d: feed.page_meta(entries(s, d), FEED_PAGE),
     "search": lambda s, d: search.search(entries(s, d), WORD),
@@ -272,8 +272,8 @@ QUERIES: dict[str, Query] = {
     "card_link": card_link,
     "page_entries": extracted,
     "extract_stats": extract_stats,
-    "digest_key": lambda s, d: digest.digest_key(entries(s, d)),
-    "digest_prompt": lambda s, d: digest.digest_prompt(entries(s, d)),
+    "digest_key": lambda s, d: digest.digest_key(entries(s, d), by_date=False),
+    "digest_prompt": lambda s, d: digest.digest_prompt(entries(s, d), by_date=False),
     "digest_by_source": lambda s, d: digest.digest_by_source(entries(s, d)),
     "digest_lookup": digest_lookup,
     "digest_cache_add": digest_cache_add,

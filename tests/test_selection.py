@@ -55,7 +55,7 @@ def in_order(large):
 
 @pytest.mark.parametrize("start", range(0, 100_000, 12_500))
 def test_slices_cover_the_feed(large, in_order, start):
-    found = feed.feed_slice(large, start, 12_500, by_date=False)
+    found = newest.newest(large, start, 12_500)
     assert sorted(r.title for r in found.collect()) == sorted(in_order[start : start + 12_500])
 
 
