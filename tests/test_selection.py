@@ -1,6 +1,7 @@
 """Values found by counting, and deep slices of feeds with hot, missing and repeated order values."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,5 +73,6 @@ def test_copies_of_one_row(make_entries):
 
 
 def test_deep_pages_rank_nothing_large(spark, large, plan_of):
-    plan = plan_of(feed.feed_page(large, 1500))
-    assert "row_number(), 30, Partial" in plan and "45030" not in plan
+    plan = plan_of(feed.feed_page(large, 300))
+    ranked = [int(n) for n in re.findall(r"row_number\(\), (\d+), Partial", plan)]
+    assert ranked and max(ranked) <= 30
