@@ -1,8 +1,8 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-Built-in functions only. Blocks are windows of ``BLOCK_WORDS`` words, one each
-``BLOCK_STEP`` words, so every passage of up to ``BLOCK_WORDS - BLOCK_STEP + 1`` words lies in one whole; no template is longer. A block
-matches a template if it holds at least ``CONTAINED`` of the template's distinct words.
+Built-in functions only. Blocks are the windows of ``BLOCK_WORDS`` words at every word of a text. A block
+matches a template if it holds at least ``CONTAINED_PERCENT`` of the template's distinct words. A block that does not start with a
+word of a template holds no more of these than the one that starts at the next such word, so the others need not be looked at.
 
 The words of the templates are counted over all texts and ordered by that, rare ones
 first. In this order the first word that a block and a matching template share is
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .tables import A_TO_Z, BROADCAST_KEYS, stored
 
 BLOCK_WORDS = 64
-BLOCK_STEP = 32
 CONTAINED_PERCENT = 90
 
 # Words that must stand one after the other, and their labels.
@@ -109,8 +108,8 @@ def template_matches(docs: DataFrame, kept: DataFrame, templates=TEMPLATES) -> D
     ``kept (of, mark, own)`` has the words of the templates that each text holds.
     """
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    if any(len(text.split()) > BLOCK_WORDS - BLOCK_STEP + 1 for _, text in templates):
-        raise ValueError("a template is longer than two blocks overlap")
+    if any(len(text.split()) > BLOCK_WORDS for _, text in templates):
+        raise ValueError("a template is longer than a block")
     vocabulary = sorted({word for _, words in sets for word in words})
     literal = lambda words: F.array(*map(F.lit, words))
     lowered = _words(_lowered_fast(F.col("text")))
@@ -133,14 +132,20 @@ def template_matches(docs: DataFrame, kept: DataFrame, templates=TEMPLATES) -> D
         "template int, label string, ranks array<int>",
     )
 
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_STEP))
-    windows = F.transform(starts, lambda s: F.array_intersect(F.slice("words", s + 1, F.lit(BLOCK_WORDS)), literal(ordered)))
-    likely = F.filter(windows, lambda b: F.arrays_overlap(b, literal(prefixes)))
+    def places(wanted: list[str]) -> Column:
+        found = F.transform("words", lambda w, i: F.when(F.array_contains(literal(wanted), w), i))
+        return F.filter(found, lambda i: i.isNotNull())
+
+    # Blocks that start with a word of a template and hold one of a prefix, each set of words once a text.
+    near = F.filter("starts", lambda s: F.exists("hits", lambda h: (h >= s) & (h < s + BLOCK_WORDS)))
+    held = F.transform(near, lambda s: F.array_sort(F.array_intersect(F.slice("words", s + 1, F.lit(BLOCK_WORDS)), literal(ordered))))
     some = stored(kept.filter(F.arrays_overlap("own", literal(prefixes))).select("of", "mark").distinct(), "likely")
     if 2 * some.count() <= BROADCAST_KEYS:
         some = F.broadcast(some)
     worded = docs.join(some, ["of", "mark"], "left_semi").select("of", "mark", lowered.alias("words"))
-    blocks = worded.select("of", "mark", F.explode(likely).alias("block"))
+    worded = worded.select("*", F.explode(F.array(F.struct(places(ordered).alias("starts"), places(prefixes).alias("hits")))).alias("p"))
+    worded = worded.select("of", "mark", "words", "p.starts", "p.hits").filter(F.size("hits") > 0)
+    blocks = worded.select("of", "mark", F.explode(F.array_distinct(held)).alias("block"))
     ranked = F.array_sort(F.transform("block", lambda w: F.array_position(literal(ordered), w).cast("int") - 1))
     placed = blocks.select("of", "mark", ranked.alias("block"))
     tokens = placed.select("of", "mark", "block", F.posexplode("block").alias("at", "rank"))

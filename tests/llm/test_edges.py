@@ -258,6 +258,14 @@ class TestPii:
 
 
 class TestLicenses:
+    def test_spread_templates_are_found_at_any_offset(self, make):
+        words = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+        spread = words[:8] + [f"n{i}" for i in range(64 - len(words))] + words[8:]
+        rows = [" ".join(WORDS[:k] + spread + WORDS[:50]) for k in range(0, 70, 3)]
+        rows += [" ".join(WORDS[:k] + words[:8] + [f"n{i}" for i in range(200)] + words[8:]) for k in (0, 31)]
+        found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(make(rows)).collect()}
+        assert all(found[i] == ["mit"] for i in range(24)) and found[24] == found[25] == []
+
     def test_phrases_templates_and_missing_texts(self, make):
         rows = [None, "", "CC BY cc-by CC\tBy", "éCC BY", "all rights reserved", "Released\nunder the  MIT License!", LONG, "cc by cc by"]
         found = {r["doc_id"]: r for r in licenses.scan_licenses(make(rows)).collect()}

@@ -69,7 +69,9 @@ def license_row(text):
     found, best = set(), 0.0
     for label, template in licenses.TEMPLATES:
         own = set(template.split())
-        for start in range(0, len(words), licenses.BLOCK_STEP):
+        if 100 * len(own & set(words)) < licenses.CONTAINED_PERCENT * len(own):
+            continue
+        for start in range(len(words)):
             both = len(own & set(words[start : start + licenses.BLOCK_WORDS]))
             if 100 * both >= licenses.CONTAINED_PERCENT * len(own):
                 found.add(label)
