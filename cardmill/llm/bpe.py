@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding by ranked merges of byte strings, and decoding.
 
-Texts are cut into words by the tokenizer's pattern where they lie, in chunks
-of bounded size, and each chunk keeps its distinct words once, with the place
-of every word in its texts as a number. Spark folds the merges over the bytes of
-the distinct words, with the ranks as a literal map, and the numbers then give
-the ids of each text. Nothing is shuffled or gathered.
+Texts are cut into words by the tokenizer's pattern, in chunks
+of bounded size. A chunk keeps the place of every word of its texts as a number, and has each of its words once, in a table that is
+shuffled by word. So each distinct word of all texts is folded once: Spark folds the merges over its
+bytes, with the ranks as a literal map. The ids are joined back to the words of the chunks, of which each has a
+word once, so a word's rows are as many as the chunks that have it, and the ids of a chunk meet its places.
 
 Bytes are held as strings in which each character is one byte (ISO 8859-1), since a literal
 map has string keys. The map is cut into ``BUCKETS`` small ones by CRC-32, for
@@ -15,23 +15,30 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import stored
+
 BUCKETS = 1 << 15
 NO_RANK = 1 << 20  # above all ranks
 PLACES = 1 << 10  # above the length of a word that is folded
-CHUNK_BYTES = 6 << 20  # of text, in characters
+CHUNK_CHARS = 32 << 20
 LONG_WORD = 512  # bytes; a fold is quadratic, so longer words are merged with a heap
 EMIT_IDS = 1 << 19
 
-_CHUNKS = "doc_ids array<long>, n_words binary, places binary, words array<binary>, long_at binary, long_ids array<array<int>>"
+_CHUNKS = "chunk long, doc_ids array<long>, n_words binary, places binary, words array<binary>, long_at binary, long_ids array<array<int>>"
+_IDS = "doc_id long, ids array<int>"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +54,17 @@ def _byte_string(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """The rank of a byte string, or null, from a literal array of maps."""
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal array of maps."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = _byte_string(token)
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def rank_in(literal: Column) -> Callable[[Column], Column]:
+    """The rank of a byte string, or null, from the literal array of maps."""
     return lambda key: literal[F.crc32(key).bitwiseAND(F.lit(BUCKETS - 1))][key]
 
 
@@ -148,9 +159,21 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four strings of their first, second, third and fourth bytes, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = regex.compile(pattern).findall
+        chunks = itertools.count(TaskContext.get().partitionId() << 32)
         doc_ids, counts, places, numbers, size = [], [], [], {}, 0
 
         def take() -> pa.RecordBatch:
@@ -160,9 +183,10 @@ def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]],
             for i in long_at:
                 words[i] = b""
             row = {
+                "chunk": [next(chunks)],
                 "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
                 "n_words": [np.array(counts, np.int32).tobytes()],
-                "places": [np.concatenate(places).tobytes()],
+                "places": [_packed(np.concatenate(places))],
                 "words": pa.array([words], pa.list_(pa.binary())),
                 "long_at": [np.array(long_at, np.int32).tobytes()],
                 "long_ids": pa.array([long_ids], pa.list_(pa.list_(pa.int32()))),
@@ -178,7 +202,7 @@ def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]],
                 doc_ids.append(doc_id.as_py())
                 counts.append(len(found))
                 size += len(text)
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_CHARS:
                     yield take()
                     doc_ids, counts, places, numbers, size = [], [], [], {}, 0
         if doc_ids:
@@ -187,54 +211,74 @@ def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]],
     return chunk
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks with the ids of their words to documents with their ids."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
-            doc_ids = cell("doc_ids").values
-            counts = np.frombuffer(cell("n_words").as_py(), np.int32)
-            places = np.frombuffer(cell("places").as_py(), np.int32)
-            lists = cell("word_ids").values
+def _unpacked(chunks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A chunk and the ids of its words, ``(at, word_ids)``, to documents with their ids."""
+    for row in chunks.to_pylist():
+        counts = np.frombuffer(row["n_words"], np.int32)
+        places = _numbers(row["places"])
+        long_at = np.frombuffer(row["long_at"], np.int32)
+        long_ids = [np.array(ids, np.int32) for ids in row["long_ids"] or []]
+        n = int(places.max(initial=-1)) + 1
+        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        parts, end = [], 0
+        for batch in words.to_batches():
+            at, lists = batch.column("at").to_numpy(), batch.column("word_ids")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-            long_at = np.frombuffer(cell("long_at").as_py(), np.int32)
-            long_ids = [np.array(ids.as_py(), np.int32) for ids in (cell("long_ids").values or [])]
-            starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if len(sizes) else np.empty(0, np.int64)
-            sizes = sizes.astype(np.int64)
-            end = len(flat)
-            flat = np.concatenate([flat, *long_ids])
-            for at, ids in zip(long_at, long_ids):
-                starts[at], sizes[at] = end, len(ids)
-                end += len(ids)
-            ends = np.r_[0, np.cumsum(counts)].astype(np.int64)
-            first = 0
-            while first < len(counts):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + EMIT_IDS // 4, side="right")) - 1)
-                own = places[ends[first] : ends[last]]
-                lengths = sizes[own]
-                stops = np.cumsum(lengths)
-                total = int(stops[-1]) if len(stops) else 0
-                at = np.repeat(starts[own] - (stops - lengths), lengths) + np.arange(total)
-                offsets = np.r_[0, stops][ends[first : last + 1] - ends[first]].astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
-                yield pa.RecordBatch.from_arrays([doc_ids[first:last], ids], ["doc_id", "ids"])
-                first = last
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts[at], sizes[at] = end + np.cumsum(lengths) - lengths, lengths
+            parts.append(flat)
+            end += len(flat)
+        for at, ids in zip(long_at, long_ids):
+            starts[at], sizes[at] = end, len(ids)
+            end += len(ids)
+        flat = np.concatenate([*parts, *long_ids, np.empty(0, np.int32)])
+        doc_ids = pa.array(row["doc_ids"], pa.int64())
+        ends = np.r_[0, np.cumsum(counts)].astype(np.int64)
+        first = 0
+        while first < len(counts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + EMIT_IDS // 4, side="right")) - 1)
+            own = places[ends[first] : ends[last]]
+            lengths = sizes[own]
+            stops = np.cumsum(lengths)
+            total = int(stops[-1]) if len(stops) else 0
+            at = np.repeat(starts[own] - (stops - lengths), lengths) + np.arange(total)
+            offsets = np.r_[0, stops][ends[first : last + 1] - ends[first]].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids[first:last], ids], ["doc_id", "ids"])
+            first = last
+
+
+def _folded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``(word, word_ids)``: each word folded. The literals are bound once, whatever the fold does with them."""
+    word = F.decode("word", "ISO-8859-1")
+    fold = lambda maps, pairs: fold_merges(F.col("text"), rank_in(maps), pairs)
+    ids = _let(rank_map(ranks), lambda maps: _let(pair_ranks(ranks), lambda pairs: fold(maps, pairs)))
+    return words.select("word", word.alias("text")).select("word", ids.alias("word_ids"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for each row of ``docs``: each match of ``pattern`` by itself, no special tokens.
 
     A null or empty text has no ids. Rows that repeat a ``doc_id``, or have none, are
-    rows like others; extra columns are ignored.
+    rows like others; extra columns are ignored. Chunks are written to the shared folder.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = texts.mapInArrow(_chunked(pattern, shared), _CHUNKS)
-    rank, pairs = rank_map(ranks), pair_ranks(ranks)
-    word_ids = F.transform("words", lambda w: _let(F.decode(w, "ISO-8859-1"), lambda s: fold_merges(s, rank, pairs)))
-    encoded = chunks.select("doc_ids", "n_words", "places", "long_at", "long_ids", word_ids.alias("word_ids"))
-    return encoded.mapInArrow(_unpacked, "doc_id long, ids array<int>")
+    chunks = stored(texts.mapInArrow(_chunked(pattern, shared), _CHUNKS), "chunks")
+    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).filter(F.octet_length("word") > 0)
+    by_word = words.repartition("word")
+    # The distinct words are taken from the same shuffle as the words that their ids are joined to; for that they ask for its
+    # other columns, too, or else Spark would shuffle the words without these a second time.
+    last = by_word.groupBy("word").agg(F.max("chunk").alias("chunk"), F.max("at").alias("at"))
+    once = _folded(last.filter("chunk >= 0 AND at >= 0"), ranks)
+    placed = by_word.join(once.hint("shuffle_hash"), "word").select(F.col("chunk").alias("of"), "at", "word_ids")
+    whole = chunks.select("chunk", "doc_ids", "n_words", "places", "long_at", "long_ids")
+    return whole.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(_chunk_ids, _IDS)
+
+
+def _chunk_ids(chunks: pa.Table, words: pa.Table) -> pa.Table:
+    kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return pa.Table.from_batches(list(_unpacked(chunks, words)), kinds)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -243,4 +287,4 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     for token, rank in ranks.items():
         pieces[rank] = _byte_string(token)
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: literal[i]), ""), "ISO-8859-1")
+    return F.encode(_let(literal, lambda table: F.array_join(F.transform(ids, lambda i: table[i]), "")), "ISO-8859-1")
