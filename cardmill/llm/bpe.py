@@ -1,43 +1,36 @@
 """Byte-level BPE: encoding by ranked merges of byte strings, and decoding.
 
-Texts are cut into words by the tokenizer's pattern, in chunks
-of bounded size. A chunk keeps the place of every word of its texts as a number, and has each of its words once, in a table that is
-shuffled by word. So each distinct word of all texts is folded once: Spark folds the merges over its
-bytes, with the ranks as a literal map. The ids are joined back to the words of the chunks, of which each has a
-word once, so a word's rows are as many as the chunks that have it, and the ids of a chunk meet its places.
-
-Bytes are held as strings in which each character is one byte (ISO 8859-1), since a literal
-map has string keys. The map is cut into ``BUCKETS`` small ones by CRC-32, for
-a map is searched from its start.
+Texts are cut into words by the tokenizer's pattern where they lie, in chunks of bounded size. A chunk has each of its words
+once and keeps the place of every word of its texts as a number. The merges are folded over the bytes of all words of a chunk at
+once: words of about one length are the columns of a matrix, and each step merges in every column the pair of the lowest
+rank. The places then give the ids of each text. Nothing is shuffled, written or gathered; a task holds one chunk.
+
+Decoding is done by Spark. Its bytes are strings in which each character is one byte (ISO 8859-1).
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import itertools
 import json
-import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import stored
-
-BUCKETS = 1 << 15
 NO_RANK = 1 << 20  # above all ranks
 PLACES = 1 << 10  # above the length of a word that is folded
+NONE = NO_RANK * PLACES  # where no pair with a rank starts
+CODE_BITS = 21  # of a part: its rank, or NO_RANK and the byte if the vocabulary lacks it
+DEAD = (1 << CODE_BITS) - 1  # where no part starts
 CHUNK_CHARS = 32 << 20
 LONG_WORD = 512  # bytes; a fold is quadratic, so longer words are merged with a heap
+FOLD_CELLS = 1 << 18  # bytes of words that are folded at once
 EMIT_IDS = 1 << 19
 
-_CHUNKS = "chunk long, doc_ids array<long>, n_words binary, places binary, words array<binary>, long_at binary, long_ids array<array<int>>"
 _IDS = "doc_id long, ids array<int>"
 
 
@@ -54,73 +47,107 @@ def _byte_string(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of maps."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = _byte_string(token)
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+class Merges(NamedTuple):
+    """The merges of a vocabulary as arrays."""
 
+    pairs: np.ndarray  # the codes of two parts as one number, ascending
+    made: np.ndarray  # the rank of what they make
+    codes: np.ndarray  # of the 256 bytes
+    first: np.ndarray  # the rank of any two bytes
 
-def rank_in(literal: Column) -> Callable[[Column], Column]:
-    """The rank of a byte string, or null, from the literal array of maps."""
-    return lambda key: literal[F.crc32(key).bitwiseAND(F.lit(BUCKETS - 1))][key]
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of parts, ``NO_RANK`` for those without."""
+        pair = left.astype(np.int64) << CODE_BITS | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.made[at], NO_RANK).astype(np.int32)
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> Column:
-    """The ranks of all pairs of bytes as a literal array, ``NO_RANK`` for those without."""
-    table = [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
-    return F.from_json(F.lit(json.dumps(table)), "array<int>")
+def merges_of(ranks: dict[bytes, int]) -> Merges:
+    """Each way to make a token of two parts, which are tokens or bytes."""
+    code = {bytes((b,)): NO_RANK + b for b in range(256)} | ranks
+    made = {np.iinfo(np.int64).max: NO_RANK}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = code.get(token[:cut]), code.get(token[cut:])
+            if left is not None and right is not None:
+                made[left << CODE_BITS | right] = rank
+    pairs = sorted(made)
+    codes = np.array([code[bytes((b,))] for b in range(256)], np.int32)
+    merges = Merges(np.array(pairs, np.int64), np.array([made[pair] for pair in pairs], np.int32), codes, codes)
+    return merges._replace(first=merges.rank(np.repeat(codes, 256), np.tile(codes, 256)))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _with(state: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(state, value)`` with the value computed once; a fold hands the state on without a copy."""
-    return F.aggregate(F.array(value), state, body)
-
-
-def fold_merges(word: Column, rank: Callable[[Column], Column], pair_table: Column) -> Column:
-    """The ids of a byte string: the pair of the lowest rank, the first of these, is merged until none has a rank."""
-    none = F.lit(NO_RANK)
-    parts = F.split(word, r"(?!^|\z)")
-    values = F.transform(parts, F.ascii)
-    following = F.slice(values, F.lit(2), F.char_length(word))
-    pairs = F.zip_with(values, following, lambda a, b: F.coalesce(F.get(pair_table, a * 256 + b), none))
-
-    def put(state: Column, new: Column) -> Column:
-        """Replaces two parts by what they give, and the ranks of the pairs that this changes."""
-        at, old, ranks = new["at"], state["parts"], state["ranks"]
-        keys = F.array(F.concat(F.get(old, at - 2), new["part"]), F.concat(new["part"], F.get(old, at + 1)))
-        changed = F.transform(keys, lambda key: F.coalesce(rank(key), none))
-        before = F.when(at > 1, F.slice(ranks, F.lit(1), at - 2))
-        around = F.when(at > 1, F.concat(before, changed)).otherwise(F.slice(changed, 2, 1))
-        return F.struct(
-            F.concat(F.slice(old, F.lit(1), at - 1), F.array(new["part"]), F.slice(old, at + 2, F.size(old))).alias("parts"),
-            F.concat(around, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-        )
-
-    def merge(state: Column, at: Column) -> Column:
-        part = F.concat(F.get(state["parts"], at - 1), F.get(state["parts"], at))
-        return _with(state, F.struct(at.alias("at"), part.alias("part")), put)
+def _fold_columns(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Folds the words of ``data`` at ``starts``: their ids one after the other, and how many each has.
 
-    def step(state: Column, _: Column) -> Column:
-        def lowest(state: Column, low: Column) -> Column:
-            at = low % PLACES + 1
-            return F.when(low >= NO_RANK * PLACES, state).otherwise(merge(state, at))
-
-        # Rank and place in one number: of equal ranks the first place is the least. array_position would be slow,
-        # for it ends by an exception.
-        return _with(state, F.array_min(F.transform(state["ranks"], lambda r, i: r * PLACES + i)), lowest)
-
-    start = F.struct(parts.alias("parts"), pairs.alias("ranks"))
-    folded = F.aggregate(following, start, step, lambda state: F.transform(state["parts"], rank))
-    whole = rank(word)
-    nothing = F.expr("cast(array() as array<int>)")
-    return F.when(F.char_length(word) == 0, nothing).when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+    A word is a column, a part lies where its first byte lay. The row after the longest word stands for what is before and after a word.
+    """
+    width, n = int(lengths.max()), len(starts)
+    place = np.arange(width + 1, dtype=np.int32)[:, None]
+    inside = place < lengths
+    value = data[np.minimum(starts + place, len(data) - 1)].astype(np.int32)
+    parts = np.where(inside, merges.codes[value], DEAD).astype(np.int32)
+    # Rank and place in one number: of equal ranks the first place is the least.
+    ranks = np.full((width + 1, n), NONE, np.int32)
+    ranks[:-1] = np.where(inside[1:], merges.first[value[:-1] << 8 | value[1:]] * PLACES + place[:-1], NONE)
+    after, before = np.empty((2, width + 1, n), np.int32)
+    after[:], before[:] = np.minimum(place + 1, width), np.where(place > 0, place - 1, width)
+    while True:
+        low = ranks.min(axis=0)
+        word = np.flatnonzero(low < NONE)
+        if not len(word):
+            break
+        at, new = low[word] % PLACES, low[word] // PLACES
+        gone, ahead = after[at, word], before[at, word]
+        behind = after[gone, word]
+        parts[at, word], parts[gone, word], ranks[gone, word] = new, DEAD, NONE
+        after[at, word], before[behind, word] = behind, at
+        ranks[at, word] = merges.rank(new, parts[behind, word]) * PLACES + at
+        ranks[ahead, word] = merges.rank(parts[ahead, word], new) * PLACES + ahead
+    parts = parts.T
+    left = parts != DEAD
+    return parts[left], left.sum(axis=1)
+
+
+def fold_merges(words: list[bytes], ranks: dict[bytes, int], merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of words, in any order, where those of each word start, and how many there are.
+
+    A word with a rank is its own id. In the others the pair of the lowest rank, the first of these, is merged until none has a
+    rank. A byte without a rank gives a number from ``NO_RANK`` on.
+    """
+    whole = np.array([ranks.get(w, -1) for w in words], np.int32)
+    lengths = np.array([len(w) for w in words], np.int64)
+    starts, sizes = np.zeros(len(words), np.int64), (whole >= 0).astype(np.int64)
+    parts, end = [whole[whole >= 0]], int(sizes.sum())
+    starts[whole >= 0] = np.arange(end)
+
+    def put(at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        nonlocal end
+        starts[at], sizes[at] = end + np.cumsum(n) - n, n
+        parts.append(ids)
+        end += len(ids)
+
+    for at in np.flatnonzero((whole < 0) & (lengths > LONG_WORD)):
+        ids = np.array(merge_long(words[at], ranks), np.int32)
+        put(np.array([at]), ids, np.array([len(ids)]))
+    folded = np.flatnonzero((whole < 0) & (lengths > 0) & (lengths <= LONG_WORD))
+    folded = folded[np.argsort(lengths[folded], kind="stable")]
+    data = np.frombuffer(b"".join([words[i] for i in folded]), np.uint8)
+    ends = np.cumsum(lengths[folded])
+    first = 0
+    while first < len(folded):
+        # Up to a quarter longer than the first, and so many that they fill the cells.
+        width = int(lengths[folded[first]]) * 5 // 4
+        last = int(np.searchsorted(lengths[folded], width, side="right"))
+        last = min(last, first + max(1, FOLD_CELLS // width))
+        own = folded[first:last]
+        put(own, *_fold_columns(data, ends[first:last] - lengths[own], lengths[own], merges))
+        first = last
+    return np.concatenate(parts), starts, sizes
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -159,40 +186,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as four strings of their first, second, third and fourth bytes, compressed."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _encoded(pattern: str, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents, ``(doc_id, text)``, to documents with their ids."""
 
+    def take(doc_ids: list, counts: list[int], places: list[np.ndarray], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        ranks, merges = shared.value
+        flat, starts, sizes = fold_merges([w.encode("utf-8", "surrogatepass") for w in numbers], ranks, Merges(*merges))
+        ends, places = np.r_[0, np.cumsum(counts)].astype(np.int64), np.concatenate(places)
+        first = 0
+        while first < len(counts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + EMIT_IDS // 4, side="right")) - 1)
+            own = places[ends[first] : ends[last]]
+            lengths = sizes[own]
+            stops = np.r_[0, np.cumsum(lengths)]
+            ids = flat[np.repeat(starts[own] - stops[:-1], lengths) + np.arange(stops[-1])]
+            offsets = pa.array(stops[ends[first : last + 1] - ends[first]], pa.int32())
+            values = pa.array(ids, pa.int32(), mask=ids >= NO_RANK)
+            whole = pa.ListArray.from_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), whole], ["doc_id", "ids"])
+            first = last
 
-def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = regex.compile(pattern).findall
-        chunks = itertools.count(TaskContext.get().partitionId() << 32)
         doc_ids, counts, places, numbers, size = [], [], [], {}, 0
-
-        def take() -> pa.RecordBatch:
-            words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-            long_at = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-            long_ids = [merge_long(words[i], shared_ranks.value) for i in long_at]
-            for i in long_at:
-                words[i] = b""
-            row = {
-                "chunk": [next(chunks)],
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                "n_words": [np.array(counts, np.int32).tobytes()],
-                "places": [_packed(np.concatenate(places))],
-                "words": pa.array([words], pa.list_(pa.binary())),
-                "long_at": [np.array(long_at, np.int32).tobytes()],
-                "long_ids": pa.array([long_ids], pa.list_(pa.list_(pa.int32()))),
-            }
-            return pa.RecordBatch.from_pydict(row)
-
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
@@ -203,82 +219,23 @@ def _chunked(pattern: str, shared_ranks) -> Callable[[Iterator[pa.RecordBatch]],
                 counts.append(len(found))
                 size += len(text)
                 if size >= CHUNK_CHARS:
-                    yield take()
+                    yield from take(doc_ids, counts, places, numbers)
                     doc_ids, counts, places, numbers, size = [], [], [], {}, 0
         if doc_ids:
-            yield take()
-
-    return chunk
-
-
-def _unpacked(chunks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
-    """A chunk and the ids of its words, ``(at, word_ids)``, to documents with their ids."""
-    for row in chunks.to_pylist():
-        counts = np.frombuffer(row["n_words"], np.int32)
-        places = _numbers(row["places"])
-        long_at = np.frombuffer(row["long_at"], np.int32)
-        long_ids = [np.array(ids, np.int32) for ids in row["long_ids"] or []]
-        n = int(places.max(initial=-1)) + 1
-        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        parts, end = [], 0
-        for batch in words.to_batches():
-            at, lists = batch.column("at").to_numpy(), batch.column("word_ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts[at], sizes[at] = end + np.cumsum(lengths) - lengths, lengths
-            parts.append(flat)
-            end += len(flat)
-        for at, ids in zip(long_at, long_ids):
-            starts[at], sizes[at] = end, len(ids)
-            end += len(ids)
-        flat = np.concatenate([*parts, *long_ids, np.empty(0, np.int32)])
-        doc_ids = pa.array(row["doc_ids"], pa.int64())
-        ends = np.r_[0, np.cumsum(counts)].astype(np.int64)
-        first = 0
-        while first < len(counts):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] + EMIT_IDS // 4, side="right")) - 1)
-            own = places[ends[first] : ends[last]]
-            lengths = sizes[own]
-            stops = np.cumsum(lengths)
-            total = int(stops[-1]) if len(stops) else 0
-            at = np.repeat(starts[own] - (stops - lengths), lengths) + np.arange(total)
-            offsets = np.r_[0, stops][ends[first : last + 1] - ends[first]].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc_ids[first:last], ids], ["doc_id", "ids"])
-            first = last
-
+            yield from take(doc_ids, counts, places, numbers)
 
-def _folded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``(word, word_ids)``: each word folded. The literals are bound once, whatever the fold does with them."""
-    word = F.decode("word", "ISO-8859-1")
-    fold = lambda maps, pairs: fold_merges(F.col("text"), rank_in(maps), pairs)
-    ids = _let(rank_map(ranks), lambda maps: _let(pair_ranks(ranks), lambda pairs: fold(maps, pairs)))
-    return words.select("word", word.alias("text")).select("word", ids.alias("word_ids"))
+    return encoded
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for each row of ``docs``: each match of ``pattern`` by itself, no special tokens.
 
     A null or empty text has no ids. Rows that repeat a ``doc_id``, or have none, are
-    rows like others; extra columns are ignored. Chunks are written to the shared folder.
+    rows like others; extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, tuple(merges_of(ranks))))  # as large as the vocabulary, whatever the input
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = stored(texts.mapInArrow(_chunked(pattern, shared), _CHUNKS), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).filter(F.octet_length("word") > 0)
-    by_word = words.repartition("word")
-    # The distinct words are taken from the same shuffle as the words that their ids are joined to; for that they ask for its
-    # other columns, too, or else Spark would shuffle the words without these a second time.
-    last = by_word.groupBy("word").agg(F.max("chunk").alias("chunk"), F.max("at").alias("at"))
-    once = _folded(last.filter("chunk >= 0 AND at >= 0"), ranks)
-    placed = by_word.join(once.hint("shuffle_hash"), "word").select(F.col("chunk").alias("of"), "at", "word_ids")
-    whole = chunks.select("chunk", "doc_ids", "n_words", "places", "long_at", "long_ids")
-    return whole.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(_chunk_ids, _IDS)
-
-
-def _chunk_ids(chunks: pa.Table, words: pa.Table) -> pa.Table:
-    kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return pa.Table.from_batches(list(_unpacked(chunks, words)), kinds)
+    return texts.mapInArrow(_encoded(pattern, shared), _IDS)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -74,6 +74,29 @@ class TestBpe:
     def test_empty_table(self, make, ranks):
         assert bpe.encode(make([]), ranks, public_tokenizers.PATTERN).collect() == []
 
+    def test_no_chunk_is_gathered_again(self, make, ranks, plan_of):
+        """The words of a chunk used to meet in one group, beside its places: the memory of an executor."""
+        plan = plan_of(bpe.encode(make(self.TEXTS), ranks, public_tokenizers.PATTERN))
+        assert "CoGroup" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+
+    def test_words_of_all_lengths_fold_alike(self, ranks, library, monkeypatch):
+        monkeypatch.setattr(bpe, "FOLD_CELLS", 300)
+        letters = ["a", "e", "th", "x", "é", "漢", "😀", " ", "1"]
+        words = ["".join(RNG.choice(letters, n)) for n in range(1, 200)] + WORDS + ["", "ab" * 300]
+        flat, starts, sizes = bpe.fold_merges([w.encode() for w in words], ranks, bpe.merges_of(ranks))
+        for word, start, size in zip(words, starts, sizes):
+            assert flat[start : start + size].tolist() == library._core_bpe.encode_single_piece(word.encode()) if word else size == 0
+
+    def test_lowest_rank_first_then_first_place(self):
+        ranks = {bytes((b,)): b for b in range(256)} | {b"bc": 300, b"aa": 301, b"ab": 302, b"abc": 303, b"aab": 299}
+        flat, starts, sizes = bpe.fold_merges([b"abcd", b"aaab", b"aaaaa", b"abab"], ranks, bpe.merges_of(ranks))
+        found = [flat[start : start + size].tolist() for start, size in zip(starts, sizes)]
+        assert found == [[303, 100], [301, 302], [301, 301, 97], [302, 302]]
+
+    def test_bytes_that_the_vocabulary_lacks_have_no_id(self, make):
+        rows = bpe.encode(make(["abxab"]), {b"a": 0, b"b": 1, b"ab": 2}, ".+").collect()
+        assert rows[0]["ids"] == [2, None, 2]
+
 
 class TestJaccard:
     def found(self, df):
