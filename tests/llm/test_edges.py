@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 
 import numpy as np
 import public_tokenizers
@@ -79,6 +80,14 @@ class TestBpe:
         plan = plan_of(bpe.encode(make(self.TEXTS), ranks, public_tokenizers.PATTERN))
         assert "CoGroup" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
 
+    def test_nothing_is_written_or_shuffled(self, spark, ranks, library, plan_of, tmp_path):
+        spark.createDataFrame([(1, "a b a"), (2, LONG)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+        before = sorted(os.listdir(shared_folder(spark).removeprefix("file:")))
+        found = bpe.encode(spark.read.parquet(f"{tmp_path}/docs"), ranks, public_tokenizers.PATTERN)
+        assert {r["doc_id"]: r["ids"] for r in found.collect()}[2] == library.encode_ordinary(LONG)
+        assert sorted(os.listdir(shared_folder(spark).removeprefix("file:"))) == before
+        assert "Exchange" not in plan_of(found)
+
     def test_words_of_all_lengths_fold_alike(self, ranks, library, monkeypatch):
         monkeypatch.setattr(bpe, "FOLD_CELLS", 300)
         letters = ["a", "e", "th", "x", "é", "漢", "😀", " ", "1"]
