@@ -26,8 +26,9 @@ of 48 bits, and documents with equal sets are one node, known by a hash of 64 bi
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .tables import BROADCAST_KEYS, free_name, stored
+from .tables import free_name, stored
 
 SHINGLE_WORDS = 5
 PAIRED = 16  # sets of a signature that are all paired
@@ -47,6 +48,10 @@ FINE_PARTITIONS = 3  # times as many at the fine level
 FINE_LEVEL = 32  # number of the first fine level
 EMIT_ROWS = 100_000
 NO_ID = -(2**63)  # stands for a missing id in joins
+BLOCK_BITS = 1 << 15  # of the filter of wanted documents: what Spark's bitmaps hold
+MOST_BLOCKS = 1 << 12  # 16 MB
+KEY_BITS = 16  # for each key, for about one false answer in four hundred
+PROBES = 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMITTED = "sig long, node long, tag int, payload binary"
@@ -306,28 +311,51 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return close.mapInPandas(keep, "a long, b long")
 
 
-def _documents_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of the documents that wanted nodes name, more than once where rows repeat."""
+def _maybe_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose ``(of, mark)`` is in ``keys``, a stored table, and few others.
+
+    Goes by a Bloom filter in blocks, of which a key has one. Beyond the most blocks more other documents pass.
+    """
+    of = ["of", "mark"]
+    n_blocks = min(max(1, math.ceil(keys.count() * KEY_BITS / BLOCK_BITS)), MOST_BLOCKS)
+    block = F.pmod(F.xxhash64(*of), F.lit(n_blocks))
+    places = [F.pmod(F.xxhash64(*of, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(PROBES)]
+    bits = keys.select(block.alias("block"), F.explode(F.array(*places)).alias("at"))
+    blocks = bits.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    held = block == F.col("block")
+    for at in places:
+        byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = held & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return docs.join(F.broadcast(blocks), held, "left_semi")
+
+
+def _made_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, made: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``(node, packed)``: what ``made`` gives for the set of each wanted node. Only documents that may have it are read as sets."""
     of = F.coalesce("doc_id", F.lit(NO_ID)).alias("of")
-    named = stored(wanted.join(nodes, "node").select("node", of, "mark"), "named")
-    if 3 * named.count() <= BROADCAST_KEYS:
-        named = F.broadcast(named)
-    return docs.select(of, "mark", "text").join(named, ["of", "mark"]).select("node", "text")
+    named = stored(wanted.join(nodes, "node").select(of, "mark"), "named")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, packed = [], []
+            for text in batch.column(0):
+                shingles = shingle_set(text.as_py())
+                if len(shingles):
+                    found.append(_node(shingles))
+                    packed.append(made(shingles))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed, pa.binary())], ["node", "packed"])
+
+    texts = _maybe_of(docs.select(of, "mark", "text"), named).select("text")
+    rows = texts.mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"])
+    return rows.join(wanted, "node", "left_semi")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, packed)``: the set of each wanted node."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for text in batch.column(1):
-                short = np.unique(shingle_set(text.as_py()) & np.uint64((1 << 48) - 1))
-                packed.append(short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
+    def short(shingles: np.ndarray) -> bytes:
+        return np.unique(shingles & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    found = _documents_of(docs, wanted, nodes).mapInArrow(sets, "node long, packed binary")
-    return stored(found.dropDuplicates(["node"]), "sets")
+    return stored(_made_of(docs, wanted, nodes, short), "sets")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -388,15 +416,20 @@ def _mixed(needed: DataFrame, roots: DataFrame) -> DataFrame:
 def _fine(docs: DataFrame, needed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs and members of large signatures, as from ``_group``, of the needed sets at the fine level."""
     wanted = stored(needed.select("node").distinct(), "wanted")
-    again = _documents_of(docs, wanted, nodes)
+
+    def made(shingles: np.ndarray) -> bytes:
+        sigs, tags = signatures(shingles, fine=True)
+        return sigs.tobytes() + tags.tobytes()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sigs, tags = signatures(shingle_set(text.as_py()), fine=True)
-                columns = [pa.array(sigs.view(np.int64)), pa.array(np.full(len(sigs), node)), pa.array(tags)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sigs), pa.binary())], _EMITTED_NAMES)
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(packed) // 12
+                sigs, tags = np.frombuffer(packed, np.int64, n), np.frombuffer(packed, np.int32, n, 8 * n)
+                columns = [pa.array(sigs), pa.array(np.full(n, node)), pa.array(tags)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary())], _EMITTED_NAMES)
 
+    again = _made_of(docs, wanted, nodes, made)
     emitted = again.mapInArrow(emit, _EMITTED).repartition("sig").sortWithinPartitions("sig")
     return stored(emitted.mapInArrow(_group, _GROUPED), "grouped", by="kind")
 

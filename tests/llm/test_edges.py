@@ -174,6 +174,37 @@ class TestJaccard:
                 for fine in (False, True):
                     assert len(np.intersect1d(jaccard.signatures(a, fine)[0], jaccard.signatures(b, fine)[0]))
 
+    @pytest.mark.parametrize("bits", [16, 1])
+    def test_wanted_documents_are_not_broadcast_one_by_one(self, spark, monkeypatch, bits):
+        monkeypatch.setattr(jaccard, "KEY_BITS", bits, raising=False)
+        texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(20_000)]
+        of = [jaccard._node(jaccard.shingle_set(t)) for t in texts]
+        rows = [(i, t, n) for i, (t, n) in enumerate(zip(texts, of))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, node long").withColumn("mark", F.xxhash64("text"))
+        nodes, wanted = docs.select("node", "doc_id", "mark"), docs.filter("doc_id % 2 = 0").select("node")
+        plans, real = [], jaccard.stored
+        monkeypatch.setattr(jaccard, "stored", lambda df, *args, **named: plans.append(df) or real(df, *args, **named))
+        found = jaccard._sets_of(docs.select("doc_id", "mark", "text").unionByName(docs.limit(9).selectExpr("doc_id", "mark", "null AS text")), wanted, nodes)
+        assert sorted(r["node"] for r in found.select("node").collect()) == sorted(of[::2])
+
+        def broadcast(plan) -> int:
+            """Rows that the exchanges of an executed plan broadcast."""
+            kind = plan.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                return broadcast(plan.executedPlan())
+            if kind.endswith("QueryStageExec"):
+                return broadcast(plan.plan())
+            own = plan.metrics().apply("numOutputRows").value() if kind == "BroadcastExchangeExec" else 0
+            return own + sum(broadcast(plan.children().apply(i)) for i in range(plan.children().size()))
+
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = plans[-1].groupBy().count()  # planned anew, without size limits of its own
+            plan.collect()
+            assert 0 < broadcast(plan._jdf.queryExecution().executedPlan()) <= 10
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
     def test_components_of_a_long_path(self, spark):
         links = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(7, 7), (301, 300), (301, 300)], "a long, b long")
         found = {r["node"]: r["root"] for r in components.components(links).collect()}
